@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recframe.llm.common import table
 from recframe.llm.jaccard_join import jaccard_join
+from recframe.llm.tokens import token_files
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The public tokenizer's file on this machine; each executor has the same path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
