@@ -178,17 +178,18 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     gets an unbounded group and only counts and spanning links leave it, never pairs.
     """
     tenths = round(similarity * 10)
+    # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
     bands = choose_bands(similarity, target_recall, band_rows)
     rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: _signatures(it, n, bands, band_rows), "doc_id long, sid binary, size long, bands array<long>"))
     members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands")))
     keys = members.select("sid", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u != v")
-    links = keys.join(hubs.select("key", "u"), "key").where("sid != u").select("u", F.col("sid").alias("v"))
+    links = keys.join(hubs.select("key", "u").hint("merge"), "key").where("sid != u").select("u", F.col("sid").alias("v"))
     comp = components(links).select(F.col("node").alias("sid"), F.col("label").alias("comp"))
     sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / block).alias("blocks"))
     chosen = materialise(comp.join(sizes, "comp").join(members.select("sid", "copies", "first_doc"), "sid"))
     text = docs.select(F.col("doc_id").alias("first_doc"), "text")
-    sets = text.join(chosen, text.first_doc.eqNullSafe(chosen.first_doc)).select("text", "sid", "comp", "blocks", "copies")
+    sets = text.join(chosen.hint("merge"), text.first_doc.eqNullSafe(chosen.first_doc)).select("text", "sid", "comp", "blocks", "copies")
     sets = sets.mapInArrow(lambda it: _shingle_sets(it, n), "sid binary, comp binary, blocks long, copies long, shingles binary")
     side = sets.withColumn("side", F.pmod(F.xxhash64("sid"), "blocks"))
     dealt = side.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
