@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recframe.llm.common import table
 from recframe.llm.jaccard_join import jaccard_join
 from recframe.llm.language import identify
+from recframe.llm.licenses import scan_licenses
 from recframe.llm.tokens import token_files
 
 
@@ -31,6 +32,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
