@@ -1,6 +1,7 @@
-"""Token files: flat unsigned 32-bit ids beside 64-bit document offsets, written by the executors and read by memory map.
+"""Token files: flat unsigned ids beside 64-bit document offsets, written by the executors and read by memory map.
 
-A token set is a folder with, for every part p: `part-<p>.bin` (ids, little-endian uint32), `part-<p>.idx` (uint64 offsets in
+A token set is a folder with, for every part p: `part-<p>.bin` (ids, little-endian, of the narrowest width of 2 or 4 bytes
+that holds every id of the vocabulary and the end id; reader and writer get it as `width`), `part-<p>.idx` (uint64 offsets in
 ids: one more than documents, from 0), `part-<p>.doc` (int64 doc_ids) and `part-<p>.nul` (one byte a document, 1 where doc_id
 is null). Parts follow each other in doc_id order; a part's base is the sum of the ids of the parts before it.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import mmap
 import os
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from recframe.llm.common import shared_dir
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: The same for words in lower case without a full stop or comma.
+REMEMBERED_CORES = 1_000_000
 #: str.split() parts at these, the tokenizer's \s doesn't: texts with them go to the tokenizer whole.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -80,18 +84,24 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     between white space, which repeat and are encoded once. NFC and lower-casing don't reach across white space either.
     """
     tok, known, cores, stops, mark = tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
     whole = [any(c in t for c in ODD_SPACES) for t in texts]
     split = [[t] if w else t.split() for t, w in zip(texts, whole)]
-    new = list(set().union(*split) - known.keys())
-    parts = [_core(w) for w in new]
-    if len(cores) > REMEMBERED:
-        cores.clear()
-    _encode_words({c for c, _ in parts} - cores.keys(), tok, mark, cores)
-    for word, (core, stop) in zip(new, parts):
-        known[word] = cores[core] + stops[stop] if stop else cores[core]
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    words = list(chain.from_iterable(split))
+    ids = list(map(known.get, words))
+    missing = [i for i, x in enumerate(ids) if x is None]
+    if missing:
+        for held, most in ((known, REMEMBERED), (cores, REMEMBERED_CORES)):
+            if len(held) > most:
+                held.clear()
+        new = list({words[i] for i in missing})
+        parts = [_core(w) for w in new]
+        _encode_words({c for c, _ in parts} - cores.keys(), tok, mark, cores)
+        fresh = {word: cores[core] + stops[stop] if stop else cores[core] for word, (core, stop) in zip(new, parts)}
+        for i in missing:
+            ids[i] = fresh[words[i]]
+        known.update(fresh)
+    ends = list(accumulate(map(len, split), initial=0))
+    return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -108,7 +118,12 @@ def _put(store: fs.FileSystem, path: str, chunks) -> None:
     store.move(draft, path)
 
 
-def _write_parts(batches, uri: str, path: str, end_id: int):
+def id_width(path: str, end_id: int = END_ID) -> int:
+    """Bytes of an id: 2 if every id is below 65,536, else 4."""
+    return 2 if max(tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+
+
+def _write_parts(batches, uri: str, path: str, end_id: int, width: int):
     store, base = _filesystem(uri)
     store.create_dir(base, recursive=True)
     part = TaskContext.get().partitionId()
@@ -123,7 +138,8 @@ def _write_parts(batches, uri: str, path: str, end_id: int):
             for a in range(0, len(texts), 512):
                 raw = encode(texts.slice(a, 512).to_pylist(), path)
                 counts += [len(x) // 4 + 1 for x in raw]
-                out.write(end.join([*raw, b""]))
+                flat = end.join([*raw, b""])
+                out.write(flat if width == 4 else np.frombuffer(flat, "<u4").astype("<u2"))
             ids.append(batch.column("doc_id"))
     store.move(draft, f"{name}.bin")
     doc = pa.chunked_array(ids, pa.int64()) if ids else pa.chunked_array([[]], pa.int64())
@@ -141,7 +157,8 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID) ->
     text is empty: it holds the end id alone. Only the counts of each part come to the driver, which sums them to bases.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    parts = sorted(ordered.mapInArrow(lambda it: _write_parts(it, uri, path, end_id), "part int, n_docs long, n_tokens long").collect())
+    width = id_width(path, end_id)
+    parts = sorted(ordered.mapInArrow(lambda it: _write_parts(it, uri, path, end_id, width), "part int, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts])]) if parts else [0]
     return [(p.part, p.n_docs, int(b)) for p, b in zip(parts, bases)]
 
@@ -155,34 +172,34 @@ def _open(store: fs.FileSystem, path: str):
         return f.read()
 
 
-def _read_parts(batches, uri: str):
+def _read_parts(batches, uri: str, width: int):
     store, base = _filesystem(uri)
     for batch in batches:
         for part, start in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
             name = f"{base}/part-{part:06d}"
             offsets = np.frombuffer(_open(store, f"{name}.idx"), "<u8").astype(np.int64)
             doc, null = np.frombuffer(_open(store, f"{name}.doc"), "<i8"), np.frombuffer(_open(store, f"{name}.nul"), "u1")
-            ids = memoryview(_open(store, f"{name}.bin"))
+            ids = np.frombuffer(_open(store, f"{name}.bin"), f"<u{width}")
             for a in range(0, len(doc), 4096):
                 b = min(a + 4096, len(doc))
-                crc = [zlib.crc32(ids[4 * offsets[i] : 4 * offsets[i + 1]]) for i in range(a, b)]
+                crc = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4")) for i in range(a, b)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc[a:b], mask=null[a:b] == 1), pa.array(start + offsets[a:b]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
 
-def read_tokens(spark: SparkSession, uri: str, parts: list[tuple[int, int, int]]) -> DataFrame:
+def read_tokens(spark: SparkSession, uri: str, parts: list[tuple[int, int, int]], width: int) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32: one row a document of a token set."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     full = [(p, b) for p, n, b in parts if n]
     if not full:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(full, "part int, base long").repartition(len(full), "part")
-    return listed.mapInArrow(lambda it: _read_parts(it, uri), schema)
+    return listed.mapInArrow(lambda it: _read_parts(it, uri, width), schema)
 
 
 def token_files(docs: DataFrame, path: str, uri: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write docs to a token set (in the shared folder unless uri names one) and read it back; see write_tokens, read_tokens."""
     uri = uri or shared_dir(docs.sparkSession)
-    return read_tokens(docs.sparkSession, uri, write_tokens(docs, uri, path, end_id))
+    return read_tokens(docs.sparkSession, uri, write_tokens(docs, uri, path, end_id), id_width(path, end_id))
