@@ -10,6 +10,7 @@ from recframe.llm.common import table
 from recframe.llm.jaccard_join import jaccard_join
 from recframe.llm.language import identify
 from recframe.llm.licenses import scan_licenses
+from recframe.llm.mixing import TAKEN_SQL, mix_digest
 from recframe.llm.tokens import token_files
 
 
@@ -17,6 +18,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def mix_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can follow of op4_mix_sources."""
+    return op4_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "taken")
+
+
 def vocabulary() -> str:
     """The public tokenizer's file on this machine; each executor has the same path."""
     import public_tokenizers
@@ -37,8 +47,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mix_sources, op6_token_files, op7_language_id, op8_license_scan, mix_taken)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"mix_taken": TAKEN_SQL}
