@@ -10,7 +10,9 @@ from recframe.llm.common import table
 from recframe.llm.jaccard_join import jaccard_join
 from recframe.llm.language import identify
 from recframe.llm.licenses import scan_licenses
+from recframe.llm.line_dedup import BOILERPLATE_SQL, drop_boilerplate
 from recframe.llm.mixing import TAKEN_SQL, mix_digest
+from recframe.llm.quality import QUALITY_SQL, judge_quality
 from recframe.llm.tokens import token_files
 
 
@@ -27,6 +29,14 @@ def mix_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", "taken")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The public tokenizer's file on this machine; each executor has the same path."""
     import public_tokenizers
@@ -47,8 +57,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mix_sources, op6_token_files, op7_language_id, op8_license_scan, mix_taken)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mix_taken": TAKEN_SQL}
+    return {"mix_taken": TAKEN_SQL, "op5_quality_rules": QUALITY_SQL, "op9_line_dedup": BOILERPLATE_SQL}
