@@ -11,6 +11,7 @@ from __future__ import annotations
 import mmap
 import os
 import zlib
+from array import array
 from itertools import accumulate, chain
 
 import numpy as np
@@ -50,21 +51,27 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-def _core(word: str) -> tuple[str, str]:
-    """A word as one whose ids are known more often, and a full stop or comma after it.
-
-    Letters and punctuation are separate pieces, and Latin-1 letters keep their ids in lower case and under NFC.
-    """
-    letters, stop = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-    return (letters.lower(), stop) if letters.isalpha() and max(letters) <= "\xff" else (word, "")
+#: What the byte-level pre-tokenizer turns bytes into that aren't printable Latin-1, by the public rule: 256 and up, in order.
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 def _encode_words(words: set[str], tok, mark: int, into: dict[str, bytes]) -> None:
-    """Thousands of words in one call, parted by MARK; one that could be mistaken for more than itself goes alone."""
-    alone = [w for w in words if MARK in w or "<|" in w or any(c in w for c in ODD_SPACES)]
+    """Plain words (Latin-1 letters in lower case: one piece that normalisation keeps) go to the tokenizer's model directly.
+
+    Others go thousands in one call, parted by MARK; one that could be mistaken for more than itself goes alone.
+    """
+    tokenize = tok.model.tokenize
+    others = []
+    for word in words:
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff") and word.islower():
+            pieces = tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))
+            into[word] = array("I", [x.id for x in pieces]).tobytes()
+        else:
+            others.append(word)
+    alone = [w for w in others if MARK in w or "<|" in w or any(c in w for c in ODD_SPACES)]
     for word, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)):
         into[word] = np.array(e.ids, "<u4").tobytes()
-    rest = list(words.difference(alone))
+    rest = list(set(others).difference(alone))
     for a in range(0, len(rest), 2048):
         part = rest[a : a + 2048]
         ids = np.array(tok.encode_batch_fast([f" {MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
@@ -94,9 +101,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             if len(held) > most:
                 held.clear()
         new = list({words[i] for i in missing})
-        parts = [_core(w) for w in new]
-        _encode_words({c for c, _ in parts} - cores.keys(), tok, mark, cores)
-        fresh = {word: cores[core] + stops[stop] if stop else cores[core] for word, (core, stop) in zip(new, parts)}
+        # letters and punctuation are separate pieces, so a full stop or comma may go; Latin-1 letters keep their ids in lower case
+        parts = [w[:-1] if w[-1] in ".," else w for w in new]
+        parts = [c.lower() if c.isalpha() and (c.isascii() or max(c) <= "\xff") else w for c, w in zip(parts, new)]
+        _encode_words({c for c in parts if c not in cores}, tok, mark, cores)
+        fresh = {w: cores[c] + stops[w[-1]] if w[-1] in ".," and w[-1] != c[-1] else cores[c] for w, c in zip(new, parts)}
         for i in missing:
             ids[i] = fresh[words[i]]
         known.update(fresh)
