@@ -13,6 +13,7 @@ from recframe.llm.licenses import scan_licenses
 from recframe.llm.line_dedup import BOILERPLATE_SQL, drop_boilerplate
 from recframe.llm.mixing import TAKEN_SQL, mix_digest
 from recframe.llm.quality import QUALITY_SQL, judge_quality
+from recframe.llm.secrets import scan_secrets, secrets_sql
 from recframe.llm.tokens import token_files
 
 
@@ -20,6 +21,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -57,8 +62,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mix_taken": TAKEN_SQL, "op5_quality_rules": QUALITY_SQL, "op9_line_dedup": BOILERPLATE_SQL}
+    return {"op2_secret_scan": secrets_sql(), "mix_taken": TAKEN_SQL, "op5_quality_rules": QUALITY_SQL, "op9_line_dedup": BOILERPLATE_SQL}
