@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recframe.llm.common import table
+from recframe.llm.decontaminate import find_leaks
 from recframe.llm.jaccard_join import jaccard_join
 from recframe.llm.language import identify
 from recframe.llm.licenses import scan_licenses
@@ -25,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_decontaminate, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
 
 
 def oracle_sql() -> dict[str, str]:
