@@ -13,6 +13,7 @@ from recframe.llm.language import identify
 from recframe.llm.licenses import scan_licenses
 from recframe.llm.line_dedup import BOILERPLATE_SQL, drop_boilerplate
 from recframe.llm.mixing import TAKEN_SQL, mix_digest
+from recframe.llm.page_text import extract
 from recframe.llm.quality import QUALITY_SQL, judge_quality
 from recframe.llm.secrets import scan_secrets, secrets_sql
 from recframe.llm.tokens import token_files
@@ -47,6 +48,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def vocabulary() -> str:
     """The public tokenizer's file on this machine; each executor has the same path."""
     import public_tokenizers
@@ -67,7 +72,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_decontaminate, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, mix_taken)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_decontaminate, op4_mix_sources, op5_quality_rules, op6_token_files, op7_language_id, op8_license_scan, op9_line_dedup, op10_page_text, mix_taken)}
 
 
 def oracle_sql() -> dict[str, str]:
