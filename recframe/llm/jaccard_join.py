@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recframe.llm.common import materialise, mix, pieces, shingles, word_hashes
 from recframe.llm.graph import components
@@ -162,21 +163,8 @@ def _verify(table: pa.Table, tenths: int) -> pa.Table:
     return pa.table({"sid": pa.array(sid, pa.binary()), "links": links, "label": pa.array([sid[k] for k in label], pa.binary())})
 
 
-def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
-    """doc_id, copy_id, class_id, n_words_sets, n_links for every row of docs (doc_id, text; other columns are ignored).
-
-    Two texts link if the Jaccard similarity of their sets of n-word shingles (words: runs without ASCII white space; a text of
-    fewer than n words is one shingle) is at least `similarity` (in steps of 0.1). copy_id is the least doc_id with the same
-    shingle set, class_id the least doc_id that links lead to, n_links counts the other documents that link, copies included.
-    Texts that are null or hold no word link to nothing: their copy_id and class_id are their own doc_id and n_links is 0.
-    Repeated rows are copies; a null doc_id never is a least one unless there is no other.
-
-    Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
-    target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
-    these links hold all candidates. A component's shingle sets meet in one task and all pairs are verified by matrix
-    products; a component above `block` members is dealt into hash blocks and each pair of blocks is one task, so no task
-    gets an unbounded group and only counts and spanning links leave it, never pairs.
-    """
+def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, band_rows: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, sid, size), members (sid, copies, first_doc) and verified (sid, label, links, first_doc) of those with a candidate."""
     tenths = round(similarity * 10)
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
     bands = choose_bands(similarity, target_recall, band_rows)
@@ -197,9 +185,28 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     found = materialise(dealt.groupBy("comp", "i", "j").applyInArrow(lambda t: _verify(t, tenths), "sid binary, links long, label binary"))
     label = components(found.select(F.col("label").alias("u"), F.col("sid").alias("v")))
     count = found.groupBy("sid").agg(F.sum("links").alias("links"))
-    verified = label.join(count, label.node == count.sid).join(members.select(F.col("sid").alias("s"), "first_doc"), F.col("node") == F.col("s")).select("node", "label", "links", "first_doc")
+    verified = label.join(count, label.node == count.sid).join(members.select(F.col("sid").alias("s"), "first_doc"), F.col("node") == F.col("s"))
+    return rows, members, verified.select(F.col("node").alias("sid"), "label", "links", "first_doc")
+
+
+def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
+    """doc_id, copy_id, class_id, n_words_sets, n_links for every row of docs (doc_id, text; other columns are ignored).
+
+    Two texts link if the Jaccard similarity of their sets of n-word shingles (words: runs without ASCII white space; a text of
+    fewer than n words is one shingle) is at least `similarity` (in steps of 0.1). copy_id is the least doc_id with the same
+    shingle set, class_id the least doc_id that links lead to, n_links counts the other documents that link, copies included.
+    Texts that are null or hold no word link to nothing: their copy_id and class_id are their own doc_id and n_links is 0.
+    Repeated rows are copies; a null doc_id never is a least one unless there is no other.
+
+    Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
+    target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
+    these links hold all candidates. A component's shingle sets meet in one task and all pairs are verified by matrix
+    products; a component above `block` members is dealt into hash blocks and each pair of blocks is one task, so no task
+    gets an unbounded group and only counts and spanning links leave it, never pairs.
+    """
+    rows, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block)
     least = verified.groupBy("label").agg(F.min("first_doc").alias("class_first"))
-    verified = verified.join(least, "label").select(F.col("node").alias("sid"), "links", "class_first")
+    verified = verified.join(least, "label").select("sid", "links", "class_first")
     # the few members with candidates are put beside all members before these meet the rows
     known = members.select("sid", "copies", "first_doc").join(verified, "sid", "left")
     out = rows.select("doc_id", "sid", "size").join(known, "sid", "left")
@@ -210,3 +217,28 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
         F.col("size").alias("n_shingles"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
     )
+
+
+def _digests(batches, n: int):
+    for batch in batches:
+        sid = []
+        for _, data, at in pieces(batch.column("text")):
+            u, sat = _sets(data, at, n)
+            sid += [xxhash.xxh3_128_digest(u[a:b].tobytes()) if b > a else None for a, b in zip(sat[:-1], sat[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "_near_sid"])
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
+    """One row, with all its columns, of each class of jaccard_join: the one with the least doc_id, and of its repeated rows one.
+
+    Texts that are null or hold no word are classes of their own and stay.
+    """
+    _, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block)
+    order = F.struct(F.col("first_doc").isNull(), "first_doc", "sid")
+    best = verified.groupBy("label").agg(F.min_by("sid", order).alias("best"))
+    gone = verified.join(best, "label").where("sid != best").select("sid")
+    stay = members.join(gone, "sid", "left_anti").select("sid", "first_doc").hint("merge")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_near_sid", T.BinaryType())])
+    marked = docs.mapInArrow(lambda it: _digests(it, n), schema)
+    kept = marked.where("_near_sid is not null").join(stay, (F.col("_near_sid") == stay.sid) & marked.doc_id.eqNullSafe(stay.first_doc), "left_semi")
+    return kept.dropDuplicates(["_near_sid"]).drop("_near_sid").unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))

@@ -136,47 +136,60 @@ def mixtures(words: np.ndarray, counts: np.ndarray, penalty: float, rounds: int
     return order, chosen, 1 / (1 + np.exp(-np.minimum(alone.max(0) - second, 50)))
 
 
-def _predict(batches, langs: list[str], table: np.ndarray, penalty: float):
+def _judged(batch: pa.RecordBatch, langs: list[str], table: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lang_pred, score and lang_shares of each row."""
     names = np.array(langs, object)
+    out = []
+    for first, data, at in pieces(batch.column("text")):
+        docs = len(at) - 1
+        bucket, start, rows = _trigrams(data, at)
+        counts = np.diff(rows)
+        some = np.flatnonzero(counts)
+        pred, score, share = np.full(docs, "und", object), np.zeros(docs), np.full(docs, "", object)
+        if len(some) and langs:
+            words = np.stack([np.add.reduceat(x[bucket], start) for x in table])
+            order, chosen, sure = mixtures(words, counts[some], penalty)
+            lead = chosen.argmax(0)
+            each = np.arange(len(some))
+            pred[some] = names[order[lead, each]]
+            score[some] = np.clip(chosen[lead, each] * sure, 0, 1)
+            for i in each:
+                share[some[i]] = ",".join(f"{names[order[j, i]]}:{chosen[j, i]:.3f}" for j in np.argsort(-chosen[:, i], kind="stable") if chosen[j, i] > 0)
+        text = batch.column("text").slice(first, docs)
+        ascii_letters = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((_LETTER[data] != 32) & (data < 128), out=ascii_letters[1:])
+        for i in some[ascii_letters[at[some + 1]] == ascii_letters[at[some]]]:  # other scripts, or no letters at all
+            if not any(c.isalpha() for c in text[i].as_py()):
+                pred[i], score[i], share[i] = "und", 0.0, ""
+        out.append((pred, score, share))
+    return tuple(np.concatenate(x) if out else np.zeros(0, object) for x in (zip(*out) if out else [(), (), ()]))
+
+
+def _predict(batches, langs: list[str], table: np.ndarray, penalty: float):
     for batch in batches:
-        for first, data, at in pieces(batch.column("text")):
-            docs = len(at) - 1
-            bucket, start, rows = _trigrams(data, at)
-            counts = np.diff(rows)
-            some = np.flatnonzero(counts)
-            pred, score, share = np.full(docs, "und", object), np.zeros(docs), np.full(docs, "", object)
-            if len(some) and langs:
-                words = np.stack([np.add.reduceat(x[bucket], start) for x in table])
-                order, chosen, sure = mixtures(words, counts[some], penalty)
-                lead = chosen.argmax(0)
-                each = np.arange(len(some))
-                pred[some] = names[order[lead, each]]
-                score[some] = np.clip(chosen[lead, each] * sure, 0, 1)
-                for i in each:
-                    share[some[i]] = ",".join(f"{names[order[j, i]]}:{chosen[j, i]:.3f}" for j in np.argsort(-chosen[:, i], kind="stable") if chosen[j, i] > 0)
-            text = batch.column("text").slice(first, docs)
-            ascii_letters = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((_LETTER[data] != 32) & (data < 128), out=ascii_letters[1:])
-            for i in some[ascii_letters[at[some + 1]] == ascii_letters[at[some]]]:  # other scripts, or no letters at all
-                if not any(c.isalpha() for c in text[i].as_py()):
-                    pred[i], score[i], share[i] = "und", 0.0, ""
-            out = batch.slice(first, docs)
-            yield pa.RecordBatch.from_arrays(
-                [*(out.column(c) for c in out.schema.names), pa.array(pred, pa.string()), pa.array(score), pa.array(share, pa.string())],
-                [*out.schema.names, "lang_pred", "score", "lang_shares"],
-            )
-
-
-def identify(docs: DataFrame, each: int = 2000, penalty: float = 2.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, held_out, lang_pred, score, lang_shares for every row of docs (doc_id, text, lang; others are ignored unless kept).
+        pred, score, share = _judged(batch, langs, table, penalty)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.string())], ["doc_id", "lang_pred", "score", "lang_shares"])
+
+
+def _identified(batches, langs: list[str], table: np.ndarray, penalty: float, least: float):
+    for batch in batches:
+        pred, score, _ = _judged(batch, langs, table, penalty)
+        yield batch.filter(pa.array((pred != "und") & (score.astype(float) >= least), pa.bool_()))
+
+
+def identify(docs: DataFrame, each: int = 2000, penalty: float = 2.0) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, lang_shares for every row of docs (doc_id, text, lang; others are ignored).
 
     The model is fitted on rows of docs (see fit) and predicts from text alone. A text that is null or without a letter is
     `und` with score 0, as is every text if no row has a language. score is the leading language's share in the chosen set
     times its odds against the next single language. Ties go to the language that sorts first; repeated rows get equal rows.
     """
     langs, table = fit(docs, each)
-    kept = list(dict.fromkeys((*keep, "text")))
-    rows = docs.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, lang_shares string"
-    found = rows.mapInArrow(lambda it: _predict(it, langs, table, penalty), schema)
-    return found.withColumn("held_out", held_out() if "doc_id" in keep else F.lit(None).cast("boolean")).select(*keep, "held_out", "lang_pred", "score", "lang_shares")
+    found = docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, langs, table, penalty), "doc_id long, lang_pred string, score double, lang_shares string")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.2, each: int = 2000, penalty: float = 2.0) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: not `und`, and with a score of at least `least`."""
+    langs, table = fit(docs, each)
+    return docs.mapInArrow(lambda it: _identified(it, langs, table, penalty, least), docs.schema)
