@@ -1,9 +1,614 @@
-"""The registered queries and the SQL that gives the same rows."""
+"""The registered queries, each through real record files, and the SQL that gives the same rows.
 
+The files are made once for a session and a data folder, in the shared folder, from the driver's tables. They are bounded by
+those tables' size; a query reads the frames that its range needs.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+import os
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recframe.errors import RecordError
+from recframe.functions import codec
+from recframe.functions.boundary import Boundary, Fixed, LengthPrefixed, MessagePack, Separated
+from recframe.operators import edit
+from recframe.operators.publish import local
+from recframe.operators.read import Handle
+from recframe.operators.write import write_file, write_folder
+from recframe.plans import logical
+from recframe.plans.framing import FrameCutter, Framing
+from recframe.plans.indexing import derive_per_frame, frame_table, shared_dir, with_frames
+from recframe.sources.container import FrameTable, encode_frame, seek_table
+
+N = 64
+NEWLINE = Separated(b"\n")
+_made: dict[tuple, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    """The path of a file that `make` writes, the first time it's asked for in this session."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _made:
+        folder = local(shared_dir(spark))
+        os.makedirs(folder)
+        make(f"{folder}/{name}")
+        _made[key] = f"{folder}/{name}"
+    return _made[key]
+
+
+def event_records(spark: SparkSession, sf_dir: str, separator: bytes = b"\n") -> DataFrame:
+    value = F.concat_ws("|", "event_id", "user_id", "event_type").cast("binary")
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("record_index"), F.concat(value, F.lit(separator)).alias("record"))
+
+
+def events(spark: SparkSession, sf_dir: str, boundary: Boundary = NEWLINE, n: int | None = N, **options) -> Handle:
+    """events as a record file; n None: the count that the frame size gives."""
+    name = f"events-{boundary.separator.hex()}-{n}-{options.get('frame_size', 0)}.txt.seek.zst"
+    path = _once(spark, sf_dir, name, lambda p: write_file(event_records(spark, sf_dir, boundary.separator), p, boundary=boundary, records_per_frame=n, **options))
+    return Handle(spark, path, boundary)
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select("record_index", codec.text(codec.strip_separator("record", b"\n")).alias("value"))
+
+
+def _groups(path: str, groups: list[bytes]) -> str:
+    """A file with exactly these frames, uneven or not."""
+    raw = [encode_frame(g) for g in groups]
+    with open(path, "wb") as f:
+        f.write(b"".join(raw) + seek_table(FrameTable(np.array([len(x) for x in raw], np.uint32), np.array([len(g) for g in groups], np.uint32))))
+    return path
+
+
+def _drifting(spark: SparkSession, sf_dir: str) -> str:
+    lines = [f"line {i}\n".encode() for i in range(34)]
+    return _once(spark, sf_dir, "drifting.txt.seek.zst", lambda p: _groups(p, [b"".join(lines[a:b]) for a, b in ((0, 10), (10, 14), (14, 24), (24, 34))]))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("value", r"\|")
+    return range_of(100, 100)(spark, sf_dir).select("record_index", F.get(parts, F.lit(0)).cast("long").alias("event_id"), F.get(parts, F.lit(1)).cast("long").alias("user_id"), F.get(parts, F.lit(2)).alias("event_type"))
+
+
+# ---------------------------------------------------------------- reads
+
+
+def range_of(start: int, count: int | None):
+    return lambda spark, sf_dir: _text(events(spark, sf_dir).records(start, count))
+
+
+def scan_all(spark, sf_dir):
+    return _text(events(spark, sf_dir).scan())
+
+
+def scan_pushed(spark, sf_dir):
+    return _text(events(spark, sf_dir).scan().where("record_index >= 130 AND record_index < 333"))
+
+
+def lookup_missing(spark, sf_dir):
+    assert events(spark, sf_dir).record(10**9) is None
+    return _text(events(spark, sf_dir).scan().where(F.col("record_index") == 10**9))
+
+
+def range_past_end_clipped(spark, sf_dir):
+    h = events(spark, sf_dir)
+    return _text(h.records(h.total() - 10, 500))
+
+
+def tail_n(spark, sf_dir):
+    return _text(events(spark, sf_dir).tail(25))
+
+
+def skip_take(spark, sf_dir):
+    return _text(events(spark, sf_dir).slice(40, 65))
+
+
+def reverse_tail(spark, sf_dir):
+    return events(spark, sf_dir).reverse(50).select("record_index", codec.text(codec.strip_separator("record", b"\n")).alias("value"), "rev")
+
+
+def filter_contains(spark, sf_dir):
+    return scan_all(spark, sf_dir).where(F.contains("value", F.lit("purchase")))
+
+
+def filter_map_take(spark, sf_dir):
+    found = filter_contains(spark, sf_dir).orderBy("record_index").limit(10)
+    return found.select("record_index", F.split_part("value", F.lit("|"), F.lit(3)).alias("event_type"))
+
+
+def fold_bytes(spark, sf_dir):
+    return events(spark, sf_dir).scan().agg(F.sum(F.octet_length("record")).cast("long").alias("bytes"), F.max(F.octet_length("record")).cast("long").alias("longest"))
+
+
+def fold_ordered(spark, sf_dir):
+    """The fold keeps order: a running digest of the first 300 records' lengths."""
+    x = events(spark, sf_dir).fold(lambda a, r: (a * 31 + len(r)) % 1000003, 7, 0, 300)
+    return spark.range(1).select(F.lit(x).cast("long").alias("digest"))
+
+
+def total_records(spark, sf_dir):
+    return spark.range(1).select(F.lit(events(spark, sf_dir).total()).cast("long").alias("records"))
+
+
+def points(spark, sf_dir):
+    h = events(spark, sf_dir)
+    return spark.createDataFrame([(i, h.get(i)) for i in (0, 63, 64, 321, h.total() - 1)], "record_index long, value string")
+
+
+def shard_scan(spark, sf_dir):
+    """Four workers' shares, each read by itself."""
+    h, out = events(spark, sf_dir), None
+    for i in range(4):
+        own = h.shard(i, 4).agg(F.lit(i).cast("long").alias("shard"), F.count("*").alias("n"), F.min("record_index").alias("first"), F.max("record_index").alias("last"))
+        out = own if out is None else out.unionAll(own)
+    return out
+
+
+def from_frame(spark, sf_dir):
+    return _text(events(spark, sf_dir).from_frame(9))
+
+
+def where_length_select(spark, sf_dir):
+    return scan_all(spark, sf_dir).where(F.split_part("value", F.lit("|"), F.lit(3)) == "click").agg(F.count("*").alias("n"))
+
+
+def uniq_counts(spark, sf_dir):
+    return scan_all(spark, sf_dir).groupBy(F.split_part("value", F.lit("|"), F.lit(3)).alias("event_type")).agg(F.count("*").alias("n"))
+
+
+def text_source_agrees(spark, sf_dir):
+    """Any zstd reader gives the same lines, in one partition and without an index."""
+    lines = spark.read.text(events(spark, sf_dir).paths[0])
+    return lines.select(F.col("value"))
+
+
+def positional_join(spark, sf_dir):
+    left, right = scan_all(spark, sf_dir), _text(orders(spark, sf_dir).scan()).withColumnRenamed("value", "order_value")
+    return left.join(right, "record_index").select("record_index", "value", "order_value")
+
+
+# ---------------------------------------------------------------- layout
+
+
+def frame_layout(separator: bytes):
+    def query(spark, sf_dir):
+        boundary = Separated(separator)
+        rows = events(spark, sf_dir, boundary).inspect(fast=False)
+        return rows.select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"), "decomp_start", "decomp_end", "decomp_size")
+
+    return query
+
+
+def frame_layout_fast(spark, sf_dir):
+    return events(spark, sf_dir).inspect(fast=True).select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"))
+
+
+def auto_n(spark, sf_dir):
+    return spark.range(1).select(F.lit(events(spark, sf_dir, n=None, frame_size=16384).layout.files[0].per_frame).cast("long").alias("n"))
+
+
+def frames_auto_n(spark, sf_dir):
+    return events(spark, sf_dir, n=None, frame_size=16384).inspect(fast=False).select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"), "decomp_size")
+
+
+def frames_logical(spark, sf_dir):
+    """The same table from expressions alone."""
+    rows = event_records(spark, sf_dir)
+    return frame_table(with_frames(rows, derive_per_frame(rows, 16384))).select(F.col("frame").cast("long").alias("frame"), "cnt", "decomp_size")
+
+
+def size_mode_frames(spark, sf_dir):
+    h = events(spark, sf_dir, n=None, frame_size=4000, uniform=False)
+    return h.inspect(fast=False).select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"), "decomp_size")
+
+
+def verify_uniform(spark, sf_dir):
+    return events(spark, sf_dir).verify().select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"))
+
+
+def verify_drift(spark, sf_dir):
+    return Handle(spark, _drifting(spark, sf_dir)).verify().select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"))
+
+
+def drift_misplaced_index(spark, sf_dir):
+    """Division places records wrongly in an uneven file, and says nothing: what each index up to the supposed total gives."""
+    h = Handle(spark, _drifting(spark, sf_dir))
+    return spark.createDataFrame([(i, h.get(i, optional=True)) for i in range(h.total())], "record_index long, value string")
+
+
+def drift_exact_scan(spark, sf_dir):
+    """Positions don't."""
+    return _text(Handle(spark, _drifting(spark, sf_dir), index_mode="exact").records(8, 20))
+
+
+def handle_summary(spark, sf_dir):
+    h = Handle(spark, [events(spark, sf_dir).paths[0], orders(spark, sf_dir).paths[0]])
+    file = F.when(F.col("path") == h.paths[0], 1).otherwise(2).cast("long").alias("file")
+    return h.summary().select(file, "finder", "frames", "records_per_frame", "records")
+
+
+# ---------------------------------------------------------------- several files
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Handle:
+    def make(path: str) -> None:
+        rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus").cast("binary"), F.lit(b"\n")).alias("record"))
+        write_file(rows, path, "o_orderkey", records_per_frame=100)
+
+    return Handle(spark, _once(spark, sf_dir, "orders.txt.seek.zst", make))
+
+
+def both(spark: SparkSession, sf_dir: str) -> Handle:
+    return Handle(spark, [events(spark, sf_dir).paths[0], orders(spark, sf_dir).paths[0]])
+
+
+def multi_file_scan(spark, sf_dir):
+    h = both(spark, sf_dir)
+    return h.scan().select(F.col("file_index").cast("long").alias("file"), "record_index", codec.text(codec.strip_separator("record", b"\n")).alias("value"))
+
+
+def multi_file_range(spark, sf_dir):
+    h = both(spark, sf_dir)
+    return _text(h.records(h.layout.offset(1) - 5, 15))
+
+
+def folder_scan(spark, sf_dir):
+    """A folder that every task wrote a file of, read as one run of indices in the order of event_id."""
+
+    def make(path: str) -> None:
+        write_folder(event_records(spark, sf_dir).repartition(4), path, "record_index", records_per_frame=N, extension="txt")
+
+    return _text(Handle(spark, _once(spark, sf_dir, "events-folder", make)).scan())
+
+
+def conversations_handle(spark, sf_dir):
+    """One file a role, as one run of indices."""
+    table = _table(spark, sf_dir, "conversations")
+    roles = sorted(r["role"] for r in table.select("role").where("role IS NOT NULL").distinct().collect())
+
+    def make(role: str) -> Callable[[str], None]:
+        rows = table.where(F.col("role") == role).select("conv_id", "turn", F.concat(F.concat_ws("|", "role", "conv_id", "turn").cast("binary"), F.lit(b"\n")).alias("record"))
+        return lambda path: write_file(rows, path, "conv_id", "turn", records_per_frame=50)
+
+    paths = [_once(spark, sf_dir, f"conversations-{i}-{role}.txt.seek.zst", make(role)) for i, role in enumerate(roles)]
+    return _text(Handle(spark, paths).scan())
+
+
+# ---------------------------------------------------------------- edits
+
+
+def _copy(spark: SparkSession, sf_dir: str, name: str, change: Callable[[str], None], source: Handle | None = None) -> Handle:
+    """A changed copy of the events file (or another); change gets its path."""
+    import shutil
+
+    def make(path: str) -> None:
+        shutil.copy2(local((source or events(spark, sf_dir)).paths[0]), path)
+        change(path)
+
+    return Handle(spark, _once(spark, sf_dir, f"{name}.txt.seek.zst", make))
+
+
+def truncate_k(spark, sf_dir):
+    return _text(_copy(spark, sf_dir, "truncated", lambda p: edit.truncate(p, N * 7)).scan())
+
+
+def truncate_logical(spark, sf_dir):
+    return _text(logical.truncate(events(spark, sf_dir).scan(), N * 7))
+
+
+def _appended(spark: SparkSession, sf_dir: str) -> Handle:
+    return _copy(spark, sf_dir, "appended", lambda p: edit.append_records(p, orders(spark, sf_dir).cat(0, 100)))
+
+
+def append_records(spark, sf_dir):
+    h = _appended(spark, sf_dir)
+    return _text(h.records(h.total() - 130))
+
+
+def append_frame_counts(spark, sf_dir):
+    return _appended(spark, sf_dir).inspect(fast=False).select(F.col("frame").cast("long").alias("frame"), F.col("cnt_of_sep").alias("cnt"), "decomp_size")
+
+
+def append_changed_frames(spark, sf_dir):
+    """Frames whose bytes an append changed: those from the last one on, if it wasn't full."""
+    before, after = events(spark, sf_dir).layout.files[0], _appended(spark, sf_dir).layout.files[0]
+    same = lambda i: i < before.frames and before.frame_bytes(i) == after.frame_bytes(i) and before.table.compressed[i] == after.table.compressed[i]
+    return spark.createDataFrame([(i,) for i in range(after.frames) if not same(i)], "frame long")
+
+
+def _frames_joined(spark: SparkSession, sf_dir: str) -> Handle:
+    source = events(spark, sf_dir).paths[0]
+
+    def change(path: str) -> None:
+        edit.copy_range(source, path, N * 2, N * 3)
+        edit.append_frames(path, source, N * 10, N * 2, check_every_frame=True)
+
+    return _copy(spark, sf_dir, "joined", change)
+
+
+def append_frames_join(spark, sf_dir):
+    return _text(_frames_joined(spark, sf_dir).scan())
+
+
+def copy_range(spark, sf_dir):
+    source = events(spark, sf_dir).paths[0]
+    return _text(_copy(spark, sf_dir, "copied", lambda p: edit.copy_range(source, p, N * 3, N * 6)).scan())
+
+
+def copy_range_logical(spark, sf_dir):
+    return _text(logical.copy_range(events(spark, sf_dir).scan(), N * 3, N * 6))
+
+
+def split_rejoin(spark, sf_dir):
+    def change(path: str) -> None:
+        edit.split(path, N * 8, f"{path}.tail")
+        edit.append_frames(path, f"{path}.tail")
+
+    return _text(_copy(spark, sf_dir, "rejoined", change).scan())
+
+
+def split_update_rejoin(spark, sf_dir):
+    """The middle cut out, its records changed and encoded anew with as many a frame, all joined again."""
+    source = events(spark, sf_dir)
+
+    def change(path: str) -> None:
+        middle, tail = f"{path}.middle", f"{path}.tail"
+        edit.copy_range(source.paths[0], tail, N * 6, None, aligned=False)
+        edit.truncate(path, N * 4)
+        rows = source.records(N * 4, N * 2).select((F.col("record_index") - N * 4).alias("record_index"), F.concat(F.lit(b"new "), F.col("record")).alias("record"))
+        write_file(rows, middle, records_per_frame=N)
+        edit.append_frames(path, middle)
+        edit.append_frames(path, tail)
+
+    return _text(_copy(spark, sf_dir, "updated", change).scan())
+
+
+def insert_separator(spark, sf_dir):
+    """A file that ends with a fragment: refused, or completed."""
+
+    def make(path: str) -> None:
+        _groups(path, [b"a\nb\n", b"c\npart"])
+
+    def change(path: str) -> None:
+        try:
+            edit.append_records(path, b"d\n")
+            raise AssertionError("a fragment was appended to")
+        except RecordError:
+            edit.append_records(path, b"d\n", insert_separator=True)
+
+    h = Handle(spark, _once(spark, sf_dir, "fragment.txt.seek.zst", make))
+    return _text(_copy(spark, sf_dir, "completed", change, h).scan())
+
+
+# ---------------------------------------------------------------- values
+
+
+def _props(spark: SparkSession, sf_dir: str) -> Handle:
+    def make(path: str) -> None:
+        write_file(codec.encode(_table(spark, sf_dir, "events").select(F.col("event_id").alias("record_index"), "props"), column="props", keep=("record_index",)), path)
+
+    return Handle(spark, _once(spark, sf_dir, "props.jsonl.seek.zst", make))
+
+
+def json_decode(spark, sf_dir):
+    return _props(spark, sf_dir).values(schema="k long").select("record_index", F.col("value.k").alias("k"))
+
+
+def json_variant(spark, sf_dir):
+    return _props(spark, sf_dir).values().select("record_index", F.variant_get("value", "$.k", "long").alias("k"))
+
+
+def json_encode_lines(spark, sf_dir):
+    """Rows to JSON records and back to text."""
+
+    def make(path: str) -> None:
+        rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("record_index"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("user")).alias("inner"))
+        write_file(codec.encode(rows, "json", keep=("record_index",)), path)
+
+    return _text(Handle(spark, _once(spark, sf_dir, "seq.jsonl.seek.zst", make)).scan())
+
+
+def json_deep_path(spark, sf_dir):
+    rows = json_encode_lines(spark, sf_dir)
+    return rows.select("record_index", F.get_json_object("value", "$.inner.user").cast("long").alias("user"))
+
+
+def strip_and_terminate(spark, sf_dir):
+    rows = spark.createDataFrame([("a\n",), ("a",), ("",), ("\n",), ("a\n\n",)], "value string").select("value", F.col("value").cast("binary").alias("record"))
+    return rows.select("value", codec.strip_separator("record", b"\n").cast("string").alias("stripped"), codec.terminate("record", b"\n").cast("string").alias("terminated"))
+
+
+# ---------------------------------------------------------------- other boundaries
+
+
+def _little(x: F.Column, size: int = 4) -> F.Column:
+    """A number as so many bytes, the least first."""
+    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 2 * size, "0"), 2 * (size - i) - 1, 2) for i in range(size))))
+
+
+def fixed_records(spark, sf_dir):
+    """embeddings as 256-byte records of 64 floats; their bytes read again."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([np.array(x, "<f4").tobytes() for x in b.column("embedding").to_pylist()], pa.binary())], ["record_index", "record"])
+
+    def make(path: str) -> None:
+        rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(pack, "record_index long, record binary")
+        write_file(rows, path, boundary=Fixed(256), records_per_frame=100)
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("record").to_pylist()), "<f4").reshape(-1, 64)
+            yield pa.RecordBatch.from_arrays([b.column("record_index"), pa.array(x[:, 0]), pa.array(x[:, 63])], ["record_index", "first", "last"])
+
+    h = Handle(spark, _once(spark, sf_dir, "embeddings.bin.seek.zst", make), Fixed(256))
+    return h.scan().select("record_index", "record").mapInArrow(unpack, "record_index long, first float, last float")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> Handle:
+    def make(path: str) -> None:
+        body = F.col("text").cast("binary")
+        rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(_little(F.octet_length(body)), body).alias("record"))
+        write_file(rows, path, "doc_id", boundary=LengthPrefixed(), records_per_frame=32)
+
+    return Handle(spark, _once(spark, sf_dir, "documents.fb.seek.zst", make), LengthPrefixed())
+
+
+def le32_records(spark, sf_dir):
+    rows = _documents(spark, sf_dir).scan()
+    return rows.select("record_index", F.octet_length("record").cast("long").alias("bytes"), F.md5(F.substring("record", F.lit(5), F.octet_length("record"))).alias("body_md5"))
+
+
+def wrong_boundary_disagrees(spark, sf_dir):
+    """The same frames under the right boundary and under newlines: other records, and no error."""
+    h = _documents(spark, sf_dir)
+    right = h.inspect(fast=False).agg(F.sum("cnt_of_sep").alias("right"))
+    wrong = Handle(spark, h.paths, NEWLINE).inspect(fast=False).agg(F.sum("cnt_of_sep").alias("wrong"))
+    return right.join(wrong).select(F.col("right").cast("long"), F.col("wrong").cast("long"))
+
+
+def msgpack_records(spark, sf_dir):
+    """[id, text] values of conversations: an array of two, an unsigned integer and a string, each with 32-bit lengths."""
+
+    def make(path: str) -> None:
+        number = F.lpad(F.hex("conv_id"), 16, "0")
+        body = F.col("text").cast("binary")
+        rows = _table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.concat(F.unhex(F.concat(F.lit("92CF"), number, F.lit("DB"), F.lpad(F.hex(F.octet_length(body)), 8, "0"))), body).alias("record"))
+        write_file(rows, path, "conv_id", "turn", boundary=MessagePack(), records_per_frame=50)
+
+    h = Handle(spark, _once(spark, sf_dir, "conversations.msgpack.seek.zst", make), MessagePack())
+    return h.scan().select("record_index", F.conv(F.substring(F.hex("record"), 5, 16), 16, 10).cast("long").alias("conv_id"), F.octet_length("record").cast("long").alias("bytes"))
+
+
+def overlap_separator(spark, sf_dir):
+    """Whole records and wholeness of 'a' and up to six newlines under a separator of two."""
+    double = Separated(b"\n\n")
+    rows = [(k, double.count(b"a" + b"\n" * k), double.ends_whole(b"a" + b"\n" * k)) for k in range(7)]
+    return spark.createDataFrame(rows, "k long, records long, whole boolean")
+
+
+def documents_sep_multi(spark, sf_dir):
+    separator = b"\x00-=-\x00"
+
+    def make(path: str) -> None:
+        rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("text").cast("binary"), F.lit(separator)).alias("record"))
+        write_file(rows, path, "doc_id", boundary=Separated(separator), records_per_frame=32)
+
+    h = Handle(spark, _once(spark, sf_dir, "documents.sep.seek.zst", make), Separated(separator))
+    return h.scan().select("record_index", F.md5(codec.strip_separator("record", separator)).alias("text_md5"))
+
+
+def custom_boundary_frames(spark, sf_dir):
+    """A boundary by a caller's function gives the same cuts as the one it copies."""
+    cutter = FrameCutter(NEWLINE, Framing(records_per_frame=3))
+    frames = [f for i in range(10) for f in cutter.add(b"%d\n" % i)] + list(cutter.finish())
+    return spark.createDataFrame([(i, n, len(data)) for i, (data, n) in enumerate(frames)], "frame long, records long, bytes long")
+
+
+REC = "WITH rec AS (SELECT event_id AS record_index, concat_ws('|', event_id, user_id, event_type) AS value FROM events), ord AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, concat_ws('|', o_orderkey, o_custkey, o_orderstatus) AS value FROM orders)"
+ALL = f"{REC} SELECT record_index, value FROM rec"
+_FRAMES = "SELECT record_index // {n} AS frame, count(*) AS cnt, CAST(sum(strlen(value) + {s}) AS BIGINT) AS decomp_size FROM rec GROUP BY 1"
+_N = "SELECT 1 + min(record_index) AS n FROM (SELECT record_index, sum(strlen(value) + 1) OVER (ORDER BY record_index) AS e FROM rec) WHERE e >= 16384"
+_AUTO = f"{REC}, n AS ({_N}) SELECT record_index // n AS frame, count(*) AS cnt, CAST(sum(strlen(value) + 1) AS BIGINT) AS decomp_size FROM rec, n GROUP BY 1"
+_LAYOUT = REC + ", f AS (" + _FRAMES + ") SELECT frame, cnt, CAST(sum(decomp_size) OVER (ORDER BY frame) - decomp_size AS BIGINT) AS decomp_start, CAST(sum(decomp_size) OVER (ORDER BY frame) AS BIGINT) AS decomp_end, decomp_size FROM f"
+_APPENDED = f"{REC}, t AS (SELECT count(*) AS t FROM rec), a AS (SELECT record_index, value FROM rec UNION ALL SELECT t + i, value FROM ord, t WHERE i < 100)"
+_DRIFT = "WITH g AS (SELECT * FROM (VALUES (0, 0, 10), (1, 10, 14), (2, 14, 24), (3, 24, 34)) AS v(frame, a, b)), l AS (SELECT frame, a, unnest(range(a, b)) AS i FROM g)"
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "scan_all": (scan_all, ALL),
+    "scan_from": (range_of(500, None), f"{ALL} WHERE record_index >= 500"),
+    "scan_pushed_range": (scan_pushed, f"{ALL} WHERE record_index >= 130 AND record_index < 333"),
+    "lookup_point": (range_of(321, 1), f"{ALL} WHERE record_index = 321"),
+    "lookup_points": (points, f"{ALL} WHERE record_index IN (0, 63, 64, 321) OR record_index = (SELECT max(record_index) FROM rec)"),
+    "lookup_missing": (lookup_missing, f"{ALL} WHERE record_index = 1000000000"),
+    "range_one_frame": (range_of(70, 10), f"{ALL} WHERE record_index BETWEEN 70 AND 79"),
+    "range_cross_frames": (range_of(60, 200), f"{ALL} WHERE record_index BETWEEN 60 AND 259"),
+    "range_past_end_clipped": (range_past_end_clipped, f"{ALL} WHERE record_index >= (SELECT max(record_index) - 9 FROM rec)"),
+    "head_n": (range_of(0, 25), f"{ALL} WHERE record_index < 25"),
+    "tail_n": (tail_n, f"{ALL} WHERE record_index > (SELECT max(record_index) - 25 FROM rec)"),
+    "skip_take": (skip_take, f"{ALL} WHERE record_index >= 40 AND record_index < 65"),
+    "reverse_tail": (reverse_tail, f"{REC} SELECT record_index, value, (SELECT max(record_index) FROM rec) - record_index AS rev FROM rec WHERE record_index > (SELECT max(record_index) - 50 FROM rec)"),
+    "filter_contains": (filter_contains, f"{ALL} WHERE contains(value, 'purchase')"),
+    "filter_map_take": (filter_map_take, f"{REC} SELECT record_index, split_part(value, '|', 3) AS event_type FROM rec WHERE contains(value, 'purchase') ORDER BY record_index LIMIT 10"),
+    "fold_bytes": (fold_bytes, f"{REC} SELECT CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes, CAST(max(strlen(value) + 1) AS BIGINT) AS longest FROM rec"),
+    "fold_ordered": (fold_ordered, f"{REC} SELECT list_reduce(list_prepend(CAST(7 AS BIGINT), (SELECT list(CAST(strlen(value) + 1 AS BIGINT) ORDER BY record_index) FROM rec WHERE record_index < 300)), lambda a, x: (a * 31 + x) % 1000003) AS digest"),
+    "total_records": (total_records, f"{REC} SELECT count(*) AS records FROM rec"),
+    "shard_scan": (shard_scan, f"{REC}, f AS (SELECT max(record_index) // 64 + 1 AS f FROM rec), s AS (SELECT k AS shard, f * k // 4 * 64 AS a, CASE WHEN k = 3 THEN 1000000000000 ELSE f * (k + 1) // 4 * 64 END AS b FROM f, range(4) AS r(k)) SELECT shard, count(record_index) AS n, min(record_index) AS first, max(record_index) AS last FROM s LEFT JOIN rec ON record_index >= a AND record_index < b GROUP BY shard"),
+    "from_frame": (from_frame, f"{REC} SELECT record_index - 576 AS record_index, value FROM rec WHERE record_index >= 576"),
+    "where_length_select": (where_length_select, f"{REC} SELECT count(*) AS n FROM rec WHERE split_part(value, '|', 3) = 'click'"),
+    "uniq_counts": (uniq_counts, f"{REC} SELECT split_part(value, '|', 3) AS event_type, count(*) AS n FROM rec GROUP BY 1"),
+    "text_source_agrees": (text_source_agrees, f"{REC} SELECT value FROM rec"),
+    "positional_join": (positional_join, f"{REC} SELECT record_index, rec.value, ord.value AS order_value FROM rec JOIN ord ON record_index = i"),
+    "frame_table": (frame_layout(b"\n"), _LAYOUT.format(n=N, s=1)),
+    "frame_table_sep_multibyte": (frame_layout(b"-=-"), _LAYOUT.format(n=N, s=3)),
+    "frame_table_fast": (frame_layout_fast, f"{REC} SELECT record_index // 64 AS frame, count(*) AS cnt FROM rec GROUP BY 1"),
+    "auto_n": (auto_n, f"{REC} {_N}"),
+    "frames_auto_n": (frames_auto_n, _AUTO),
+    "frames_logical": (frames_logical, _AUTO),
+    "size_mode_frames": (
+        size_mode_frames,
+        "WITH RECURSIVE e AS (SELECT event_id AS i, sum(strlen(concat_ws('|', event_id, user_id, event_type)) + 1) OVER (ORDER BY event_id) AS e FROM events), "
+        "c AS (SELECT CAST(0 AS BIGINT) AS frame, CAST(0 AS HUGEINT) AS a, (SELECT coalesce(min(e), (SELECT max(e) FROM e)) FROM e WHERE e >= 4000) AS b "
+        "UNION ALL SELECT frame + 1, b, (SELECT coalesce(min(e.e), (SELECT max(e) FROM e)) FROM e WHERE e.e >= c.b + 4000) FROM c WHERE b < (SELECT max(e) FROM e)) "
+        "SELECT frame, (SELECT count(*) FROM e WHERE e.e > a AND e.e <= b) AS cnt, CAST(b - a AS BIGINT) AS decomp_size FROM c",
+    ),
+    "verify_uniform_ok": (verify_uniform, f"{REC} SELECT record_index // 64 AS frame, count(*) AS cnt FROM rec GROUP BY 1 HAVING count(*) > 64"),
+    "verify_drift": (verify_drift, f"{_DRIFT} SELECT CAST(frame AS BIGINT) AS frame, count(*) AS cnt FROM l WHERE frame < 3 GROUP BY 1 HAVING count(*) <> 10"),
+    "drift_misplaced_index": (drift_misplaced_index, "WITH g AS (SELECT * FROM (VALUES (0, 0, 10), (1, 10, 14), (2, 14, 24), (3, 24, 34)) AS v(frame, a, b)) SELECT i AS record_index, CASE WHEN i % 10 < b - a THEN 'line ' || (a + i % 10) END AS value FROM range(40) AS r(i) JOIN g ON i // 10 = frame"),
+    "drift_exact_scan": (drift_exact_scan, "SELECT i AS record_index, 'line ' || i AS value FROM range(8, 28) AS r(i)"),
+    "handle_summary": (handle_summary, "SELECT CAST(1 AS BIGINT) AS file, 'sep' AS finder, (count(*) + 63) // 64 AS frames, CAST(64 AS BIGINT) AS records_per_frame, count(*) AS records FROM events UNION ALL SELECT 2, 'sep', (count(*) + 99) // 100, 100, count(*) FROM orders"),
+    "multi_file_scan": (multi_file_scan, f"{REC}, t AS (SELECT count(*) AS t FROM rec) SELECT CAST(0 AS BIGINT) AS file, record_index, value FROM rec UNION ALL SELECT 1, t + i, value FROM ord, t"),
+    "multi_file_range": (multi_file_range, f"{REC}, t AS (SELECT count(*) AS t FROM rec), u AS (SELECT record_index, value FROM rec UNION ALL SELECT t + i, value FROM ord, t) SELECT u.record_index, u.value FROM u, t WHERE u.record_index >= t - 5 AND u.record_index < t + 10"),
+    "folder_scan": (folder_scan, ALL),
+    "conversations_handle": (conversations_handle, "SELECT row_number() OVER (ORDER BY role, conv_id, turn) - 1 AS record_index, concat_ws('|', role, conv_id, turn) AS value FROM conversations WHERE role IS NOT NULL"),
+    "truncate_k": (truncate_k, f"{ALL} WHERE record_index < 448"),
+    "truncate_logical": (truncate_logical, f"{ALL} WHERE record_index < 448"),
+    "append_records": (append_records, f"{_APPENDED} SELECT record_index, value FROM a, t WHERE record_index >= t + 100 - 130"),
+    "append_frame_counts": (append_frame_counts, f"{_APPENDED} SELECT record_index // 64 AS frame, count(*) AS cnt, CAST(sum(strlen(value) + 1) AS BIGINT) AS decomp_size FROM a GROUP BY 1"),
+    "append_changed_frames": (append_changed_frames, f"{_APPENDED} SELECT DISTINCT record_index // 64 AS frame FROM a, t WHERE record_index // 64 >= t // 64"),
+    "append_frames_join": (append_frames_join, f"{REC} SELECT record_index - 128 AS record_index, value FROM rec WHERE record_index BETWEEN 128 AND 319 UNION ALL SELECT record_index - 640 + 192, value FROM rec WHERE record_index BETWEEN 640 AND 767"),
+    "copy_range": (copy_range, f"{REC} SELECT record_index - 192 AS record_index, value FROM rec WHERE record_index BETWEEN 192 AND 575"),
+    "copy_range_logical": (copy_range_logical, f"{REC} SELECT record_index - 192 AS record_index, value FROM rec WHERE record_index BETWEEN 192 AND 575"),
+    "split_rejoin": (split_rejoin, ALL),
+    "split_update_rejoin": (split_update_rejoin, f"{REC} SELECT record_index, CASE WHEN record_index BETWEEN 256 AND 383 THEN 'new ' ELSE '' END || value AS value FROM rec"),
+    "insert_separator": (insert_separator, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a'), (1, 'b'), (2, 'c'), (3, 'part'), (4, 'd')) AS v(record_index, value)"),
+    "json_decode": (json_decode, "SELECT event_id AS record_index, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
+    "json_variant": (json_variant, "SELECT event_id AS record_index, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
+    "json_encode_lines": (json_encode_lines, """SELECT event_id AS record_index, '{"seq":' || event_id || ',"kind":"' || event_type || '","inner":{"user":' || user_id || '}}' AS value FROM events"""),
+    "json_deep_path": (json_deep_path, "SELECT event_id AS record_index, user_id AS user FROM events"),
+    "strip_and_terminate": (strip_and_terminate, "SELECT v AS value, CASE WHEN v LIKE '%' || chr(10) THEN left(v, length(v) - 1) ELSE v END AS stripped, CASE WHEN v = '' OR v LIKE '%' || chr(10) THEN v ELSE v || chr(10) END AS terminated FROM (VALUES ('a' || chr(10)), ('a'), (''), (chr(10)), ('a' || chr(10) || chr(10))) AS t(v)"),
+    "fixed_records": (fixed_records, "SELECT vec_id AS record_index, embedding[1] AS first, embedding[64] AS last FROM embeddings"),
+    "le32_records": (le32_records, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_index, CAST(strlen(text) + 4 AS BIGINT) AS bytes, md5(text) AS body_md5 FROM documents"),
+    "wrong_boundary_disagrees": (
+        wrong_boundary_disagrees,
+        """WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, encode(text) AS b, octet_length(encode(text)) AS n FROM documents)
+        SELECT count(*) AS right, CAST(sum(length(decode_lines) + CASE WHEN n % 256 = 10 THEN 1 ELSE 0 END + CASE WHEN n // 256 % 256 = 10 THEN 1 ELSE 0 END + CASE WHEN n // 65536 % 256 = 10 THEN 1 ELSE 0 END) AS BIGINT) AS wrong
+        FROM (SELECT n, regexp_replace(CAST(decode(b) AS VARCHAR), '[^\\n]', '', 'g') AS decode_lines FROM d)""",
+    ),
+    "msgpack_records": (msgpack_records, "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS record_index, conv_id, CAST(strlen(text) + 15 AS BIGINT) AS bytes FROM conversations WHERE text IS NOT NULL"),
+    "overlap_separator": (overlap_separator, "SELECT k, k // 2 AS records, k > 0 AND k % 2 = 0 AS whole FROM range(7) AS r(k)"),
+    "documents_sep_multi": (documents_sep_multi, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_index, md5(text) AS text_md5 FROM documents"),
+    "frame_cutter": (custom_boundary_frames, "SELECT k // 3 AS frame, count(*) AS records, CAST(sum(2) AS BIGINT) AS bytes FROM range(10) AS r(k) GROUP BY 1"),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items()}
