@@ -41,6 +41,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once; with Spark's usual 10,000 whole texts a worker and the JVM hold tens of megabytes more.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold at most BATCH_ROWS rows from here on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 # ---------------------------------------------------------------- word hashing
 
 _R = 0x9E3779B97F4A7C15

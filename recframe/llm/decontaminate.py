@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recframe.llm.common import pieces, shingles, word_hashes
+from recframe.llm.common import pieces, shingles, small_batches, word_hashes
 
 N = 5
 #: Items in one pass over the documents; a larger benchmark takes several, so what a task holds is bounded.
@@ -191,6 +191,7 @@ def _clean(batches, block: tuple, radius: int, spread: int, least: float):
 
 def _blocks(benchmark: DataFrame):
     """The items, a bounded number at a time, in the order of their ids."""
+    small_batches(benchmark.sparkSession)
     rows = ((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
     while block := tuple(islice(rows, BLOCK)):
         yield block

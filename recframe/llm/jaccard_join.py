@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recframe.llm.common import materialise, mix, pieces, shingles, word_hashes
+from recframe.llm.common import materialise, mix, pieces, shingles, small_batches, word_hashes
 from recframe.llm.graph import components
 
 
@@ -168,6 +168,7 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, b
     tenths = round(similarity * 10)
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
     bands = choose_bands(similarity, target_recall, band_rows)
+    small_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: _signatures(it, n, bands, band_rows), "doc_id long, sid binary, size long, bands array<long>"))
     members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands")))
     keys = members.select("sid", F.explode("bands").alias("key"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import pieces
+from recframe.llm.common import pieces, small_batches
 
 #: Bits of the table of hashed letter trigrams.
 BITS = 16
@@ -67,6 +67,7 @@ def fit(docs: DataFrame, each: int = 2000) -> tuple[list[str], np.ndarray]:
     Only text and non-null lang of rows that aren't held out count. At most about `each` rows of a language do, chosen by the
     hash of their doc_id: that bounds the fit whatever the corpus holds; the model has 2**16 numbers a language.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     share = {r["lang"]: min(1.0, each / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import byte_classes, pieces, word_hashes
+from recframe.llm.common import byte_classes, pieces, small_batches, word_hashes
 
 #: Words: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z; bytes above ASCII belong to words.
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -78,6 +78,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     Every task sends one count a licence word; what comes to the driver has the size of the templates.
     """
     words = vocabulary()
+    small_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(lambda it: _frequencies(it, words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(words) + 1)
     for r in counts:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recframe.llm.common import small_batches
+
 #: Elements whose content is never text.
 _OPAQUE = "script|style|noscript|template|textarea|iframe|svg|math|select|button|title|object|canvas"
 #: A comment, an opaque element with its content, a tag (attributes may quote >) or another declaration; each may be cut off by the page's end.
@@ -110,6 +112,7 @@ def fit(pages: DataFrame, most: int = 2000) -> Weights:
 
     The sample bounds what the fit reads and what comes to the driver, at any size; where no page is labelled, usual weights stand.
     """
+    small_batches(pages.sparkSession)
     total = pages.count()
     share = int(min(1.0, most / max(total, 1)) * 2**31)
     sample = pages.where(F.pmod(F.xxhash64("page_id", F.lit("fit")), F.lit(1 << 31)) < share).select("html")

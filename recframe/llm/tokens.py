@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recframe.llm.common import shared_dir
+from recframe.llm.common import shared_dir, small_batches
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
@@ -167,6 +167,7 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID) ->
     """
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     width = id_width(path, end_id)
+    small_batches(docs.sparkSession)
     parts = sorted(ordered.mapInArrow(lambda it: _write_parts(it, uri, path, end_id, width), "part int, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts])]) if parts else [0]
     return [(p.part, p.n_docs, int(b)) for p, b in zip(parts, bases)]
