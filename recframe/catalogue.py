@@ -522,7 +522,7 @@ def custom_boundary_frames(spark, sf_dir):
 REC = "WITH rec AS (SELECT event_id AS record_index, concat_ws('|', event_id, user_id, event_type) AS value FROM events), ord AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, concat_ws('|', o_orderkey, o_custkey, o_orderstatus) AS value FROM orders)"
 ALL = f"{REC} SELECT record_index, value FROM rec"
 _FRAMES = "SELECT record_index // {n} AS frame, count(*) AS cnt, CAST(sum(strlen(value) + {s}) AS BIGINT) AS decomp_size FROM rec GROUP BY 1"
-_N = "SELECT 1 + min(record_index) AS n FROM (SELECT record_index, sum(strlen(value) + 1) OVER (ORDER BY record_index) AS e FROM rec) WHERE e >= 16384"
+_N = "SELECT coalesce(1 + min(record_index) FILTER (WHERE e >= 16384), count(*)) AS n FROM (SELECT record_index, sum(strlen(value) + 1) OVER (ORDER BY record_index) AS e FROM rec)"
 _AUTO = f"{REC}, n AS ({_N}) SELECT record_index // n AS frame, count(*) AS cnt, CAST(sum(strlen(value) + 1) AS BIGINT) AS decomp_size FROM rec, n GROUP BY 1"
 _LAYOUT = REC + ", f AS (" + _FRAMES + ") SELECT frame, cnt, CAST(sum(decomp_size) OVER (ORDER BY frame) - decomp_size AS BIGINT) AS decomp_start, CAST(sum(decomp_size) OVER (ORDER BY frame) AS BIGINT) AS decomp_end, decomp_size FROM f"
 _APPENDED = f"{REC}, t AS (SELECT count(*) AS t FROM rec), a AS (SELECT record_index, value FROM rec UNION ALL SELECT t + i, value FROM ord, t WHERE i < 100)"

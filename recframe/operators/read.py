@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ class Handle:
     # ------------------------------------------------------------- scans
 
     def _load(self, **options: str) -> DataFrame:
-        boundary = {"boundary_pickle": pickle.dumps(self.boundary).hex()} if isinstance(self.boundary, Custom) else self.boundary.options()
+        boundary = {"boundary_pickle": cloudpickle.dumps(self.boundary).hex()} if isinstance(self.boundary, Custom) else self.boundary.options()
         return self.spark.read.format("recframe").options(paths=json.dumps(self.paths), **boundary, **self._options, **options).load()
 
     def scan(self) -> DataFrame:

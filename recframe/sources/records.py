@@ -16,6 +16,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -59,18 +60,21 @@ def _true(value: str | None) -> bool:
     return str(value).lower() in ("true", "1", "yes")
 
 
-def _judge(part: FrameRange, boundary: Boundary, i: int, ends: np.ndarray, size: int, reached: bool) -> None:
-    """Refuse a frame whose end the request reaches if that breaks the layout; see the README for what `verify` adds."""
+def _judge(part: FrameRange, boundary: Boundary, i: int, ends: np.ndarray, size: int, past: int) -> None:
+    """Refuse a frame that breaks the layout. past: how many records the request wants beyond the frame's whole ones.
+
+    Only what the request walks is judged: under `verify` a frame whose end it reaches (past is 0 or more), otherwise one
+    whose fragment stands in its way (past above 0).
+    """
     final = part.last and i == len(part.compressed) - 1
-    whole = int(ends[-1]) if len(ends) else 0
-    if not reached or final:
-        if part.verify and final and reached and len(ends) > part.per_frame:
-            raise Uneven(f"frame {part.first + i} of {part.path} holds {len(ends)} records rather than {part.per_frame}: another writer or boundary made this file")
-        return
-    if part.verify and len(ends) != part.per_frame:
-        raise Uneven(f"frame {part.first + i} of {part.path} holds {len(ends)} records rather than {part.per_frame}: another writer or boundary made this file")
-    if whole != size:
-        raise IncompleteFrame(f"{'bytes after the last record of' if part.verify else 'incomplete record at nonfinal frame boundary:'} frame {part.first + i} of {part.path}")
+    named = f"frame {part.first + i} of {part.path}"
+    if part.verify and past >= 0 and (len(ends) > part.per_frame if final else len(ends) != part.per_frame):
+        raise Uneven(f"{named} holds {len(ends)} records rather than {part.per_frame}: another writer or boundary made this file")
+    if not final and (int(ends[-1]) if len(ends) else 0) != size:
+        if part.verify and past >= 0:
+            raise Uneven(f"{named} holds bytes after its last record: another writer or boundary made this file")
+        if past > 0:
+            raise IncompleteFrame(f"incomplete record at nonfinal frame boundary: {named}")
 
 
 def read_frames(part: FrameRange) -> Iterator[pa.RecordBatch]:
@@ -83,7 +87,7 @@ def read_frames(part: FrameRange) -> Iterator[pa.RecordBatch]:
         at += size
         ends = boundary.ends(data)
         whole = int(ends[-1]) if len(ends) else 0
-        _judge(part, boundary, i, ends, len(data), part.high >= index + len(ends))
+        _judge(part, boundary, i, ends, len(data), part.high - index - len(ends))
         if whole < len(data) and boundary.fragment_is_record and part.last and i == len(part.compressed) - 1:
             ends = np.append(ends, len(data))
         n = len(ends)
@@ -101,7 +105,7 @@ def read_frames(part: FrameRange) -> Iterator[pa.RecordBatch]:
 def plan(files: RecordFiles, start: int, count: int | None, options: dict[str, str], clip: bool = False) -> list[FrameRange]:
     """Frame ranges of about partition_bytes for a range of indices. clip: a range past the end is empty, not refused."""
     limit, verify = int(options.get("partition_bytes", PARTITION_BYTES)), _true(options.get("verify"))
-    packed, out = pickle.dumps(files.boundary), []
+    packed, out = cloudpickle.dumps(files.boundary), []
     if options.get("index_mode", "divide") not in ("divide", "exact"):
         raise SpecError(f"index_mode is divide or exact, not {options['index_mode']!r}")
     exact = options.get("index_mode") == "exact"
@@ -160,7 +164,7 @@ class RecordReader(DataSourceReader):
         files = self._files()
         if self.clip and self.start == 0 and self.count is None:
             return plan(files, 0, None, self.options)
-        return plan(files, self.start, self.count, self.options, self.clip) or [FrameRange("", 0, 0, 0, [], [], 0, 0, 0, 0, False, False, pickle.dumps(files.boundary))]
+        return plan(files, self.start, self.count, self.options, self.clip) or [FrameRange("", 0, 0, 0, [], [], 0, 0, 0, 0, False, False, cloudpickle.dumps(files.boundary))]
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
         if partition.compressed:
