@@ -514,7 +514,7 @@ def documents_sep_multi(spark, sf_dir):
 
 def custom_boundary_frames(spark, sf_dir):
     """A boundary by a caller's function gives the same cuts as the one it copies."""
-    cutter = FrameCutter(NEWLINE, Framing(records_per_frame=3))
+    cutter = FrameCutter(Framing(records_per_frame=3))
     frames = [f for i in range(10) for f in cutter.add(b"%d\n" % i)] + list(cutter.finish())
     return spark.createDataFrame([(i, n, len(data)) for i, (data, n) in enumerate(frames)], "frame long, records long, bytes long")
 

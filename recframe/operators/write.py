@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from recframe.plans.framing import FrameCutter, Framing
 from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index
 from recframe.session import register
 from recframe.sources.container import FrameTable, encode_frame, seek_table
+from recframe.sources.records import run_of
 
 
 def write_folder(df: DataFrame, path: str, *order_by: str, boundary: Boundary | None = None, mode: str = "append", extension: str = "bin", **framing) -> None:
@@ -31,19 +33,22 @@ def write_folder(df: DataFrame, path: str, *order_by: str, boundary: Boundary |
 
 
 def _encode_frames(batches, level: int, checksum: bool):
-    held, frame, size = [], None, 0
+    held, frame = [], None
 
     def done():
         data = b"".join(held)
         return pa.RecordBatch.from_pydict({"frame": pa.array([frame], pa.int32()), "raw": pa.array([encode_frame(data, level, checksum)], pa.binary()), "size": pa.array([len(data)], pa.int64())})
 
     for batch in batches:
-        for f, record in zip(batch.column("frame").to_pylist(), batch.column("record").to_pylist()):
-            if f != frame and held:
+        frames = batch.column("frame").to_numpy()
+        data, ends = run_of(batch.column("record").fill_null(b""))
+        firsts = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1]])).tolist() if len(frames) else []
+        for a, b in zip(firsts, [*firsts[1:], len(frames)]):
+            if frames[a] != frame and held:
                 yield done()
                 held = []
-            frame = f
-            held.append(record or b"")
+            frame = frames[a]
+            held.append(bytes(data[ends[a - 1] if a else 0 : ends[b - 1]]))
     if held:
         yield done()
 
@@ -93,7 +98,7 @@ def _write_by_size(indexed: DataFrame, path: str, boundary: Boundary, framing: F
     """Frames cut by size alone: each cut depends on the one before, so one ordered pass over the records makes them."""
 
     def put(out) -> None:
-        cutter, sizes = FrameCutter(boundary, framing), []
+        cutter, sizes = FrameCutter(framing), []
 
         def write(frames) -> None:
             for data, _ in frames:
@@ -110,7 +115,7 @@ def _write_by_size(indexed: DataFrame, path: str, boundary: Boundary, framing: F
     return framing
 
 
-def compress(source: str, target: str | None = None, boundary: Boundary | None = None, remove: bool = False, chunk: int = 1 << 20, **options) -> Framing:
+def compress(source: str, target: str | None = None, boundary: Boundary | None = None, remove: bool = False, chunk: int = 8 << 20, **options) -> Framing:
     """A plain local file as a record file (default: beside it, with .seek.zst after its name), in one pass and bounded memory."""
     boundary, framing = boundary or Separated(b"\n"), Framing(**options)
     target = target or f"{source}.seek.zst"
@@ -118,28 +123,26 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
         raise SpecError("the output would replace the input")
 
     def put(out) -> int | None:
-        cutter, sizes = FrameCutter(boundary, framing), []
+        cutter, sizes, rest = FrameCutter(framing), [], b""
+        with open(local(source), "rb") as f, ThreadPoolExecutor() as pool:
 
-        def write(frames) -> None:
-            for data, _ in frames:
-                raw = encode_frame(data, framing.level, framing.checksum)
-                out.write(raw)
-                sizes.append((len(raw), len(data)))
+            def write(frames) -> None:
+                frames = [data for data, _ in frames]
+                for data, raw in zip(frames, pool.map(lambda x: encode_frame(x, framing.level, framing.checksum), frames)):
+                    out.write(raw)
+                    sizes.append((len(raw), len(data)))
 
-        rest = b""
-        with open(local(source), "rb") as f:
             while more := f.read(chunk):
                 rest += more
-                at = 0
-                for end in boundary.ends(rest).tolist():
-                    write(cutter.add(rest[at:end]))
-                    at = end
-                rest = rest[at:]
-        if rest:
-            write(cutter.add(rest))
-        write(cutter.finish())
-        if not sizes:
-            write([(b"", 0)])
+                ends = boundary.ends(rest)
+                if len(ends):
+                    write(cutter.feed(rest, ends))
+                    rest = rest[int(ends[-1]) :]
+            if rest:
+                write(cutter.add(rest))
+            write(cutter.finish())
+            if not sizes:
+                write([(b"", 0)])
         out.write(seek_table(FrameTable(*(np.array(x, np.uint32) for x in zip(*sizes)))))
         return cutter.per_frame
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 from recframe.errors import Refused, SpecError
-from recframe.functions.boundary import Boundary
 
 #: The least that frame_size * limit_multiplier may be for inputs that are longer than it.
 LEAST_LIMIT = 32768
@@ -40,43 +42,71 @@ class Framing:
 
 
 class FrameCutter:
-    """Takes records in order and gives (frame, records) as frames fill.
+    """Takes runs of whole records in order and gives (frame, records) as frames fill.
 
-    A record above the limit, or a limit below 32768 that the input passes, makes a derived count start over at half in the
-    original tools; here records arrive whole, so the count stays what the sizes give and only an over-long record before the
-    count is known sets it to 1. With a given count, or by size, it is refused.
+    Records arrive whole, so a frame's size is known when it is cut and nothing is ever tried again. A record above the limit
+    that comes before the count of a uniform file is known settles it at what is held, at least 1; with a given count, or
+    where size alone cuts, such a record is refused.
     """
 
-    def __init__(self, boundary: Boundary, framing: Framing):
-        self.boundary, self.framing = boundary, framing
+    def __init__(self, framing: Framing):
+        self.framing = framing
         self.per_frame = framing.records_per_frame
         self.held: list[bytes] = []
-        self.size = 0
+        self.count = self.size = 0
 
-    def _cut(self) -> tuple[bytes, int]:
-        frame = b"".join(self.held), len(self.held)
-        self.held, self.size = [], 0
+    def _cut(self, last: bytes = b"", count: int = 0) -> tuple[bytes, int]:
+        frame = b"".join([*self.held, last]) if self.held else bytes(last), self.count + count
+        self.held, self.count, self.size = [], 0, 0
         return frame
 
-    def add(self, record: bytes):
-        if len(record) > self.framing.limit:
+    def _hold(self, data: bytes, count: int) -> None:
+        if count:
+            self.held.append(bytes(data))
+            self.count += count
+            self.size += len(data)
+
+    def feed(self, data: bytes, ends: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        """data is a run of records that end at `ends`."""
+        n, view = len(ends), memoryview(data)
+        starts = np.concatenate([[0], ends[:-1]]) if n else ends
+        long = np.flatnonzero(ends - starts > self.framing.limit)
+        if len(long):
+            at = int(long[0])
             if self.framing.records_per_frame is not None or not self.framing.uniform:
-                raise Refused(f"a record of {len(record)} bytes is above the limit of {self.framing.limit}: raise frame_size or limit_multiplier")
+                raise Refused(f"a record of {int(ends[at] - starts[at])} bytes is above the limit of {self.framing.limit}: raise frame_size or limit_multiplier")
+            if self.per_frame is None and at:
+                yield from self._run(view[: starts[at]], ends[:at])
+                view, ends = view[starts[at] :], ends[at:] - starts[at]
             if self.per_frame is None:
-                self.per_frame = max(1, len(self.held))
-                if len(self.held) == self.per_frame:
+                self.per_frame = max(1, self.count)
+                if self.count == self.per_frame:
                     yield self._cut()
-        self.held.append(record)
-        self.size += len(record)
-        if self.per_frame is not None and self.framing.uniform:
-            full = len(self.held) >= self.per_frame
-        else:
-            full = self.size >= self.framing.frame_size
-        if full:
-            if self.framing.uniform and self.per_frame is None:
-                self.per_frame = len(self.held)
-            yield self._cut()
+        yield from self._run(view, ends)
 
-    def finish(self):
-        if self.held:
+    def _run(self, view: memoryview, ends: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        n = len(ends)
+        if self.framing.uniform:
+            if self.per_frame is None:
+                at = int(np.searchsorted(ends, self.framing.frame_size - self.size))
+                if at < n:
+                    self.per_frame = self.count + at + 1
+            cuts = np.arange(self.per_frame - self.count - 1, n, self.per_frame).tolist() if self.per_frame is not None else []
+        else:
+            cuts, reach = [], self.framing.frame_size - self.size
+            while (at := int(np.searchsorted(ends, reach))) < n:
+                cuts.append(at)
+                reach = int(ends[at]) + self.framing.frame_size
+        first, start = 0, 0
+        for at in cuts:
+            yield self._cut(view[start : ends[at]], at + 1 - first)
+            first, start = at + 1, int(ends[at])
+        self._hold(view[start : int(ends[-1]) if n else 0], n - first)
+
+    def add(self, record: bytes) -> Iterator[tuple[bytes, int]]:
+        """One record."""
+        return self.feed(record, np.array([len(record)]))
+
+    def finish(self) -> Iterator[tuple[bytes, int]]:
+        if self.count:
             yield self._cut()

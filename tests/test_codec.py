@@ -6,7 +6,7 @@ from recframe.functions import codec
 from recframe.plans import logical
 from recframe.plans.framing import FrameCutter, Framing
 from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index
-from tests.model import NEWLINE, lines
+from tests.model import lines
 
 
 def test_values(spark):
@@ -49,7 +49,7 @@ def test_index_is_dense_whatever_the_partitions(spark):
 def test_frames(spark):
     records = lines(300)
     df = spark.createDataFrame(list(enumerate(records)), "record_index long, record binary")
-    cutter = FrameCutter(NEWLINE, Framing(frame_size=1000))
+    cutter = FrameCutter(Framing(frame_size=1000))
     frames = [f for r in records for f in cutter.add(r)] + list(cutter.finish())
     n = derive_per_frame(df, 1000)
     assert n == frames[0][1] and sum(len(f) for f, _ in frames) == sum(map(len, records))
@@ -61,11 +61,11 @@ def test_frames(spark):
 
 
 def test_long_records_before_the_count_is_known():
-    cutter = FrameCutter(NEWLINE, Framing(frame_size=10, limit_multiplier=2))
+    cutter = FrameCutter(Framing(frame_size=10, limit_multiplier=2))
     frames = [f for r in (b"x" * 50 + b"\n", b"a\n", b"b\n") for f in cutter.add(r)] + list(cutter.finish())
     assert [n for _, n in frames] == [1, 1, 1]
     with pytest.raises(ValueError):
-        list(FrameCutter(NEWLINE, Framing(frame_size=10, limit_multiplier=2, records_per_frame=2)).add(b"x" * 50))
+        list(FrameCutter(Framing(frame_size=10, limit_multiplier=2, records_per_frame=2)).add(b"x" * 50))
 
 
 def test_logical_edits(spark):
