@@ -90,7 +90,19 @@ def byte_classes(separators: bytes, fold_case: bool = False) -> np.ndarray:
     return t
 
 
-SPACES = byte_classes(WHITE_SPACE.encode())
+#: Words of near-duplicate operators: runs of ASCII letters and digits and of all characters above ASCII, in lower case.
+WORDS = byte_classes(bytes(b for b in range(128) if not chr(b).isalnum()), fold_case=True)
+#: The same for whole texts, as a regular expression that finds a word's first character.
+WORD_START = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals from U+00C0 to U+00DE in lower case."""
+    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    if len(capital):
+        data = data.copy()
+        data[capital] += 0x20
+    return data
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +127,13 @@ def pieces(column: pa.Array, most: int = 1 << 20):
         row = end
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, classes: np.ndarray = SPACES) -> tuple[np.ndarray, ...]:
-    """Hash of every word, its first and end byte, and the offsets of the rows in the words.
+def word_hashes(data: np.ndarray, at: np.ndarray, classes: np.ndarray = WORDS) -> tuple[np.ndarray, ...]:
+    """Hash of every word, its first and end byte, and the offsets of the rows in the words. By default texts are first put through lower_latin.
 
     A word is a maximal run of bytes whose class is not 0; it never crosses rows.
     """
-    n, rows = len(data), len(at) - 1
-    value = classes[data]
+    n = len(data)
+    value = classes[lower_latin(data) if classes is WORDS else data]
     inside = value != 0
     cut = np.zeros(n + 1, bool)
     cut[at] = True
@@ -137,7 +149,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, classes: np.ndarray = SPACES)
     return h, start, end, np.searchsorted(start, at)
 
 
-def word_hash(word: str, classes: np.ndarray = SPACES) -> int:
+def word_hash(word: str, classes: np.ndarray = WORDS) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
     h = word_hashes(raw, np.array([0, len(raw)]), classes)[0]
     assert len(h) == 1, word

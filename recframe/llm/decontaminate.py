@@ -201,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     """doc_id, item_id, similarity, first_word: for every row of docs (doc_id, text) the items of benchmark (item_id, text) it holds.
 
     An item is held if a window with as many words as it has is at least `least` similar: weighted Jaccard of 5-word shingles
-    (all words of a shorter item), each weighing as often as it occurs. The best window is reported, the first on ties.
+    (all words of a shorter item; words: see WORDS, neither case nor punctuation counts), each weighing as often as it occurs. The best window is reported, the first on ties.
     Null or empty texts hold nothing and null or empty items aren't held; other columns are ignored; a repeated row is
     reported again, a repeated item too.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recframe.llm.common import materialise, mix, pieces, shingles, small_batches, word_hashes
+from recframe.llm.common import WORD_START, materialise, mix, pieces, shingles, small_batches, word_hashes
 from recframe.llm.graph import components
 
 
@@ -191,10 +191,10 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, b
 
 
 def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
-    """doc_id, copy_id, class_id, n_words_sets, n_links for every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, copy_id, class_id, n_shingles, n_links for every row of docs (doc_id, text; other columns are ignored).
 
-    Two texts link if the Jaccard similarity of their sets of n-word shingles (words: runs without ASCII white space; a text of
-    fewer than n words is one shingle) is at least `similarity` (in steps of 0.1). copy_id is the least doc_id with the same
+    Two texts link if the Jaccard similarity of their sets of n-word shingles (words: see WORDS; neither case nor punctuation
+    counts; a text of fewer than n words is one shingle) is at least `similarity` (in steps of 0.1). copy_id is the least doc_id with the same
     shingle set, class_id the least doc_id that links lead to, n_links counts the other documents that link, copies included.
     Texts that are null or hold no word link to nothing: their copy_id and class_id are their own doc_id and n_links is 0.
     Repeated rows are copies; a null doc_id never is a least one unless there is no other.
@@ -242,4 +242,4 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, targe
     schema = T.StructType([*docs.schema.fields, T.StructField("_near_sid", T.BinaryType())])
     marked = docs.mapInArrow(lambda it: _digests(it, n), schema)
     kept = marked.where("_near_sid is not null").join(stay, (F.col("_near_sid") == stay.sid) & marked.doc_id.eqNullSafe(stay.first_doc), "left_semi")
-    return kept.dropDuplicates(["_near_sid"]).drop("_near_sid").unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    return kept.dropDuplicates(["_near_sid"]).drop("_near_sid").unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_START), F.lit(False))))
