@@ -114,14 +114,15 @@ def plan_mix(sizes: DataFrame, shards: int, seed: int, block_words: int) -> Data
 
 
 def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's plan and the shard of each of their copies in the mix."""
-    plan = plan.withColumnRenamed("source", "_mix_source")
-    out = rows.join(plan, rows.source.eqNullSafe(F.col("_mix_source")))
-    is_extra = F.col("_mix_place") == F.col("extra")
-    epochs = F.col("full") + ((F.col("_mix_place") < F.col("last")) | is_extra).cast("int")
-    block = F.shiftright(F.col("_mix_place") * F.col("blocks"), 32)
-    numbers = F.transform(F.sequence(F.lit(0), F.col("_mix_epochs") - 1), lambda e: F.pmod(F.when(is_extra & (e == F.col("full")), F.col("quota") - 1).otherwise(e * F.col("blocks") + block) * F.col("step"), F.greatest("quota", F.lit(1))))
-    shard = F.transform(numbers, lambda o: F.size(F.filter("ends", lambda x: x <= o)))
+    """rows with their source's plan and the shard of each of their copies in the mix, all under names that cannot clash."""
+    plan = plan.select(*(F.col(c).alias(f"_plan_{c}") for c in plan.columns))
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source")))
+    is_extra = F.col("_mix_place") == F.col("_plan_extra")
+    epochs = F.col("_plan_full") + ((F.col("_mix_place") < F.col("_plan_last")) | is_extra).cast("int")
+    block = F.shiftright(F.col("_mix_place") * F.col("_plan_blocks"), 32)
+    number = lambda e: F.when(is_extra & (e == F.col("_plan_full")), F.col("_plan_quota") - 1).otherwise(e * F.col("_plan_blocks") + block)
+    numbers = F.transform(F.sequence(F.lit(0), F.col("_mix_epochs") - 1), lambda e: F.pmod(number(e) * F.col("_plan_step"), F.greatest("_plan_quota", F.lit(1))))
+    shard = F.transform(numbers, lambda o: F.size(F.filter("_plan_ends", lambda x: x <= o)))
     out = out.withColumn("_mix_epochs", F.when(F.col("_mix_size") > 0, epochs).otherwise(0))
     return out.withColumn("_mix_shards", F.when(F.col("_mix_epochs") > 0, shard).otherwise(F.array().cast("array<int>")))
 
@@ -135,7 +136,7 @@ def mix_digest(docs: DataFrame, shards: int = 64, seed: int = 11, block_words: i
     """
     sizes = materialise(sized(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_mix_size", "_mix_place"))
     out = _planned(sizes, plan_mix(sizes, shards, seed, block_words))
-    return out.select("doc_id", F.col("_mix_size").alias("size"), "source_size", "target", (F.col("_mix_epochs") * F.col("_mix_size")).cast("long").alias("taken"), F.array_join(F.col("_mix_shards").cast("array<string>"), ",").alias("shards"))
+    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_plan_source_size").alias("source_size"), F.col("_plan_target").alias("target"), (F.col("_mix_epochs") * F.col("_mix_size")).cast("long").alias("taken"), F.array_join(F.col("_mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
 def mix(docs: DataFrame, shards: int = 64, seed: int = 11, block_words: int = 50_000) -> DataFrame:
