@@ -19,6 +19,7 @@ from recframe.functions.boundary import Boundary, Fixed, LengthPrefixed, Message
 from recframe.operators import edit
 from recframe.operators.publish import local
 from recframe.operators.read import Handle
+from recframe.operators.save import open_path, records_of_bytes, save
 from recframe.operators.write import write_file, write_folder
 from recframe.plans import logical
 from recframe.plans.framing import FrameCutter, Framing
@@ -519,6 +520,29 @@ def custom_boundary_frames(spark, sf_dir):
     return spark.createDataFrame([(i, n, len(data)) for i, (data, n) in enumerate(frames)], "frame long, records long, bytes long")
 
 
+def binary_file_records(spark, sf_dir):
+    """The same records from the file's bytes as a row."""
+    rows = records_of_bytes(spark.read.format("binaryFile").load(events(spark, sf_dir).paths[0]))
+    return _text(rows)
+
+
+def count_in_buffers(spark, sf_dir):
+    """Lines of documents that end, counted by an expression."""
+    return _table(spark, sf_dir, "documents").select("doc_id", codec.count_separators("text", b"\n").alias("ended"), codec.count_separators("text", b"\n\n").alias("blank"))
+
+
+def save_and_append(spark, sf_dir):
+    """Rows saved as JSON records in two steps."""
+
+    def make(path: str) -> None:
+        rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        save(rows.where("n_nationkey < 10"), path, "n_nationkey", records_per_frame=4)
+        save(rows.where("n_nationkey >= 10"), path, "n_nationkey", append=True)
+
+    h = open_path(spark, _once(spark, sf_dir, "nation.jsonl.seek.zst", make))
+    return h.values(schema="n_nationkey int, n_name string").select("record_index", F.col("value.n_nationkey").alias("n_nationkey"), F.col("value.n_name").alias("n_name"))
+
+
 REC = "WITH rec AS (SELECT event_id AS record_index, concat_ws('|', event_id, user_id, event_type) AS value FROM events), ord AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, concat_ws('|', o_orderkey, o_custkey, o_orderstatus) AS value FROM orders)"
 ALL = f"{REC} SELECT record_index, value FROM rec"
 _FRAMES = "SELECT record_index // {n} AS frame, count(*) AS cnt, CAST(sum(strlen(value) + {s}) AS BIGINT) AS decomp_size FROM rec GROUP BY 1"
@@ -602,6 +626,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "msgpack_records": (msgpack_records, "SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS record_index, conv_id, CAST(strlen(text) + 15 AS BIGINT) AS bytes FROM conversations WHERE text IS NOT NULL"),
     "overlap_separator": (overlap_separator, "SELECT k, k // 2 AS records, k > 0 AND k % 2 = 0 AS whole FROM range(7) AS r(k)"),
     "documents_sep_multi": (documents_sep_multi, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_index, md5(text) AS text_md5 FROM documents"),
+    "binary_file_records": (binary_file_records, ALL),
+    "count_in_buffers": (count_in_buffers, "SELECT doc_id, CAST(strlen(text) - strlen(replace(text, chr(10), '')) AS BIGINT) AS ended, CAST((strlen(text) - strlen(replace(text, chr(10) || chr(10), ''))) // 2 AS BIGINT) AS blank FROM documents"),
+    "save_and_append": (save_and_append, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS record_index, n_nationkey, n_name FROM nation"),
     "frame_cutter": (custom_boundary_frames, "SELECT k // 3 AS frame, count(*) AS records, CAST(sum(2) AS BIGINT) AS bytes FROM range(10) AS r(k) GROUP BY 1"),
 }
 

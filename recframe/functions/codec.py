@@ -78,3 +78,10 @@ def encode(df: DataFrame, format: str = "raw", separator: bytes = b"\n", column:
     else:
         raise SpecError(f"no writer for the format {format!r}: one of raw, json, csv")
     return df.select(*keep, terminate(body, separator).alias("record"))
+
+
+def count_separators(data: Column | str, separator: bytes) -> Column:
+    """Whole records in a string column, without reading them one by one: occurrences of the separator, left to right."""
+    data = F.col(data) if isinstance(data, str) else data
+    mark = F.lit(separator.decode())
+    return ((F.octet_length(data) - F.octet_length(F.replace(data, mark, F.lit("")))) / len(separator)).cast("long")
