@@ -13,6 +13,10 @@ from recframe.llm.common import WORD_START, materialise, mix, pieces, shingles,
 from recframe.llm.graph import components
 
 
+#: Shingles of about so many members make a block, if these are fewer than its usual number: that bounds a task's memory.
+BLOCK_SHINGLES = 2_000_000
+
+
 def recall(similarity: float, bands: int, rows: int) -> float:
     """The chance that a pair of this Jaccard similarity shares a band."""
     return 1 - (1 - similarity**rows) ** bands
@@ -170,13 +174,14 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, b
     bands = choose_bands(similarity, target_recall, band_rows)
     small_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: _signatures(it, n, bands, band_rows), "doc_id long, sid binary, size long, bands array<long>"))
-    members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("bands").alias("bands")))
+    members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     keys = members.select("sid", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u != v")
     links = keys.join(hubs.select("key", "u").hint("merge"), "key").where("sid != u").select("u", F.col("sid").alias("v"))
     comp = components(links).select(F.col("node").alias("sid"), F.col("label").alias("comp"))
-    sizes = comp.groupBy("comp").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    chosen = materialise(comp.join(sizes, "comp").join(members.select("sid", "copies", "first_doc"), "sid"))
+    comp = comp.join(members.select("sid", "copies", "first_doc", "size"), "sid")
+    sizes = comp.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    chosen = materialise(comp.drop("size").join(sizes, "comp"))
     text = docs.select(F.col("doc_id").alias("first_doc"), "text")
     sets = text.join(chosen.hint("merge"), text.first_doc.eqNullSafe(chosen.first_doc)).select("text", "sid", "comp", "blocks", "copies")
     sets = sets.mapInArrow(lambda it: _shingle_sets(it, n), "sid binary, comp binary, blocks long, copies long, shingles binary")
@@ -202,7 +207,7 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
     target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
     these links hold all candidates. A component's shingle sets meet in one task and all pairs are verified by matrix
-    products; a component above `block` members is dealt into hash blocks and each pair of blocks is one task, so no task
+    products; a component above `block` members, or BLOCK_SHINGLES, is dealt into hash blocks and each pair of blocks is one task, so no task
     gets an unbounded group and only counts and spanning links leave it, never pairs.
     """
     rows, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import mmap
 import os
+import re
 import zlib
 from array import array
 from itertools import accumulate, chain
@@ -114,7 +115,19 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}" if "/" == uri[:1] or ":" not in uri else uri)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    return fs.LocalFileSystem(), os.path.abspath(uri)
+
+
+def _settle(store: fs.FileSystem, draft: str, path: str) -> None:
+    """Give a written draft its name; where another attempt of the task was first, its equal file stays."""
+    try:
+        store.move(draft, path)
+    except OSError:
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(draft)
 
 
 def _put(store: fs.FileSystem, path: str, chunks) -> None:
@@ -124,7 +137,7 @@ def _put(store: fs.FileSystem, path: str, chunks) -> None:
     with store.open_output_stream(draft, compression=None) as out:
         for x in chunks:
             out.write(x)
-    store.move(draft, path)
+    _settle(store, draft, path)
 
 
 def id_width(path: str, end_id: int = END_ID) -> int:
@@ -150,7 +163,7 @@ def _write_parts(batches, uri: str, path: str, end_id: int, width: int):
                 flat = end.join([*raw, b""])
                 out.write(flat if width == 4 else np.frombuffer(flat, "<u4").astype("<u2"))
             ids.append(batch.column("doc_id"))
-    store.move(draft, f"{name}.bin")
+    _settle(store, draft, f"{name}.bin")
     doc = pa.chunked_array(ids, pa.int64()) if ids else pa.chunked_array([[]], pa.int64())
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
     _put(store, f"{name}.idx", [offsets.tobytes()])
