@@ -377,14 +377,14 @@ def insert_separator(spark, sf_dir):
     """A file that ends with a fragment: refused, or completed."""
 
     def make(path: str) -> None:
-        _groups(path, [b"a\nb\n", b"c\npart"])
+        _groups(path, [b"a\nb\n", b"c\nd\n", b"e\npart"])
 
     def change(path: str) -> None:
         try:
-            edit.append_records(path, b"d\n")
+            edit.append_records(path, b"f\n")
             raise AssertionError("a fragment was appended to")
         except RecordError:
-            edit.append_records(path, b"d\n", insert_separator=True)
+            edit.append_records(path, b"f\n", insert_separator=True)
 
     h = Handle(spark, _once(spark, sf_dir, "fragment.txt.seek.zst", make))
     return _text(_copy(spark, sf_dir, "completed", change, h).scan())
@@ -609,7 +609,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "copy_range_logical": (copy_range_logical, f"{REC} SELECT record_index - 192 AS record_index, value FROM rec WHERE record_index BETWEEN 192 AND 575"),
     "split_rejoin": (split_rejoin, ALL),
     "split_update_rejoin": (split_update_rejoin, f"{REC} SELECT record_index, CASE WHEN record_index BETWEEN 256 AND 383 THEN 'new ' ELSE '' END || value AS value FROM rec"),
-    "insert_separator": (insert_separator, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a'), (1, 'b'), (2, 'c'), (3, 'part'), (4, 'd')) AS v(record_index, value)"),
+    "insert_separator": (insert_separator, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a'), (1, 'b'), (2, 'c'), (3, 'd'), (4, 'e'), (5, 'part'), (6, 'f')) AS v(record_index, value)"),
     "json_decode": (json_decode, "SELECT event_id AS record_index, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "json_variant": (json_variant, "SELECT event_id AS record_index, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
     "json_encode_lines": (json_encode_lines, """SELECT event_id AS record_index, '{"seq":' || event_id || ',"kind":"' || event_type || '","inner":{"user":' || user_id || '}}' AS value FROM events"""),

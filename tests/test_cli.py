@@ -28,9 +28,9 @@ def test_all_commands(tmp_path):
     assert RecordFile(str(path)).total == 110
     call("copy-range", path, tmp_path / "part", "-f", 40, "-c", 20)
     assert call("copy-range", path, "-", "-f", 40, "-c", 20) == (tmp_path / "part").read_bytes()
-    call("truncate", path, "-r", 40)
+    call("truncate", path, "-r", 60)
     call("append", path, tmp_path / "part", "--input-seekable", "--input-from", 0, "--input-cnt", 20, "--check-input-frames")
-    assert call("cat", path, "-f", 0, "-c", 1000) == b"".join(lines(60))
+    assert call("cat", path, "-f", 0, "-c", 1000) == b"".join(lines(60) + lines(60)[40:])
     call("convert", "-", tmp_path / "p.seek.zst", "--finder", "fixed", "--finder-arg", 4, "--frame-size", 64, stdin=b"abcd" * 100)
     assert call("cat", tmp_path / "p.seek.zst", "--finder", "fixed", "--finder-arg", 4, "-f", 99) == b"abcd"
     call("compress", source, tmp_path / "r", "--rm")
