@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -126,11 +127,14 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
         cutter, sizes, rest = FrameCutter(framing), [], b""
         with open(local(source), "rb") as f, ThreadPoolExecutor() as pool:
 
-            def write(frames) -> None:
-                frames = [data for data, _ in frames]
-                for data, raw in zip(frames, pool.map(lambda x: encode_frame(x, framing.level, framing.checksum), frames)):
-                    out.write(raw)
-                    sizes.append((len(raw), len(data)))
+            waiting: deque = deque()  # frames that are being encoded, in order
+
+            def write(frames, left: int = 64) -> None:
+                waiting.extend((len(data), pool.submit(encode_frame, data, framing.level, framing.checksum)) for data, _ in frames)
+                while len(waiting) > left:
+                    size, raw = waiting.popleft()
+                    out.write(raw.result())
+                    sizes.append((len(raw.result()), size))
 
             while more := f.read(chunk):
                 rest += more
@@ -140,9 +144,9 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
                     rest = rest[int(ends[-1]) :]
             if rest:
                 write(cutter.add(rest))
-            write(cutter.finish())
+            write(cutter.finish(), 0)
             if not sizes:
-                write([(b"", 0)])
+                write([(b"", 0)], 0)
         out.write(seek_table(FrameTable(*(np.array(x, np.uint32) for x in zip(*sizes)))))
         return cutter.per_frame
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import struct
+import threading
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,17 +82,29 @@ def read_seek_table(path: str) -> FrameTable:
     return table
 
 
+_local = threading.local()
+
+
+def _context(kind: type, **options):
+    """A thread's own (de)compressor of these options: making one costs more than a small frame."""
+    known = _local.__dict__
+    key = kind.__name__, *options.values()
+    if key not in known:
+        known[key] = kind(**options)
+    return known[key]
+
+
 def encode_frame(data: bytes, level: int = 3, checksum: bool = True) -> bytes:
     if len(data) > MOST_FRAME:
         raise RecordError(f"a frame of {len(data)} bytes is above the limit of {MOST_FRAME}")
-    return zstandard.ZstdCompressor(level=level, write_checksum=checksum).compress(data)
+    return _context(zstandard.ZstdCompressor, level=level, write_checksum=checksum).compress(data)
 
 
 def decode_frame(raw: bytes, size: int) -> bytes:
     """A frame's content; its checksum is verified if it has one."""
     if not size:
         return b""
-    data = zstandard.ZstdDecompressor().decompress(raw, max_output_size=size)
+    data = _context(zstandard.ZstdDecompressor).decompress(raw, max_output_size=size)
     if len(data) != size:
         raise RecordError(f"a frame holds {len(data)} bytes rather than {size}")
     return data
