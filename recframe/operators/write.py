@@ -15,7 +15,7 @@ from recframe.errors import Refused, SpecError
 from recframe.functions.boundary import Boundary, Separated
 from recframe.operators.publish import local, replace
 from recframe.plans.framing import FrameCutter, Framing
-from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index
+from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index, written
 from recframe.session import register
 from recframe.sources.container import FrameTable, encode_frame, seek_table
 from recframe.sources.records import run_of
@@ -78,7 +78,8 @@ def write_file(df: DataFrame, path: str, *order_by: str, boundary: Boundary | No
     if framing.records_per_frame is not None and longest > framing.limit:
         raise Refused(f"a record of {longest} bytes is above the limit of {framing.limit}: raise frame_size or limit_multiplier")
     n = framing.records_per_frame or derive_per_frame(indexed, framing.frame_size)
-    rows = encoded_frames(indexed, n, framing.level, framing.checksum).orderBy("frame").toLocalIterator(prefetchPartitions=True)
+    # encoded once, by all tasks, and written down; what is sorted and passes through the driver is compressed
+    rows = written(encoded_frames(indexed, n, framing.level, framing.checksum)).orderBy("frame").toLocalIterator(prefetchPartitions=True)
 
     def put(out) -> None:
         sizes = []

@@ -9,6 +9,8 @@ from recframe.sources.records import RecordDataSource
 
 def register(spark: SparkSession) -> SparkSession:
     """Register `recframe` and let Python sources take filters; returns the session."""
-    spark.dataSource.register(RecordDataSource)
+    if spark.conf.get("recframe.registered", None) is None:
+        spark.dataSource.register(RecordDataSource)
+        spark.conf.set("recframe.registered", "true")
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
