@@ -127,7 +127,7 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def _verify(table: pa.Table, tenths: int) -> pa.Table:
-    """sid, links (documents of other texts), label: within one component or one pair of its blocks.
+    """sid, links (documents of other texts), label: within one component or one pair of its blocks, or of a bucket's.
 
     Links are counted once: pairs across the two blocks, or within the one. label joins what hangs together here.
     """
@@ -143,9 +143,15 @@ def _verify(table: pa.Table, tenths: int) -> pa.Table:
     i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
     left, right = (np.flatnonzero(side == i), np.flatnonzero(side == j)) if i != j else (np.arange(len(sid)),) * 2
     size = np.array([len(x) for x in sets], np.int64)
-    if len(left) and len(right):
+    band = int(table.column("band")[0].as_py())
+    fresh = np.ones((len(left), len(right)), bool)
+    if band > 0:  # a pair of a bucket is judged in the first band that it shares
+        keys = np.array([table.column("bands")[k].as_py() for k in keep], np.int64).reshape(len(keep), -1)
+        for b in range(band):
+            fresh &= keys[left, b][:, None] != keys[right, b][None, :]
+    if fresh.any():
         same = _overlaps(sets, left, right)
-        near = same * (10 + tenths) >= tenths * (size[left][:, None] + size[right][None, :])
+        near = fresh & (same * (10 + tenths) >= tenths * (size[left][:, None] + size[right][None, :]))
     else:
         near = np.zeros((len(left), len(right)), bool)
     links, label = np.zeros(len(sid), np.int64), np.arange(len(sid))
@@ -167,7 +173,13 @@ def _verify(table: pa.Table, tenths: int) -> pa.Table:
     return pa.table({"sid": pa.array(sid, pa.binary()), "links": links, "label": pa.array([sid[k] for k in label], pa.binary())})
 
 
-def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, band_rows: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """rows, once for each pair of hash blocks of their group that theirs is in: i and j, with side, its own."""
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select("sid", "comp", "copies", "shingles", "side", "i", "j", "key", "band", "bands")
+
+
+def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, band_rows: int, block: int, whole_blocks: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, sid, size), members (sid, copies, first_doc) and verified (sid, label, links, first_doc) of those with a candidate."""
     tenths = round(similarity * 10)
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
@@ -185,17 +197,23 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, b
     text = docs.select(F.col("doc_id").alias("first_doc"), "text")
     sets = text.join(chosen.hint("merge"), text.first_doc.eqNullSafe(chosen.first_doc)).select("text", "sid", "comp", "blocks", "copies")
     sets = sets.mapInArrow(lambda it: _shingle_sets(it, n), "sid binary, comp binary, blocks long, copies long, shingles binary")
-    side = sets.withColumn("side", F.pmod(F.xxhash64("sid"), "blocks"))
-    dealt = side.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select("sid", "comp", "copies", "shingles", "side", "i", "j")
-    found = materialise(dealt.groupBy("comp", "i", "j").applyInArrow(lambda t: _verify(t, tenths), "sid binary, links long, label binary"))
+    most = bands if whole_blocks is None else whole_blocks
+    dealt = _pairs_of_blocks(sets.where(F.col("blocks") <= most).withColumns({"key": F.lit(0).cast("long"), "band": F.lit(-1), "bands": F.lit(None).cast("array<long>")}))
+    if not chosen.where(F.col("blocks") > most).isEmpty():
+        # a component of more blocks than there are bands is cheaper by bucket: each member moves once a bucket it shares
+        keys = chosen.where(F.col("blocks") > most).select("sid").join(members.select("sid", "size", "bands"), "sid")
+        keys = keys.select("sid", "size", "bands", F.posexplode("bands").alias("band", "key"))
+        shared = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).alias("blocks")).where("n > 1").drop("n")
+        keys = keys.drop("size").join(shared, ["band", "key"])
+        dealt = dealt.unionByName(_pairs_of_blocks(sets.where(F.col("blocks") > most).drop("blocks").join(keys, "sid")))
+    found = materialise(dealt.groupBy("comp", "band", "key", "i", "j").applyInArrow(lambda t: _verify(t, tenths), "sid binary, links long, label binary"))
     label = components(found.select(F.col("label").alias("u"), F.col("sid").alias("v")))
     count = found.groupBy("sid").agg(F.sum("links").alias("links"))
     verified = label.join(count, label.node == count.sid).join(members.select(F.col("sid").alias("s"), "first_doc"), F.col("node") == F.col("s"))
     return rows, members, verified.select(F.col("node").alias("sid"), "label", "links", "first_doc")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
+def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
     """doc_id, copy_id, class_id, n_shingles, n_links for every row of docs (doc_id, text; other columns are ignored).
 
     Two texts link if the Jaccard similarity of their sets of n-word shingles (words: see WORDS; neither case nor punctuation
@@ -207,10 +225,12 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
     target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
     these links hold all candidates. A component's shingle sets meet in one task and all pairs are verified by matrix
-    products; a component above `block` members, or BLOCK_SHINGLES, is dealt into hash blocks and each pair of blocks is one task, so no task
-    gets an unbounded group and only counts and spanning links leave it, never pairs.
+    products; a component above `block` members, or BLOCK_SHINGLES, is dealt into hash blocks and each pair of blocks is one task;
+    one of more than `whole_blocks` blocks (None: as many as bands) goes by the buckets that its members share instead, these
+    dealt into blocks in the same way, so that groups that hang together loosely don't cost their square. No task gets an
+    unbounded group and only counts and spanning links leave it, never pairs.
     """
-    rows, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block)
+    rows, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block, whole_blocks)
     least = verified.groupBy("label").agg(F.min("first_doc").alias("class_first"))
     verified = verified.join(least, "label").select("sid", "links", "class_first")
     # the few members with candidates are put beside all members before these meet the rows
@@ -234,12 +254,12 @@ def _digests(batches, n: int):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "_near_sid"])
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
     """One row, with all its columns, of each class of jaccard_join: the one with the least doc_id, and of its repeated rows one.
 
     Texts that are null or hold no word are classes of their own and stay.
     """
-    _, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block)
+    _, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block, whole_blocks)
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "sid")
     best = verified.groupBy("label").agg(F.min_by("sid", order).alias("best"))
     gone = verified.join(best, "label").where("sid != best").select("sid")

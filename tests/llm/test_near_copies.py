@@ -53,9 +53,9 @@ def near_rows(seed=2):
 
 
 @pytest.mark.parametrize("rows", [odd_rows(), near_rows()], ids=["odd", "near"])
-@pytest.mark.parametrize("block", [400, 4])
-def test_links_and_classes_against_brute_force(spark, rows, block):
-    out = jaccard_join(frame(spark, rows), block=block).collect()
+@pytest.mark.parametrize("block,whole", [(400, None), (4, None), (3, 1)], ids=["whole", "blocks", "buckets"])
+def test_links_and_classes_against_brute_force(spark, rows, block, whole):
+    out = jaccard_join(frame(spark, rows), block=block, whole_blocks=whole).collect()
     links, group = brute(rows)
     assert Counter((r["doc_id"], r["n_links"]) for r in out) == Counter((i, n) for (i, *_), n in zip(rows, links))
     known = [(i, g) for (i, *_), g in zip(rows, group) if i is not None]
