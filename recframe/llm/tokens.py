@@ -46,12 +46,22 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        (mark,) = tok.encode(MARK, add_special_tokens=False).ids
+        mark = tok.encode(MARK, add_special_tokens=False).ids
         stops = {c: np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
-        _loaded[path] = tok, {}, {}, stops, mark
+        _loaded[path] = tok, {}, {}, stops, mark[0] if _by_word(tok) else None
     return _loaded[path]
 
 
+def _by_word(tok) -> bool:
+    """Whether this tokenizer gives the words between white space their ids one by one, in any case, apart from punctuation."""
+
+    def ids(text: str) -> list[int]:
+        return tok.encode(text, add_special_tokens=False).ids
+
+    apart = all(ids(f" {a}{space}{b}\n") == ids(a) + ids(b) for space in (" ", "\n", "\t  ", "\xa0", "\u3000") for a, b in (("Ab", "cd."), ("é1", "x,y")))
+    return apart and ids("ÉA.") == ids("éa") + ids(".") and len(ids(MARK)) == 1 and [x.id for x in tok.model.tokenize("word")] == ids("word")
+
+
 #: What the byte-level pre-tokenizer turns bytes into that aren't printable Latin-1, by the public rule: 256 and up, in order.
 _BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
@@ -90,8 +100,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The tokenizer drops white space, and no piece of its pre-tokenizer crosses it; so a text's ids are those of its words
     between white space, which repeat and are encoded once. NFC and lower-casing don't reach across white space either.
+    A tokenizer of another kind is noticed when it is loaded, and gets whole texts.
     """
     tok, known, cores, stops, mark = tokenizer(path)
+    if mark is None:
+        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     whole = [any(c in t for c in ODD_SPACES) for t in texts]
     split = [[t] if w else t.split() for t, w in zip(texts, whole)]
     words = list(chain.from_iterable(split))

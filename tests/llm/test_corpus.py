@@ -184,6 +184,15 @@ def test_ids_are_those_of_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts, VOCABULARY)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(TEXTS, path)] == [tok.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert id_width(path) == 2
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
