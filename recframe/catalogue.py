@@ -543,6 +543,34 @@ def save_and_append(spark, sf_dir):
     return h.values(schema="n_nationkey int, n_name string").select("record_index", F.col("value.n_nationkey").alias("n_nationkey"), F.col("value.n_name").alias("n_name"))
 
 
+def stream_scan(spark, sf_dir):
+    """A record file as a stream, its last frame too, into a table that is read back."""
+    out = shared_dir(spark)
+    stream = spark.readStream.format("recframe").options(path=events(spark, sf_dir).paths[0], include_tail="true").load()
+    q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return _text(spark.read.parquet(f"{out}/rows"))
+
+
+def stream_to_folder(spark, sf_dir):
+    """A stream of rows into a folder of record files, a file a batch."""
+    from recframe.streaming.sink import to_folder
+
+    table = f"{sf_dir}/events.parquet"
+
+    def make(path: str) -> None:
+        schema = spark.read.parquet(table).schema
+        rows = spark.readStream.schema(schema).parquet(f"{table}*" if os.path.isfile(local(table)) else table)
+        record = F.concat(F.concat_ws("|", "event_id", "user_id", "event_type").cast("binary"), F.lit(b"\n")).alias("record")
+        q = to_folder(rows.select("event_id", record), path, "event_id", records_per_frame=N).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    return _text(Handle(spark, _once(spark, sf_dir, "events-stream", make)).scan())
+
+
 REC = "WITH rec AS (SELECT event_id AS record_index, concat_ws('|', event_id, user_id, event_type) AS value FROM events), ord AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, concat_ws('|', o_orderkey, o_custkey, o_orderstatus) AS value FROM orders)"
 ALL = f"{REC} SELECT record_index, value FROM rec"
 _FRAMES = "SELECT record_index // {n} AS frame, count(*) AS cnt, CAST(sum(strlen(value) + {s}) AS BIGINT) AS decomp_size FROM rec GROUP BY 1"
@@ -629,6 +657,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "binary_file_records": (binary_file_records, ALL),
     "count_in_buffers": (count_in_buffers, "SELECT doc_id, CAST(strlen(text) - strlen(replace(text, chr(10), '')) AS BIGINT) AS ended, CAST((strlen(text) - strlen(replace(text, chr(10) || chr(10), ''))) // 2 AS BIGINT) AS blank FROM documents"),
     "save_and_append": (save_and_append, "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS record_index, n_nationkey, n_name FROM nation"),
+    "stream_scan": (stream_scan, ALL),
+    "stream_to_folder": (stream_to_folder, ALL),
     "frame_cutter": (custom_boundary_frames, "SELECT k // 3 AS frame, count(*) AS records, CAST(sum(2) AS BIGINT) AS bytes FROM range(10) AS r(k) GROUP BY 1"),
 }
 
