@@ -61,8 +61,8 @@ class Size:
             values = (parts[:, b][:, None] ^ masks).ravel()
             owner = np.repeat(np.arange(len(items)), len(masks))
             order = np.argsort(values, kind="stable")
-            self.posted.append(owner[order])
-            self.first.append(np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)))
+            self.posted.append(owner[order].astype(np.int32))
+            self.first.append(np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32))
             self.flag[values] |= np.uint8(1 << b)
 
     def near(self, prints: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
