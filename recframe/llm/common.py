@@ -63,7 +63,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and r**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for k, r in enumerate((_R, _R_INVERSE)):
                 p = np.full(size, r, np.uint64)
@@ -117,7 +117,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 20):
+def pieces(column: pa.Array, most: int = 1 << 19):
     """Slices of consecutive rows with about `most` bytes (a longer row stands alone): (first row, bytes, offsets)."""
     data, at = flat(column)
     row, rows = 0, len(at) - 1
