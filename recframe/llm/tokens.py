@@ -29,7 +29,7 @@ END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
 REMEMBERED = 150_000
 #: The same for words in lower case without a full stop or comma.
-REMEMBERED_CORES = 250_000
+REMEMBERED_CORES = 400_000
 #: str.split() parts at these, the tokenizer's \s doesn't: texts with them go to the tokenizer whole.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
