@@ -89,10 +89,50 @@ class Size:
         return pairs[:, 0], self.items[pairs[:, 1]]
 
 
+class Probes:
+    """The exact route: of each item so many shingles that every window at the threshold holds one of them.
+
+    A window as large as an item of m shingles is `least` similar only if both share o of them with o / (2m - o) >= least, so
+    any m - o + 1 of the item's shingles (each as often as it occurs) meet every such window. Those that are rarest in the benchmark are taken.
+    """
+
+    BITS = 20
+
+    def __init__(self, items: list[tuple[int, tuple[np.ndarray, np.ndarray]]], least: float):
+        values, held = np.unique(np.concatenate([v for _, (v, _) in items]), return_counts=True)
+        hashes, owners = [], []
+        for i, (own, counts) in items:
+            order = np.argsort(held[np.searchsorted(values, own)], kind="stable")
+            m = int(counts.sum())
+            spare = next(d for d in range(m + 1) if d == m or (m - d - 1) / (m + d + 1) < least)  # shingles that a window may lack
+            n = int(np.searchsorted(np.cumsum(counts[order]), spare, "right")) + 1
+            hashes.append(own[order[:n]])
+            owners.append(np.full(len(hashes[-1]), i))
+        self.hashes, self.owners = np.concatenate(hashes), np.concatenate(owners)
+        order = np.lexsort((self.owners, self.hashes))
+        self.hashes, self.owners = self.hashes[order], self.owners[order]
+        self.flag = np.zeros(1 << self.BITS, bool)
+        self.flag[self.hashes & np.uint64((1 << self.BITS) - 1)] = True
+
+    def spans(self, s: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """row, item, first and last place in the row: where a row holds probes of an item."""
+        at = np.flatnonzero(self.flag[s & np.uint64((1 << self.BITS) - 1)])
+        lo, hi = (np.searchsorted(self.hashes, s[at], side) for side in ("left", "right"))
+        n = hi - lo
+        row = np.repeat(np.searchsorted(rows, at, "right") - 1, n)
+        item = self.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        place = np.repeat(at, n) - rows[row]
+        order = np.lexsort((place, item, row))
+        row, item, place = row[order], item[order], place[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(item, prepend=-1).astype(bool))
+        last = np.append(first[1:], len(row)) - 1 if len(first) else first
+        return np.stack([row[first], item[first], place[first], place[last]], 1)
+
+
 class Items:
-    """The benchmark: each item's shingles, and its class of window sizes."""
+    """The benchmark: each item's shingles, its class of window sizes, and the probes of the exact route."""
 
-    def __init__(self, rows: list[tuple], radius: int, spread: int):
+    def __init__(self, rows: list[tuple], radius: int, spread: int, least: float):
         self.ids = [i for i, _ in rows]
         self.words = []
         for _, text in rows:
@@ -105,24 +145,25 @@ class Items:
         sizes: dict[int, dict[int, list]] = {}
         for k in sorted(set(self.k) - {0}):
             own = sorted((i for i in range(len(rows)) if self.k[i] == k), key=lambda i: len(self.shingles[i]))
-            least = 0
+            smallest = 0
             for i in own:
                 n = len(self.shingles[i])
-                if not least or n > least + max(spread, least // 16):
-                    least = n
-                sizes.setdefault(k, {}).setdefault(least, []).append((i, self.shingles[i]))
+                if not smallest or n > smallest + max(spread, smallest // 16):
+                    smallest = n
+                sizes.setdefault(k, {}).setdefault(smallest, []).append((i, self.shingles[i]))
         self.sizes = {k: [Size(items, length, radius) for length, items in by.items()] for k, by in sizes.items()}
+        self.probes = {k: Probes([(i, self.weights[i]) for i in range(len(rows)) if self.k[i] == k], least) for k in sizes}
 
 
 _known: dict = {}
 
 
-def _items(rows: tuple, radius: int, spread: int) -> Items:
+def _items(rows: tuple, radius: int, spread: int, least: float) -> Items:
     """Built once in each worker."""
-    key = rows, radius, spread
+    key = rows, radius, spread, least
     if key not in _known:
         _known.clear()
-        _known[key] = Items(list(rows), radius, spread)
+        _known[key] = Items(list(rows), radius, spread, least)
     return _known[key]
 
 
@@ -134,6 +175,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
     return float(low / (a[1].sum() + counts.sum() - low))
 
 
+def overlaps(a: tuple[np.ndarray, np.ndarray], s: np.ndarray, m: int) -> np.ndarray:
+    """For every window of m shingles in s, how many it shares with the item, each as often as both have it.
+
+    The w + 1st last occurrence of a shingle that the item has w times is beyond what counts, so an occurrence counts in the windows
+    that hold it and not the one w occurrences earlier: a run of starts, and the sum of all runs gives all windows at once.
+    """
+    place = np.minimum(np.searchsorted(a[0], s), len(a[0]) - 1)
+    hit = np.flatnonzero(a[0][place] == s)
+    kind = place[hit]
+    order = np.argsort(kind, kind="stable")
+    hit, kind = hit[order], kind[order]
+    rank = np.arange(len(hit)) - np.searchsorted(kind, kind, "left")
+    many = a[1][kind]
+    earlier = np.where(rank >= many, hit[np.maximum(np.arange(len(hit)) - many, 0)], -1)
+    starts = len(s) - m + 1
+    lo, hi = np.maximum(np.maximum(hit - m, earlier) + 1, 0), np.minimum(hit + 1, starts)
+    ok = lo < hi
+    step = np.zeros(starts + 1, np.int64)
+    np.add.at(step, lo[ok], 1)
+    np.add.at(step, hi[ok], -1)
+    return np.cumsum(step)[:starts]
+
+
+def _exact(s: np.ndarray, rows: np.ndarray, probes: Probes, items: Items, least: float):
+    """row, item, similarity, first word: the best window of each item in each row that holds one of its probes."""
+    for row, item, first, last in probes.spans(s, rows).tolist():
+        m = len(items.shingles[item])
+        lo, hi = max(rows[row] + first - m + 1, rows[row]), min(rows[row] + last + m, rows[row + 1])
+        if hi - lo < m:
+            continue
+        shared = overlaps(items.weights[item], s[lo:hi], m)
+        at = int(np.argmax(shared))
+        x = float(shared[at] / (2 * m - shared[at]))
+        if x >= least:
+            yield row, item, x, int(lo - rows[row] + at)
+
+
 def _found(data: np.ndarray, at: np.ndarray, items: Items, least: float) -> list[tuple[int, int, float, int]]:
     """row, item, similarity, first word: each row's best window for each item that reaches the threshold."""
     h, _, _, word_rows = word_hashes(data, at)
@@ -168,11 +246,12 @@ def _found(data: np.ndarray, at: np.ndarray, items: Items, least: float) -> list
                         if x >= least and x > known:
                             known, place = x, int(start - rows[row])
                             best[row, item] = known, place
+        best.update(((row, item), (x, place)) for row, item, x, place in _exact(s, rows, items.probes[k], items, least))
     return sorted((r, i, x, p) for (r, i), (x, p) in best.items())
 
 
 def _report(batches, block: tuple, radius: int, spread: int, least: float):
-    items = _items(block, radius, spread)
+    items = _items(block, radius, spread, least)
     for batch in batches:
         for first, data, at in pieces(batch.column("text")):
             found = _found(data, at, items, least)
@@ -181,7 +260,7 @@ def _report(batches, block: tuple, radius: int, spread: int, least: float):
 
 
 def _clean(batches, block: tuple, radius: int, spread: int, least: float):
-    items = _items(block, radius, spread)
+    items = _items(block, radius, spread, least)
     for batch in batches:
         bad = [first + r for first, data, at in pieces(batch.column("text")) for r, *_ in _found(data, at, items, least)]
         keep = np.ones(len(batch), bool)
@@ -206,8 +285,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     reported again, a repeated item too.
 
     Windows of every item size (sizes that differ by at most a sixteenth, or `spread`, share the smallest) slide over all words; their
-    64-bit SimHash meets the items' in the multi-index, which gives all within `radius` bits; these are verified exactly. An item
-    copied whole is at most a few bits away; one at the threshold has about ten, so a few of those are missed.
+    64-bit SimHash meets the items' in the multi-index, which gives all within `radius` bits; these are verified exactly. Windows
+    at the threshold are often beyond the radius, so an exact route follows: every window that can reach `least` holds one of a few
+    of the item's shingles (see Probes), and each row with one of those has all its windows there compared. Together they miss none.
     """
     found = [docs.select("doc_id", "text").mapInArrow(lambda it, block=block: _report(it, block, radius, spread, least), "doc_id long, item_id long, similarity double, first_word long") for block in _blocks(benchmark)]
     if not found:
