@@ -92,8 +92,9 @@ class Size:
 class Probes:
     """The exact route: of each item so many shingles that every window at the threshold holds one of them.
 
-    A window as large as an item of m shingles is `least` similar only if both share o of them with o / (2m - o) >= least, so
-    any m - o + 1 of the item's shingles (each as often as it occurs) meet every such window. Those that are rarest in the benchmark are taken.
+    A window of at most the m shingles of an item is `least` similar only if both share o >= least * m of them (a window that the
+    document's end cuts off may hold just those), so any m - o + 1 of the item's shingles (each as often as it occurs) meet every
+    such window. Those that are rarest in the benchmark are taken.
     """
 
     BITS = 20
@@ -104,7 +105,7 @@ class Probes:
         for i, (own, counts) in items:
             order = np.argsort(held[np.searchsorted(values, own)], kind="stable")
             m = int(counts.sum())
-            spare = next(d for d in range(m + 1) if d == m or (m - d - 1) / (m + d + 1) < least)  # shingles that a window may lack
+            spare = next(d for d in range(m + 1) if d == m or (m - d - 1) / m < least)  # shingles that a window may lack
             n = int(np.searchsorted(np.cumsum(counts[order]), spare, "right")) + 1
             hashes.append(own[order[:n]])
             owners.append(np.full(len(hashes[-1]), i))
@@ -176,7 +177,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> float:
 
 
 def overlaps(a: tuple[np.ndarray, np.ndarray], s: np.ndarray, m: int) -> np.ndarray:
-    """For every window of m shingles in s, how many it shares with the item, each as often as both have it.
+    """For every window of m shingles in s, or what is left of s from its start, how many it shares with the item, each as often as both have it.
 
     The w + 1st last occurrence of a shingle that the item has w times is beyond what counts, so an occurrence counts in the windows
     that hold it and not the one w occurrences earlier: a run of starts, and the sum of all runs gives all windows at once.
@@ -189,13 +190,12 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], s: np.ndarray, m: int) -> np.ndar
     rank = np.arange(len(hit)) - np.searchsorted(kind, kind, "left")
     many = a[1][kind]
     earlier = np.where(rank >= many, hit[np.maximum(np.arange(len(hit)) - many, 0)], -1)
-    starts = len(s) - m + 1
-    lo, hi = np.maximum(np.maximum(hit - m, earlier) + 1, 0), np.minimum(hit + 1, starts)
+    lo, hi = np.maximum(np.maximum(hit - m, earlier) + 1, 0), hit + 1
     ok = lo < hi
-    step = np.zeros(starts + 1, np.int64)
+    step = np.zeros(len(s) + 1, np.int64)
     np.add.at(step, lo[ok], 1)
     np.add.at(step, hi[ok], -1)
-    return np.cumsum(step)[:starts]
+    return np.cumsum(step)[:-1]
 
 
 def _exact(s: np.ndarray, rows: np.ndarray, probes: Probes, items: Items, least: float):
@@ -203,11 +203,11 @@ def _exact(s: np.ndarray, rows: np.ndarray, probes: Probes, items: Items, least:
     for row, item, first, last in probes.spans(s, rows).tolist():
         m = len(items.shingles[item])
         lo, hi = max(rows[row] + first - m + 1, rows[row]), min(rows[row] + last + m, rows[row + 1])
-        if hi - lo < m:
-            continue
-        shared = overlaps(items.weights[item], s[lo:hi], m)
-        at = int(np.argmax(shared))
-        x = float(shared[at] / (2 * m - shared[at]))
+        shared = overlaps(items.weights[item], s[lo:hi], m)[: rows[row] + last + 1 - lo]  # later starts hold no probe
+        size = np.minimum(m, rows[row + 1] - lo - np.arange(len(shared)))  # m, or what is left of the document
+        alike = shared / (m + size - shared)
+        at = int(np.argmax(alike))
+        x = float(alike[at])
         if x >= least:
             yield row, item, x, int(lo - rows[row] + at)
 
@@ -279,7 +279,7 @@ def _blocks(benchmark: DataFrame):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11, spread: int = 0) -> DataFrame:
     """doc_id, item_id, similarity, first_word: for every row of docs (doc_id, text) the items of benchmark (item_id, text) it holds.
 
-    An item is held if a window with as many words as it has is at least `least` similar: weighted Jaccard of 5-word shingles
+    An item is held if a window with as many words as it has, or with what is left of a text that ends before, is at least `least` similar: weighted Jaccard of 5-word shingles
     (all words of a shorter item; words: see WORDS, neither case nor punctuation counts), each weighing as often as it occurs. The best window is reported, the first on ties.
     Null or empty texts hold nothing and null or empty items aren't held; other columns are ignored; a repeated row is
     reported again, a repeated item too.

@@ -1,9 +1,10 @@
 """Cases that an operator once did only in part."""
 
 import random
+from collections import Counter
 
 from recframe.llm.decontaminate import drop_leaks, find_leaks
-from tests.llm.helpers import frame, sentence
+from tests.llm.helpers import frame, sentence, shingles, words
 from tests.llm.test_corpus import brute_leaks
 
 
@@ -37,4 +38,33 @@ def test_leaks_of_repeated_words(spark):
     items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 30)))) for i in range(30)]
     rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 200))), "en", "s0") for i in range(30)] + [(40 + i, f"x {t} a b {t}", "en", "s0") for i, t in items]
     found = find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found) == sorted(brute_leaks(rows, items))
+    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found) == sorted(brute_leaks_to_the_end(rows, items))
+
+
+def brute_leaks_to_the_end(rows, items, least=0.8):
+    """As brute_leaks, and windows also hold what is left of the text."""
+    out = []
+    for i, t, *_ in rows:
+        for j, item in items:
+            v = words(item)
+            k = min(5, len(v))
+            a, s = Counter(shingles(v, k)), shingles(words(t), k) if len(words(t)) >= k else []
+            bags = [Counter(s[b : b + len(v) - k + 1]) for b in range(len(s))]
+            best = max((sum((a & b).values()) / sum((a | b).values()) for b in bags), default=0)
+            if best >= least:
+                out.append((i, j, round(best, 9)))
+    return out
+
+
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    rng = random.Random(31)
+    items = [(i, sentence(rng, n)) for i, n in enumerate((52, 52, 30, 24, 12, 100))]
+    cuts = {"inner": lambda w: w[: len(w) // 2] + w[len(w) // 2 + 1 :], "last": lambda w: w[:-1], "first": lambda w: w[1:], "two": lambda w: w[1:-1]}
+    rows = [(10 * i + k, " ".join(cut(t.split())), "en", "s0") for i, t in items for k, cut in enumerate(cuts.values())]
+    rows += [(100 + i, sentence(rng, 20) + " " + " ".join(t.split()[: -(len(t.split()) // 7)]), "en", "s0") for i, t in items]
+    expected = brute_leaks_to_the_end(rows, items)
+    assert {(0, 0), (1, 0), (2, 0), (103, 3)} <= {x[:2] for x in expected} and len(expected) > 20
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = find_leaks(frame(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found) == sorted(expected)
+    assert drop_leaks(frame(spark, rows), benchmark).count() == len(rows) - len({x[0] for x in expected})
