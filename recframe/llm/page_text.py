@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -21,52 +22,129 @@ _MARKUP = re.compile(
 )
 #: Tags between which words run on; all others part blocks.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are never the article, wherever they stand.
+#: Elements that aren't the article, wherever they stand; but see tokens.
 _ASIDE = frozenset("nav aside footer form menu dialog fieldset".split())
-#: Words of class, id or role that say the same.
-_ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|hidden|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names in class, id or role that say the same: whole ones, each a word of the list or several, with a place before or a kind of box after them.
+_ASIDE_WORD = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus|footer|hidden|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)"
+_ASIDE_NAME = re.compile(rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post)[_-])?{_ASIDE_WORD}(?:[_-]{_ASIDE_WORD})*(?:[_-](?:area|bar|block|box|buttons|container|content|form|inner|links|list|section|slot|unit|wrapper))?", re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+#: Elements whose end tag may be left out: the tags that end them, and what else may be open within them then.
+_ENDED_BY = {"p": (_BLOCK, _INLINE), **dict.fromkeys(["dt", "dd"], (frozenset(["dt", "dd"]), _INLINE | {"p", "div"})), "li": (frozenset(["li"]), _INLINE | {"p", "div"})}
+_ENDED_BY |= {**dict.fromkeys(["td", "th"], (_CELLS, _INLINE | {"p", "div"})), "tr": (_CELLS - {"td", "th"}, _INLINE | {"p", "div", "td", "th"})}
+_ENDS = {name: [e for e, (by, _) in _ENDED_BY.items() if name in by] for name in _BLOCK | _CELLS | {"li", "dt", "dd"}}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags and words by themselves, where no labelled page says otherwise.
 _USUAL = frozenset("p h1 h2 h3 h4 h5 h6 br b i em strong a span blockquote pre code li ul ol table tr td th img figure figcaption".split())
 
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, key, text) in page order: ("tag", name or /name, ""), ("aside", name, "") for a whole side element, ("text", last tag's key, words)."""
-    out, at, key = [], 0, ""
-    skipped, depth, inside = "", 0, 0  # the side element that is open, and how many of its name
+def _elements(page: str) -> tuple[list[tuple[str, str, str]], dict[int, tuple[int, bool]]]:
+    """("text", words, ""), ("open", name, attributes) and ("close", name, "") in page order; and for each element's place the place after it, and whether its own close is there.
+
+    An element without its close ends before the tag that implies the close, before an ancestor's close or with the page.
+    """
+    found, ends, at = [], {}, 0
+    stack: list[tuple[str, int]] = []
+    many: dict[str, int] = {}  # of each name that are open
+
+    def end(depth: int, place: int) -> None:
+        for name, i in stack[depth:]:
+            ends[i] = place, False
+            many[name] -= 1
+        del stack[depth:]
+
+    def among(names: tuple[str, ...] | list[str], within: frozenset | None) -> int | None:
+        """The depth of the innermost open element with one of the names, if only those of `within` are open in it."""
+        if not any(many.get(x) for x in names):
+            return None
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] in names:
+                return depth
+            if within is not None and stack[depth][0] not in within:
+                return None
+        return None
+
     for m in _MARKUP.finditer(page):
-        if m.start() > at and not skipped:
-            out.append(("text", key, page[at : m.start()]))
+        if m.start() > at:
+            found.append(("text", page[at : m.start()], ""))
         at = m.end()
-        name = m["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if skipped:
-            if name == skipped:
-                depth += -1 if m["close"] else 1
-                if not depth:
-                    skipped = ""
+        if m["name"] is None:
             continue
+        name, place = m["name"].lower(), len(found)
         if m["close"]:
+            depth = among((name,), _INLINE if name in _INLINE else None)
+            if depth is not None:
+                own = stack[depth][1]
+                end(depth, place)
+                ends[own] = place + 1, True
+            found.append(("close", name, ""))
+            continue
+        for ended in _ENDS.get(name, ()):
+            depth = among((ended,), _ENDED_BY[ended][1])
+            if depth is not None:
+                end(depth, place)
+        found.append(("open", name, m["rest"]))
+        if name not in _VOID:
+            stack.append((name, place))
+            many[name] = many.get(name, 0) + 1
+    if at < len(page):
+        found.append(("text", page[at:], ""))
+    end(0, len(found))
+    return found, ends
+
+
+def _named_aside(rest: str) -> bool:
+    return any(_ASIDE_NAME.fullmatch(name) for x in _NAMED.findall(rest) for name in next(filter(None, x), "").split())
+
+
+def tokens(page: str) -> list[tuple[str, str, str]]:
+    """(kind, key, text) in page order: ("tag", name or /name, ""), ("aside", name, "") for a whole side element, ("text", last tag's key, words).
+
+    An element that holds the largest article or main element is no side element, whatever it is called. Neither is one that holds most
+    of the page's words, unless an article or main element beside it holds words too, or it is a closed nav, aside, header or footer.
+    """
+    found, ends = _elements(page)
+    mains = [(i, ends[i][0]) for i, (kind, name, _) in enumerate(found) if kind == "open" and name in ("article", "main")]
+    sizes: list[int] = []
+
+    def words(a: int, b: int) -> int:
+        if not sizes:
+            sizes.extend(itertools.accumulate((len(x.split()) if kind == "text" else 0 for kind, x, _ in found), initial=0))
+        return sizes[b] - sizes[a]
+
+    def holds_article(i: int) -> bool:
+        end, closed = ends[i]
+        held = max((words(a, b) for a, b in mains if i < a < end), default=-1)
+        if held >= 0:
+            return held >= max((words(a, b) - (words(i, end) if a < i < b else 0) for a, b in mains if not i < a < end), default=0)
+        if closed and found[i][1] in ("nav", "aside", "header", "footer") or 2 * words(i, end) <= words(0, len(found)):
+            return False
+        return not any((b <= i or a >= end) and words(a, b) for a, b in mains)
+
+    out, key, inside, i = [], "", 0, 0
+    while i < len(found):
+        kind, name, rest = found[i]
+        i += 1
+        if kind == "text":
+            out.append(("text", key, name))
+            continue
+        if kind == "close":
             inside -= name in ("article", "main") and inside > 0
             key = f"/{name}"
             out.append(("tag", key, ""))
             continue
         side = name in _ASIDE or name == "header" and not inside
-        if not side and m["rest"] and name not in ("html", "body", "article", "main") and name not in _VOID:
-            side = any(_ASIDE_NAMES.search(next(filter(None, x), "")) for x in _NAMED.findall(m["rest"]))
-        if side:
-            skipped, depth = name, 1
+        if not side and rest and name not in ("html", "body", "article", "main") and name not in _VOID:
+            side = _named_aside(rest)
+        if side and not holds_article(i - 1):
             key = "aside"
             out.append(("aside", name, ""))
+            i = ends[i - 1][0]
             continue
         inside += name in ("article", "main")
         key = name
         out.append(("tag", key, ""))
-    if at < len(page) and not skipped:
-        out.append(("text", key, page[at:]))
     return out
 
 
@@ -176,7 +254,7 @@ def extract(pages: DataFrame, most: int = 2000) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html; others are ignored).
 
     text: the page's article without menus, page headers, footers, sidebars, notices, adverts, forms, comments and markup, from the
-    whole html; empty where html is null, empty or holds no words. n_chars: its code points. Side elements are left out wherever
+    whole html; empty where html is null, empty or holds no words. n_chars: its code points. Side elements (see tokens) are left out wherever
     they stand; of the rest the best contiguous region by the fitted weights is taken, the first on ties. Pages are independent,
     so repeated rows get equal rows. Weights come from labelled pages (see fit).
     """

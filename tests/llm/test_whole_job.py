@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 from recframe.llm.decontaminate import drop_leaks, find_leaks
+from recframe.llm.page_text import Weights, main_text
 from tests.llm.helpers import frame, sentence, shingles, words
 from tests.llm.test_corpus import brute_leaks
 
@@ -68,3 +71,27 @@ def test_leaks_in_texts_shorter_than_the_item(spark):
     found = find_leaks(frame(spark, rows), benchmark).collect()
     assert sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in found) == sorted(expected)
     assert drop_leaks(frame(spark, rows), benchmark).count() == len(rows) - len({x[0] for x in expected})
+
+
+BODY = "<h1>Title of the page</h1>" + "".join(f"<p>{'these are words of the article ' * 3}{i}</p>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout has-sidebar">{BODY}</div></body>',
+        f'<body><div class="sidebar-right page">{BODY}</div></body>',
+        f'<body><div class="post comments-open"><article>{BODY}</article></div></body>',
+        f'<body><form id="aspnetForm"><nav>menu entry</nav>{BODY}</form></body>',
+        f'<body><div class="widget"><article>{BODY}</article></div></body>',
+        f'<body><div class="menu"><p>of the menu</div><main><p class="notice">Look here{BODY}</main></body>',
+        f'<body><ul><li class="promo">Buy this</ul>{BODY}</body>',
+        f'<body><div><div class="ad">Buy this</div><p class="notice">Look</div>{BODY}</body>',
+        f'<body><article>{BODY}</article><div id="comments">{"a reader writes on " * 100}</div><div class="site-footer">end</div></body>',
+        f'<body><article>{BODY}</article><section id="comments"><article>{"a reader writes on " * 9}</article></section></body>',
+    ],
+)
+def test_side_elements_dont_take_the_article(page):
+    text = main_text(page, Weights({}))
+    expected = main_text(f"<article>{BODY}</article>", Weights({}))
+    assert expected.count("\n") == 6 and text == expected
