@@ -37,6 +37,8 @@ _ENDS = {name: [e for e, (by, _) in _ENDED_BY.items() if name in by] for name in
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags and words by themselves, where no labelled page says otherwise.
 _USUAL = frozenset("p h1 h2 h3 h4 h5 h6 br b i em strong a span blockquote pre code li ul ol table tr td th img figure figcaption".split())
+#: The page's frame. All other tags are within articles too, so only labelled pages that hold them mostly outside make them cost more.
+_FRAME = frozenset("html head body article nav aside footer form menu dialog fieldset".split())
 
 
 def _elements(page: str) -> tuple[list[tuple[str, str, str]], dict[int, tuple[int, bool]]]:
@@ -181,7 +183,7 @@ class Weights:
 
     def tag(self, key: str) -> float:
         a, b = self.counts.get(("tag", key[:40]), (0, 0))
-        usual = 20.0 if key.removeprefix("/") in _USUAL else 0.5
+        usual = 0.5 if key.removeprefix("/") in _FRAME else 20.0
         return -0.05 - 40 * (1 - (a + usual) / (a + b + usual + 0.5)) ** 2
 
 

@@ -95,3 +95,20 @@ def test_side_elements_dont_take_the_article(page):
     text = main_text(page, Weights({}))
     expected = main_text(f"<article>{BODY}</article>", Weights({}))
     assert expected.count("\n") == 6 and text == expected
+
+
+def test_articles_of_structural_tags():
+    title, short = "A title of eight words for this page", "A short last paragraph"
+    lines = [f"{i} words of a paragraph that stands in an element of its own" for i in range(5)]
+    plain = "\n".join([title, *lines, short])
+    outside = {("tag", "p"): (900, 10), ("text", "p"): (9000, 90), ("tag", "article"): (0, 100), ("tag", "/article"): (0, 100)}
+    for tag in ("div", "section", "center", "details", "main"):
+        body = f"<h1>{title}</h1>" + "".join(f"<{tag}>{x}</{tag}>" for x in lines) + f"<p>{short}</p>"
+        nested = f"<h1>{title}</h1><{tag}>" + "".join(f"<p>{x}</p>" for x in lines) + f"</{tag}><p>{short}</p>"
+        for inner in (body, nested):
+            for weights in (Weights({}), Weights(outside)):
+                assert main_text(f"<body><nav>menu</nav><article>{inner}</article><footer>end</footer></body>", weights) == plain
+    listed = f"<article><header><h1>{title}</h1></header><dl>" + "".join(f"<dt>{x}<dd>{x}" for x in lines) + f"</dl><p>{short}</article>"
+    assert main_text(listed, Weights(outside)) == "\n".join([title, *(y for x in lines for y in (x, x)), short])
+    mostly_outside = Weights({**outside, ("tag", "div"): (1, 500)})
+    assert mostly_outside.tag("div") < 20 * mostly_outside.tag("p") < 0
