@@ -1,4 +1,4 @@
-"""License scans: a positional index of rare licence words, matched by relative position and verified by key phrases."""
+"""License scans: a positional index of rare licence words, matched by relative position, aligned, and verified by key phrases."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: For each label, passages of the public licence or its usual notice. The phrases in brackets are mandatory.
 TEMPLATES = {
     "mit": [
-        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ["permission is hereby granted free of charge", "without restriction"]),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ["permission is hereby granted free of charge", "without restriction"]),
         ("Released under the MIT License", ["the mit license"]),
     ],
     "apache": [
@@ -29,7 +29,7 @@ TEMPLATES = {
         ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["distributed under the license is distributed on an as is basis"]),
     ],
     "gpl": [
-        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", ["gnu general public license"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license"]),
         ("This work is licensed under the GNU General Public License, version 3", ["gnu general public license"]),
     ],
     "bsd": [("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "following conditions are met"])],
@@ -43,6 +43,10 @@ TEMPLATES = {
 }
 
 
+#: One word of shift is allowed for so many words of a template, two at least.
+SHIFT = 6
+
+
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
     return word_hashes(raw, np.array([0, len(raw)]), CLASSES)[0]
@@ -109,32 +113,58 @@ class Index:
     def labels(self, h: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[set[str], float]:
         """Labels of one text and its best score. h: its words; at, word: positions of indexed words, and which they are.
 
-        Each of the text's indexed words votes for (template, start of the template in the text). A start with votes from half of the
-        template's indexed places is compared word by word; it gives its label if the agreeing words have at least `least`
-        of the template's weight and its mandatory phrases stand nearby.
+        Each of the text's indexed words votes for (template, start of the template in the text). Starts within a few words (see
+        SHIFT) count together, as words that a text inserts or leaves out move what follows: where half of the template's
+        indexed places have votes, template and text are aligned over these starts and as many on either side. The template gives its label if the
+        agreeing words have at least `least` of its weight and its mandatory phrases stand nearby.
         """
-        votes: dict[tuple[int, int], int] = {}
+        votes: dict[int, list[tuple[int, int]]] = {}
         for i, w in zip(at.tolist(), word.tolist()):
             for t, position in self.postings[w]:
-                key = t, i - position
-                votes[key] = votes.get(key, 0) + 1
+                votes.setdefault(t, []).append((i - position, position))
         found, best = set(), 0.0
-        for (t, start), n in votes.items():
+        for t, own in votes.items():
             label, words, phrases = self.templates[t]
-            if n < self.asked[t] or (label in found and best >= 1):
-                continue
-            lo, hi = max(start, 0), min(start + len(words), len(h))
-            same = h[lo:hi] == words[lo - start : hi - start]
-            total = self.weight[t].sum()
-            score = float(self.weight[t][lo - start : hi - start][same].sum() / total) if total > 0 else float(same.sum() / len(words))
-            if score < self.least:
-                continue
-            near = h[max(0, start - len(words)) : start + 2 * len(words)]
-            if all(_occurs(near, p) for p in phrases):
-                found.add(label)
-                best = max(best, min(score, 1.0))
+            shift = max(2, len(words) // SHIFT)
+            for start in _starts(sorted(own), shift, self.asked[t]):
+                if label in found and best >= 1:
+                    break
+                score = self._aligned(t, h, start - shift, 3 * shift)
+                if score < self.least:
+                    continue
+                near = h[max(0, start - len(words)) : start + shift + 2 * len(words)]
+                if all(_occurs(near, p) for p in phrases):
+                    found.add(label)
+                    best = max(best, min(score, 1.0))
         return found, best
 
+    def _aligned(self, t: int, h: np.ndarray, start: int, shift: int) -> float:
+        """The largest share of the template's weight in words that agree in order, each at one of the starts from `start` to `start + shift`."""
+        words, weight = self.templates[t][1], self.weight[t]
+        weight = weight / weight.sum() if weight.sum() > 0 else np.full(len(words), 1 / len(words))
+        place = start + np.arange(len(words))[:, None] + np.arange(shift + 1)
+        inside = (place >= 0) & (place < len(h))
+        gain = (inside & (h[np.where(inside, place, 0)] == words[:, None])) * weight[:, None]
+        total = np.zeros(shift + 2)  # by start: of the template's words so far, the most that agrees up to the text's place there
+        for row in gain:
+            total[:-1] = np.maximum.accumulate(np.maximum(total[:-1] + row, total[1:]))
+        return float(total.max())
+
+
+def _starts(votes: list[tuple[int, int]], shift: int, asked: int):
+    """Of sorted votes (start, place), the starts from which on, within `shift`, so many places have votes."""
+    held: dict[int, int] = {}
+    end = 0
+    for i, (start, place) in enumerate(votes):
+        while end < len(votes) and votes[end][0] <= start + shift:
+            held[votes[end][1]] = held.get(votes[end][1], 0) + 1
+            end += 1
+        if len(held) >= asked and (not i or votes[i - 1][0] < start):
+            yield start
+        held[place] -= 1
+        if not held[place]:
+            del held[place]
+
 
 def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Positions where the words of the phrase stand consecutively."""

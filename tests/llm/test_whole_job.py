@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from recframe.llm.decontaminate import drop_leaks, find_leaks
+from recframe.llm.licenses import TEMPLATES, scan_licenses
 from recframe.llm.page_text import Weights, main_text
 from tests.llm.helpers import frame, sentence, shingles, words
 from tests.llm.test_corpus import brute_leaks
@@ -112,3 +113,38 @@ def test_articles_of_structural_tags():
     assert main_text(listed, Weights(outside)) == "\n".join([title, *(y for x in lines for y in (x, x)), short])
     mostly_outside = Weights({**outside, ("tag", "div"): (1, 500)})
     assert mostly_outside.tag("div") < 20 * mostly_outside.tag("p") < 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_licenses_with_a_word_more_or_less(spark):
+    rng = random.Random(12)
+    texts = [("mit", MIT), ("mit", MIT.replace("\n", "\ndnl ")), ("mit", MIT.replace("to deal", "to freely deal")), ("gpl", GPL)]
+    for label, passages in TEMPLATES.items():
+        for passage, phrases in passages:
+            w = passage.split()
+            if len(w) < 10:
+                continue
+            for k in range(1, len(w)):
+                for edited in (w[:k] + ["inserted"] + w[k:], w[:k] + w[k + 1 :]):
+                    if all(" ".join(words(p)) in " ".join(words(" ".join(edited))) for p in phrases):
+                        texts.append((label, " ".join(edited)))
+    rows = [(i, f"{sentence(rng, 30)} {t} {sentence(rng, 30)}", "en", "s0") for i, (_, t) in enumerate(texts)]
+    rows += [(10_000 + i, sentence(rng, 60), "en", "s0") for i in range(300)]
+    rows += [(20_000, "software license the rights of copies " * 300, "en", "s0")]
+    out = {r["doc_id"]: r for r in scan_licenses(frame(spark, rows)).collect()}
+    assert len(texts) > 200 and [t for i, (label, t) in enumerate(texts) if label not in out[i]["labels"].split(",")] == []
+    assert out[0]["score"] == pytest.approx(1) and all(out[i]["labels"] == "" for i in out if i >= 10_000)
