@@ -12,8 +12,6 @@ import mmap
 import os
 import re
 import zlib
-from array import array
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,108 +21,159 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recframe.llm.common import shared_dir, small_batches
+from recframe.llm.common import flat, shared_dir, small_batches
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 150_000
-#: The same for words in lower case without a full stop or comma.
-REMEMBERED_CORES = 400_000
-#: str.split() parts at these, the tokenizer's \s doesn't: texts with them go to the tokenizer whole.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
+REMEMBERED = 600_000
+#: Bytes of text that are encoded together (a longer text stands alone), and words that are looked up together.
+TOGETHER, WORDS_TOGETHER = 8 << 20, 2 << 20
 
 #: Stands between words that are encoded together; a word that holds it is encoded alone.
 MARK = "~"
+#: Words that are one piece (letters that normalisation keeps but for their case), with a full stop or comma after them or not.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: What the byte-level pre-tokenizer turns bytes into that aren't printable Latin-1, by the public rule: 256 and up, in order.
+_BYTE_CHARS = {chr(b): chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD]) if b >= 0x7F}
 
 _loaded: dict = {}
 
 
-def tokenizer(path: str):
-    os.environ.setdefault("RAYON_NUM_THREADS", "1")
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _loaded:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        mark = tok.encode(MARK, add_special_tokens=False).ids
-        stops = {c: np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
-        _loaded[path] = tok, {}, {}, stops, mark[0] if _by_word(tok) else None
-    return _loaded[path]
+class _Words:
+    """A loaded tokenizer and the words that this worker has met: their ids lie side by side, those of word i from start[i] to start[i + 1]."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tok = Tokenizer.from_file(path)
+        self.by_word = _by_word(self.tok)
+        if not self.by_word:
+            return
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
+        self.stops = [self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"]
+        # the same model, for words that need no normalisation: only white space parts them, so all of a call's words go in one string
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for x, i in vocabulary.items() if x.endswith(self.tok.model.end_of_word_suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.start, self.ids = pa.array([""]), np.zeros(2, np.int64), np.zeros(0, "<u4")
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where these words are among the remembered ones; new ones are encoded, thousands in one call, and remembered."""
+        at = pc.index_in(distinct, value_set=self.words)
+        if not at.null_count:
+            return at.to_numpy()
+        new = distinct.filter(pc.is_null(at))
+        if len(self.words) > 1 and len(self.words) + len(new) > REMEMBERED:
+            self._forget()
+            return self.places(distinct)
+        plain = pc.match_substring_regex(new, PLAIN)
+        new = pa.concat_arrays([new.filter(plain), new.filter(pc.invert(plain))])
+        counts, ids = zip(*self._plain(new.slice(0, plain.true_count)), *self._others(new.slice(plain.true_count).to_pylist()))
+        self.words = pa.concat_arrays([self.words, new])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
+        self.ids = np.concatenate([self.ids, *ids])
+        return pc.index_in(distinct, value_set=self.words).to_numpy()
+
+    def _plain(self, words: pa.Array):
+        """Each is one piece, or two with the stop after it, so the ids that end pieces part the words."""
+        for a in range(0, len(words), 4096):
+            part = words.slice(a, 4096)
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), " ")[0].as_py()
+            joined = f"{joined} ".lower().replace(". ", " . ").replace(", ", " , ")
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1")
+                for raw, shown in _BYTE_CHARS.items():
+                    joined = joined.replace(raw, shown)
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            stop = (ids == self.stops[0]) | (ids == self.stops[1])
+            ends = np.flatnonzero(self.last[ids] & ~np.append(stop[1:], False)) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer parts a plain word")
+            yield np.diff(ends, prepend=0), ids
+
+    def _others(self, words: list[str]):
+        """Parted by MARK; one that could be mistaken for more than itself goes alone."""
+        own = lambda w: MARK in w or "<|" in w
+        alone = [w for w in words if own(w)]
+        known = dict(zip(alone, (np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(alone, add_special_tokens=False))))
+        rest = [w for w in words if w not in known]
+        for a in range(0, len(rest), 2048):
+            part = rest[a : a + 2048]
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) != len(part):
+                raise ValueError("the tokenizer gives its separator's id within a word")
+            known.update(zip(part, np.split(ids, at)))
+            for w in part[1:]:
+                known[w] = known[w][1:]  # the mark before it
+        yield np.array([len(known[w]) for w in words], np.int64), np.concatenate([np.zeros(0, "<u4"), *(known[w] for w in words)])
 
 
 def _by_word(tok) -> bool:
-    """Whether this tokenizer gives the words between white space their ids one by one, in any case, apart from punctuation."""
+    """Whether this tokenizer gives the words between ASCII white space their ids one by one, in any case, apart from punctuation, with an id of its own kind at a piece's end."""
 
     def ids(text: str) -> list[int]:
         return tok.encode(text, add_special_tokens=False).ids
 
-    apart = all(ids(f" {a}{space}{b}\n") == ids(a) + ids(b) for space in (" ", "\n", "\t  ", "\xa0", "\u3000") for a, b in (("Ab", "cd."), ("é1", "x,y")))
-    return apart and ids("ÉA.") == ids("éa") + ids(".") and len(ids(MARK)) == 1 and [x.id for x in tok.model.tokenize("word")] == ids("word")
-
+    apart = all(ids(f" {a}{space}{b}\n") == ids(a) + ids(b) for space in (" ", "\n", "\t  ", "\x0b", "\x0c", "\r\n") for a, b in (("Ab", "cd."), ("é1", "x,y")))
+    ended = bool(getattr(tok.model, "end_of_word_suffix", None))
+    return apart and ended and ids("ÉA.") == ids("éa") + ids(".") and all(len(ids(x)) == 1 for x in (MARK, ".", ",")) and [x.id for x in tok.model.tokenize("word")] == ids("word")
 
-#: What the byte-level pre-tokenizer turns bytes into that aren't printable Latin-1, by the public rule: 256 and up, in order.
-_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
+def tokenizer(path: str) -> _Words:
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _loaded:
+        _loaded[path] = _Words(path)
+    return _loaded[path]
 
-def _encode_words(words: set[str], tok, mark: int, into: dict[str, bytes]) -> None:
-    """Plain words (Latin-1 letters in lower case: one piece that normalisation keeps) go to the tokenizer's model directly.
 
-    Others go thousands in one call, parted by MARK; one that could be mistaken for more than itself goes alone.
-    """
-    tokenize = tok.model.tokenize
-    others = []
-    for word in words:
-        if word.isalpha() and (word.isascii() or max(word) <= "\xff") and word.islower():
-            pieces = tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))
-            into[word] = array("I", [x.id for x in pieces]).tobytes()
-        else:
-            others.append(word)
-    alone = [w for w in others if MARK in w or "<|" in w or any(c in w for c in ODD_SPACES)]
-    for word, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False)):
-        into[word] = np.array(e.ids, "<u4").tobytes()
-    rest = list(set(others).difference(alone))
-    for a in range(0, len(rest), 2048):
-        part = rest[a : a + 2048]
-        ids = np.array(tok.encode_batch_fast([f" {MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(ids == mark).tolist()
-        if len(at) != len(part):
-            raise ValueError("the tokenizer gives its separator's id within a word")
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(part, at):
-            into[word] = raw[4 * start : 4 * end]
-            start = end + 1
+def _folded(texts: pa.Array) -> pa.Array:
+    """Texts in lower case where that changes nothing: all letters are Latin-1, which the tokenizer folds alike, and no special token may be meant."""
+    data, at = flat(texts)
+    wide = np.diff(np.searchsorted(np.flatnonzero(data >= 0xC4), at)) > 0
+    as_they_are = pc.or_(pa.array(wide), pc.match_substring(texts, "<|"))
+    return pc.if_else(as_they_are, texts, pc.utf8_lower(texts)) if pc.any(as_they_are).as_py() else pc.utf8_lower(texts)
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The little-endian uint32 ids of each text, as the tokenizer gives them for the whole text.
+def encode_column(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The uint32 ids of all texts (null: empty), as the tokenizer gives them for each whole text, and the offsets of the texts in them.
 
     The tokenizer drops white space, and no piece of its pre-tokenizer crosses it; so a text's ids are those of its words
     between white space, which repeat and are encoded once. NFC and lower-casing don't reach across white space either.
     A tokenizer of another kind is noticed when it is loaded, and gets whole texts.
     """
-    tok, known, cores, stops, mark = tokenizer(path)
-    if mark is None:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    whole = [any(c in t for c in ODD_SPACES) for t in texts]
-    split = [[t] if w else t.split() for t, w in zip(texts, whole)]
-    words = list(chain.from_iterable(split))
-    ids = list(map(known.get, words))
-    missing = [i for i, x in enumerate(ids) if x is None]
-    if missing:
-        for held, most in ((known, REMEMBERED), (cores, REMEMBERED_CORES)):
-            if len(held) > most:
-                held.clear()
-        new = list({words[i] for i in missing})
-        # letters and punctuation are separate pieces, so a full stop or comma may go; Latin-1 letters keep their ids in lower case
-        parts = [w[:-1] if w[-1] in ".," else w for w in new]
-        parts = [c.lower() if c.isalpha() and (c.isascii() or max(c) <= "\xff") else w for c, w in zip(parts, new)]
-        _encode_words({c for c in parts if c not in cores}, tok, mark, cores)
-        fresh = {w: cores[c] + stops[w[-1]] if w[-1] in ".," and w[-1] != c[-1] else cores[c] for w, c in zip(new, parts)}
-        for i in missing:
-            ids[i] = fresh[words[i]]
-        known.update(fresh)
-    ends = list(accumulate(map(len, split), initial=0))
-    return [b"".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    known, texts = tokenizer(path), pc.fill_null(texts, "").cast(pa.large_string())
+    if not known.by_word:
+        ids = [np.array(e.ids, "<u4") for e in known.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+    split = pc.ascii_split_whitespace(_folded(texts))
+    rows, words = split.offsets.to_numpy().astype(np.int64), split.flatten().cast(pa.string())
+    rows -= rows[0]
+    out, offsets, total = [], np.zeros(len(rows), np.int64), 0
+    for a in range(0, len(words), WORDS_TOGETHER):
+        part = words.slice(a, WORDS_TOGETHER).dictionary_encode()
+        place = known.places(part.dictionary)[part.indices.to_numpy()]
+        n = np.diff(known.start)[place].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        first = known.start[place] - ends[:-1]
+        out.append(known.ids[np.repeat(first.astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)])
+        lo, hi = np.searchsorted(rows, [a, a + len(place)], "right")
+        offsets[lo:hi] = total + ends[rows[lo:hi] - a]
+        total += int(ends[-1])
+    return np.concatenate([np.zeros(0, "<u4"), *out]), offsets
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """The little-endian uint32 ids of each text; see encode_column."""
+    ids, at = encode_column(pa.array(texts, pa.string()), path)
+    return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -155,34 +204,49 @@ def _put(store: fs.FileSystem, path: str, chunks) -> None:
 
 def id_width(path: str, end_id: int = END_ID) -> int:
     """Bytes of an id: 2 if every id is below 65,536, else 4."""
-    return 2 if max(tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+    return 2 if max(tokenizer(path).tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+
+
+def _together(batches):
+    """doc_id and text of consecutive batches, until they hold about TOGETHER bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.select(["doc_id", "text"]))
+        size += batch.column("text").nbytes
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _write_parts(batches, uri: str, path: str, end_id: int, width: int):
     store, base = _filesystem(uri)
     store.create_dir(base, recursive=True)
-    part = TaskContext.get().partitionId()
     t = TaskContext.get()
+    part = t.partitionId()
     name = f"{base}/part-{part:06d}"
     draft = f"{name}.bin.{t.taskAttemptId()}"
-    end = np.array([end_id], "<u4").tobytes()
-    counts, ids = [], []
+    counts, docs = [], []
     with store.open_output_stream(draft, compression=None) as out:
-        for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
-            for a in range(0, len(texts), 512):
-                raw = encode(texts.slice(a, 512).to_pylist(), path)
-                counts += [len(x) // 4 + 1 for x in raw]
-                flat = end.join([*raw, b""])
-                out.write(flat if width == 4 else np.frombuffer(flat, "<u4").astype("<u2"))
-            ids.append(batch.column("doc_id"))
+        for table in _together(batches):
+            for column, doc in zip(table.column("text").chunks, table.column("doc_id").chunks):
+                ids, at = encode_column(column, path)
+                # every document's ids, then the end id
+                place = np.ones(len(ids) + len(column), bool)
+                place[at[1:] + np.arange(len(column))] = False
+                ended = np.full(len(place), end_id, "<u4" if width == 4 else "<u2")
+                ended[place] = ids
+                out.write(ended)
+                counts.append(np.diff(at) + 1)
+                docs.append(doc)
     _settle(store, draft, f"{name}.bin")
-    doc = pa.chunked_array(ids, pa.int64()) if ids else pa.chunked_array([[]], pa.int64())
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<u8")
+    doc = pa.chunked_array(docs, pa.int64()) if docs else pa.chunked_array([[]], pa.int64())
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]).astype("<u8")
     _put(store, f"{name}.idx", [offsets.tobytes()])
     _put(store, f"{name}.doc", [pc.fill_null(doc, 0).to_numpy().astype("<i8").tobytes()])
     _put(store, f"{name}.nul", [pc.is_null(doc).to_numpy().astype("u1").tobytes()])
-    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(counts)], "n_tokens": [int(offsets[-1])]})
+    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(doc)], "n_tokens": [int(offsets[-1])]})
 
 
 def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID) -> list[tuple[int, int, int]]:
