@@ -3,7 +3,7 @@
 A token set is a folder with, for every part p: `part-<p>.bin` (ids, little-endian, of the narrowest width of 2 or 4 bytes
 that holds every id of the vocabulary and the end id; reader and writer get it as `width`), `part-<p>.idx` (uint64 offsets in
 ids: one more than documents, from 0), `part-<p>.doc` (int64 doc_ids) and `part-<p>.nul` (one byte a document, 1 where doc_id
-is null). Parts follow each other in doc_id order; a part's base is the sum of the ids of the parts before it.
+is null). Parts follow each other in doc_id order, or in that of the documents; a part's base is the sum of the ids of the parts before it.
 """
 
 from __future__ import annotations
@@ -249,16 +249,22 @@ def _write_parts(batches, uri: str, path: str, end_id: int, width: int):
     yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n_docs": [len(doc)], "n_tokens": [int(offsets[-1])]})
 
 
-def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID) -> list[tuple[int, int, int]]:
-    """Encode docs (doc_id, text) into a token set at uri; gives (part, documents, base) for each part.
+def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID, ordered: bool = True) -> list[tuple[int, int, int]]:
+    """Encode docs (doc_id, text; others are ignored) into a token set at uri; gives (part, documents, base) for each part.
 
-    Documents are dealt by ranges of doc_id and sorted, nulls first; rows of one doc_id by their text, so reruns agree. A null
-    text is empty: it holds the end id alone. Only the counts of each part come to the driver, which sums them to bases.
+    ordered: documents are dealt by ranges of doc_id and sorted, nulls first; rows of one doc_id by their text, so reruns agree, and
+    a doc_id with many rows is dealt over several parts by the beginnings of their texts. Otherwise documents stay where and as they
+    are, a part for each of docs' partitions: no shuffle, and an order that an earlier step made is kept. A null or empty text
+    holds the end id alone; a very long one is encoded in whole, its words some millions at a time; repeated rows are written again;
+    an empty table gives no parts. Only the counts of each part come to the driver, which sums them to bases.
     """
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = docs.select("doc_id", "text")
+    if ordered:
+        first = F.asc_nulls_first("doc_id")
+        rows = rows.repartitionByRange(first, F.asc_nulls_first(F.substring("text", 1, 16))).sortWithinPartitions(first, F.asc_nulls_first("text"))
     width = id_width(path, end_id)
     small_batches(docs.sparkSession)
-    parts = sorted(ordered.mapInArrow(lambda it: _write_parts(it, uri, path, end_id, width), "part int, n_docs long, n_tokens long").collect())
+    parts = sorted(rows.mapInArrow(lambda it: _write_parts(it, uri, path, end_id, width), "part int, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts])]) if parts else [0]
     return [(p.part, p.n_docs, int(b)) for p, b in zip(parts, bases)]
 
@@ -299,7 +305,7 @@ def read_tokens(spark: SparkSession, uri: str, parts: list[tuple[int, int, int]]
     return listed.mapInArrow(lambda it: _read_parts(it, uri, width), schema)
 
 
-def token_files(docs: DataFrame, path: str, uri: str | None = None, end_id: int = END_ID) -> DataFrame:
+def token_files(docs: DataFrame, path: str, uri: str | None = None, end_id: int = END_ID, ordered: bool = True) -> DataFrame:
     """Write docs to a token set (in the shared folder unless uri names one) and read it back; see write_tokens, read_tokens."""
     uri = uri or shared_dir(docs.sparkSession)
-    return read_tokens(docs.sparkSession, uri, write_tokens(docs, uri, path, end_id), id_width(path, end_id))
+    return read_tokens(docs.sparkSession, uri, write_tokens(docs, uri, path, end_id, ordered), id_width(path, end_id))
