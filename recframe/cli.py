@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
 import shutil
 import sys
 import tempfile
+from contextlib import nullcontext
 
 from recframe.errors import RecordError, SpecError
 from recframe.functions.boundary import Boundary, resolve
@@ -127,8 +130,8 @@ def run(argv: list[str] | None = None, stdin=None, stdout=None) -> None:
         else:
             if any(x is not None for x in frames):
                 raise SpecError("--input-from, --input-cnt and --check-input-frames need --input-seekable")
-            data = stdin.read() if a.input == "-" else open(a.input, "rb").read()
-            edit.append_records(a.file, data, boundary, a.insert_separator, a.level, a.records_per_frame, a.trust_records_per_frame)
+            with nullcontext(stdin) if a.input == "-" else open(a.input, "rb") as data:
+                edit.append_records(a.file, data, boundary, a.insert_separator, a.level, a.records_per_frame, a.trust_records_per_frame)
     else:
         if a.output == "-":
             with tempfile.TemporaryDirectory() as d:
@@ -140,6 +143,8 @@ def run(argv: list[str] | None = None, stdin=None, stdout=None) -> None:
 
 
 def main() -> int:
+    """Messages go to stderr, at the level that RECFRAME_LOG names (INFO where it is unset)."""
+    logging.basicConfig(stream=sys.stderr, level=os.environ.get("RECFRAME_LOG", "INFO").upper(), format="%(levelname)s %(name)s: %(message)s")
     try:
         run()
     except (RecordError, OSError) as e:

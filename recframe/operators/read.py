@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import astuple
 from functools import reduce
-from typing import Any
+from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,41 @@ from recframe.errors import PastEnd, SpecError
 from recframe.functions.boundary import Boundary, Custom, Separated
 from recframe.functions.codec import decode
 from recframe.session import register
-from recframe.sources.container import has_checksum
-from recframe.sources.layout import RecordFiles, expand, inner_format
-from recframe.sources.records import FrameRange, plan, read_frames
+from recframe.sources.container import decode_frame, has_checksum, read_bytes
+from recframe.sources.layout import Facts, RecordFile, RecordFiles, expand, inner_format
+from recframe.sources.records import count_frame, pack_counts, plan, read_frames, run_of
+
+#: More files than these are opened by tasks, and only a few numbers a file come to the driver.
+OPENED_BY_DRIVER = 256
+FRAME_COLUMNS = "path string, frame int, comp_start long, comp_end long, comp_size long, decomp_start long, decomp_end long, decomp_size long"
 
 
 class Handle:
-    """One or more record files as one run of indices. Opening reads seek tables and first frames; reads are lazy DataFrames."""
+    """One or more record files as one run of indices. Opening reads seek tables and first frames (of many files: by tasks); reads are lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, path: str | list[str], boundary: Boundary | None = None, format: str | None = None, verify: bool = False, index_mode: str = "divide", partition_bytes: int | None = None):
         self.spark = register(spark)
         self.paths = expand(path)
         self.boundary = boundary or Separated(b"\n")
         self.format = format or inner_format(self.paths[0])
-        self.layout = RecordFiles(self.paths, self.boundary)
+        many = len(self.paths) > OPENED_BY_DRIVER
+        self.layout = RecordFiles(self.paths, self.boundary, self._opened_by_the_cluster() if many else None)
         self._options = {"verify": str(verify).lower(), "index_mode": index_mode}
         if partition_bytes:
             self._options["partition_bytes"] = str(partition_bytes)
+        self._counted: np.ndarray | None = None
+
+    def _listed(self, paths: list[str] | None = None) -> DataFrame:
+        """number, path of the files, dealt to tasks."""
+        paths = self.paths if paths is None else paths
+        rows = self.spark.createDataFrame(list(enumerate(paths)), "number int, path string")
+        return rows.repartition(min(len(paths), 4 * self.spark.sparkContext.defaultParallelism), "number") if len(paths) > 1 else rows.coalesce(1)
+
+    def _opened_by_the_cluster(self) -> list[Facts]:
+        """Every file opened by a task, its last frame counted too; a few numbers a file come back."""
+        boundary = self.boundary
+        found = self._listed().mapInArrow(lambda it: _open_files(it, boundary), "number int, size long, frames long, per_frame long, decompressed long, last_whole long, fragment boolean").collect()
+        return [Facts(r["size"], r["frames"], r["per_frame"], r["decompressed"], r["last_whole"], r["fragment"]) for r in sorted(found)]
 
     def __eq__(self, other: object) -> bool:
         """The same files in the same order under the same boundary; the format doesn't matter."""
@@ -46,7 +65,23 @@ class Handle:
 
     def _load(self, **options: str) -> DataFrame:
         boundary = {"boundary_pickle": cloudpickle.dumps(self.boundary).hex()} if isinstance(self.boundary, Custom) else self.boundary.options()
-        return self.spark.read.format("recframe").options(paths=json.dumps(self.paths), **boundary, **self._options, **options).load()
+        known = {"facts": json.dumps([astuple(f) for f in self.layout.facts])}
+        if self.exact:
+            known["counts"] = pack_counts(self._counts())
+        return self.spark.read.format("recframe").options(paths=json.dumps(self.paths), **boundary, **known, **self._options, **options).load()
+
+    @property
+    def exact(self) -> bool:
+        return self._options["index_mode"] == "exact"
+
+    def _counts(self) -> np.ndarray:
+        """The records of every frame of all files, counted by the cluster once for this handle; a number a frame comes back, as in a seek table."""
+        if self._counted is None:
+            number = {p: i for i, p in enumerate(self.paths)}
+            rows = self._frames(False, whole=False).select("path", "frame", "cnt_of_sep").toArrow()
+            order = np.lexsort((rows.column("frame").to_numpy(), [number[p] for p in rows.column("path").to_pylist()]))
+            self._counted = rows.column("cnt_of_sep").to_numpy()[order]
+        return self._counted
 
     def scan(self) -> DataFrame:
         """Every record; filters on record_index prune frames."""
@@ -54,7 +89,9 @@ class Handle:
 
     def records(self, start: int = 0, count: int | None = None) -> DataFrame:
         """count records from start (None: to the end). What can't be placed is refused here, not when the rows are read, even for a count of 0."""
-        if self._options["index_mode"] == "divide":
+        if self.exact:
+            plan(self.layout, start, count, self._options, counts=self._counts())
+        else:
             self.layout.spans(start, count)
         return self._load(**{"from": str(start)} | ({} if count is None else {"cnt": str(count)}))
 
@@ -79,36 +116,36 @@ class Handle:
         return self.slice(n, self.total())
 
     def reverse(self, n: int | None = None) -> DataFrame:
-        """The last n records (None: all), last first, with rev from 0."""
-        rows = self.scan() if n is None else self.tail(n)
-        return rows.withColumn("rev", F.lit(self.total() - 1) - F.col("record_index")).orderBy(F.desc("record_index"))
+        """The last n records (None: all), last first, with rev from 0; the source reads backwards, so nothing is sorted."""
+        total = self.total()
+        n = total if n is None else min(n, total)
+        return self._load(**{"from": str(total - n if n else 0), "cnt": str(n), "reverse": "true"}).withColumn("rev", F.lit(total - 1) - F.col("record_index"))
 
     def shard(self, i: int, of: int) -> DataFrame:
-        """Worker i's share of the frames of a single file: contiguous, without coordination between workers."""
+        """Worker i's share of the frames of all files: contiguous, without coordination between workers."""
         if not 0 <= i < of:
             raise SpecError(f"there is no shard {i} of {of}")
-        file = self.layout.files[0]
-        a, b = (file.frames * k // of * file.per_frame for k in (i, i + 1))
-        return self.slice(a, b if i + 1 < of else file.total)
+        frames = self.layout.frames
+        return self.slice(*(self.layout.frame_start(frames * k // of) for k in (i, i + 1)))
 
     def from_frame(self, frame: int) -> DataFrame:
-        """A worker's view from a frame on, with indices from 0 again."""
-        file = self.layout.files[0]
-        if not 0 <= frame < file.frames:
-            raise SpecError(f"frame {frame} of {file.path} doesn't exist: it has {file.frames}")
-        start = frame * file.per_frame
+        """A worker's view from a frame on (counted through all files), with indices from 0 again."""
+        if not 0 <= frame < self.layout.frames:
+            raise SpecError(f"there is no frame {frame}: the files have {self.layout.frames}")
+        start = self.layout.frame_start(frame)
         return self.records(start).withColumn("record_index", F.col("record_index") - start)
 
     # ------------------------------------------------------------- points and folds
 
-    def _local(self, start: int, count: int) -> list[bytes]:
-        ranges: list[FrameRange] = plan(self.layout, start, count, self._options)
-        return [x for r in ranges for batch in read_frames(r) for x in batch.column("record").to_pylist()]
+    def _batches(self, start: int, count: int | None, lookup: bool = False) -> Iterator[pa.RecordBatch]:
+        """The range's frames, read by this process one after the other."""
+        for part in plan(self.layout, start, count, self._options | {"partition_bytes": str(1 << 20), "lookup": str(lookup)}, counts=self._counts() if self.exact else None):
+            yield from read_frames(part)
 
     def record(self, i: int) -> bytes | None:
         """One record, None past the end: one frame is read, by the driver, without a job."""
         try:
-            return next(iter(self._local(i, 1)), None)
+            return next((b.column("record")[0].as_py() for b in self._batches(i, 1, lookup=True)), None)
         except ValueError as e:
             from recframe.errors import NoSeparator
 
@@ -122,7 +159,7 @@ class Handle:
         if raw is None:
             if optional:
                 return None
-            raise PastEnd(f"record {i} is past the end: the last is {self.total() - 1}")
+            raise PastEnd(f"there is no record {i}: the last is {self.total() - 1}")
         raw = raw.removesuffix(self.boundary.separator) if self.boundary.separator else raw
         if self.format == "json":
             return json.loads(raw)
@@ -131,50 +168,76 @@ class Handle:
         except UnicodeDecodeError:
             return raw
 
+    def chunks(self, start: int = 0, count: int | None = None) -> Iterator[memoryview]:
+        """The bytes of a range, a frame at a time: no more than a few frames are held, whatever the range."""
+        if not self.exact:
+            self.layout.spans(start, count)
+        for batch in self._batches(start, count):
+            yield run_of(batch.column("record"))[0]
+
+    def write_to(self, out: BinaryIO, start: int = 0, count: int | None = None) -> int:
+        """Write the bytes of a range to a file or another writer, in bounded memory; gives how many they are."""
+        size = 0
+        for chunk in self.chunks(start, count):
+            out.write(chunk)
+            size += len(chunk)
+        return size
+
     def cat(self, start: int = 0, count: int | None = 1) -> bytes:
-        """The bytes of a range."""
-        self.layout.spans(start, count)
-        total = self.total() if count is None else 0
-        return b"".join(self._local(start, total - start if count is None else count))
+        """The bytes of a range, joined."""
+        return b"".join(self.chunks(start, count))
 
     def fold(self, step: Callable[[Any, bytes], Any], first: Any, start: int = 0, count: int | None = None) -> Any:
-        """An ordered left fold, by the driver and a partition at a time; what commutes is better an aggregate of records()."""
-        rows = self.records(start, count).select("record_index", "record").orderBy("record_index").toLocalIterator()
+        """An ordered left fold, by the driver and a partition at a time; what commutes is better an aggregate of records().
+
+        The source's partitions follow each other in the order of the indices, so nothing is sorted.
+        """
+        rows = self.records(start, count).select("record").toLocalIterator(prefetchPartitions=True)
         return reduce(lambda a, r: step(a, bytes(r["record"])), rows, first)
 
     # ------------------------------------------------------------- metadata
 
     def total(self) -> int:
-        """Records, by division: the last frame of each file is decoded."""
-        return self.layout.total
+        """Records: by division, for which the last frame of each file is decoded, or as counted."""
+        return int(self._counts().sum()) if self.exact else self.layout.total
+
+    def _frames(self, fast: bool, frames: tuple[int, int] | None = None, whole: bool = True) -> DataFrame:
+        """path, frame, sizes and counts: tables are read and frames counted by tasks; the driver lists files alone."""
+        boundary = self.boundary
+        rows = self._listed().mapInArrow(lambda it: _frame_rows(it, boundary, fast, frames), f"{FRAME_COLUMNS}, last boolean, known long")
+        if not fast:
+            rows = rows.repartition(4 * self.spark.sparkContext.defaultParallelism, "path", F.floor(F.col("frame") / 64))
+        return rows.mapInArrow(lambda it: _count_frames(it, boundary, whole), f"{FRAME_COLUMNS}, cnt_of_sep long")
 
     def inspect(self, fast: bool = True) -> DataFrame:
         """path, frame, comp_start, comp_end, comp_size, decomp_start, decomp_end, decomp_size, sep, cnt_of_sep: one row a frame.
 
-        fast counts the first and the last two frames of a file and takes the rest as full; else every frame is counted, by the cluster.
+        fast counts the first and the last two frames of a file and takes the rest as full; else every frame is counted.
         """
-        rows = []
-        for file in self.layout.files:
-            c, d = file.table.starts(file.table.compressed), file.table.starts(file.table.decompressed)
-            for i in range(file.frames):
-                known = file.per_frame if fast and 0 < i < file.frames - 2 else None
-                rows.append((file.path, i, int(c[i]), int(c[i + 1]), int(c[i + 1] - c[i]), int(d[i]), int(d[i + 1]), int(d[i + 1] - d[i]), known))
-        schema = "path string, frame int, comp_start long, comp_end long, comp_size long, decomp_start long, decomp_end long, decomp_size long, known long"
-        table, boundary = self.spark.createDataFrame(rows, schema), self.boundary
-        if not fast:
-            table = table.repartition(max(1, min(len(rows), self.spark.sparkContext.defaultParallelism)))
-        counted = table.mapInArrow(lambda it: _count_frames(it, boundary), schema.replace("known", "cnt_of_sep"))
-        return counted.withColumn("sep", F.lit(self.boundary.separator)).select(*table.columns[:-1], "sep", "cnt_of_sep")
+        rows = self._frames(fast)
+        return rows.withColumn("sep", F.lit(self.boundary.separator)).select(*rows.columns[:-1], "sep", "cnt_of_sep")
+
+    def frame_rows(self, fast: bool = True) -> DataFrame:
+        """index, comp_start, comp_end, comp_size, decomp_start, decomp_end, decomp_size, records: the same as a listing shows it."""
+        return self._frames(fast).select(F.col("frame").alias("index"), "comp_start", "comp_end", "comp_size", "decomp_start", "decomp_end", "decomp_size", F.col("cnt_of_sep").alias("records"))
+
+    def count_frames(self, start: int, end: int) -> DataFrame:
+        """path, frame, cnt_of_sep: whole records of the frames [start, end) of each file, counted by the cluster."""
+        if not 0 <= start <= end:
+            raise SpecError(f"frames {start} to {end} make no range")
+        return self._frames(False, (start, end)).select("path", "frame", "cnt_of_sep")
 
     def verify(self) -> DataFrame:
         """The frames that break the layout: not as many records as frame 0, or, for a last one, more. None for a whole file."""
         rows = self.inspect(fast=False)
         full = self.spark.createDataFrame([(f.path, f.per_frame, f.frames - 1) for f in self.layout.files], "path string, records_per_frame long, last int")
-        return rows.join(F.broadcast(full), "path").where(F.when(F.col("frame") < F.col("last"), F.col("cnt_of_sep") != F.col("records_per_frame")).otherwise(F.col("cnt_of_sep") > F.col("records_per_frame")))
+        return rows.join(full, "path").where(F.when(F.col("frame") < F.col("last"), F.col("cnt_of_sep") != F.col("records_per_frame")).otherwise(F.col("cnt_of_sep") > F.col("records_per_frame"))).drop("records_per_frame", "last")
 
-    def checksums(self) -> list[bool]:
-        """For each file, whether frame 0 carries a checksum."""
-        return [has_checksum(f.path) for f in self.layout.files]
+    def checksums(self) -> DataFrame:
+        """path, frame, checksum: whether each frame carries a checksum of its content."""
+        boundary = self.boundary
+        rows = self._listed().mapInArrow(lambda it: _frame_rows(it, boundary, None, None), f"{FRAME_COLUMNS}, last boolean, known long")
+        return rows.mapInArrow(_checksums, "path string, frame int, checksum boolean")
 
     def summary(self) -> DataFrame:
         """path, finder, finder_arg, format, frames, records_per_frame, records: one row a file, never data."""
@@ -200,19 +263,45 @@ class Handle:
         return values[0] if len(values) == 1 else values
 
 
-def _count_frames(batches, boundary: Boundary):
-    from recframe.sources.container import decode_frame, read_bytes
+def _open_files(batches, boundary: Boundary):
+    for batch in batches:
+        rows = []
+        for path in batch.column("path").to_pylist():
+            file = RecordFile(path, boundary)
+            file.last_whole  # decodes the last frame, so that facts hold it
+            rows.append(astuple(file.facts))
+        yield pa.RecordBatch.from_arrays([batch.column("number"), *(pa.array(x) for x in zip(*rows))], ["number", "size", "frames", "per_frame", "decompressed", "last_whole", "fragment"])
+
 
+def _frame_rows(batches, boundary: Boundary, fast: bool | None, frames: tuple[int, int] | None):
+    """A file's frames [a, b) (None: all), with what is known of their counts: fast takes inner ones as full; None asks for no count."""
     for batch in batches:
-        counts = []
-        for r in batch.to_pylist():
-            n = r["known"]
-            if n is None:
+        for path in batch.column("path").to_pylist():
+            file = RecordFile(path, boundary)
+            c, d = file.table.starts(file.table.compressed), file.table.starts(file.table.decompressed)
+            first, end = (0, file.frames) if frames is None else (min(x, file.frames) for x in frames)
+            for lo in range(first, end, 65536):
+                at = np.arange(lo, min(lo + 65536, end))
+                inner = (at > 0) & (at < file.frames - 2) if fast else np.full(len(at), fast is None)
+                sizes = [pa.array(x) for x in (c[at], c[at + 1], c[at + 1] - c[at], d[at], d[at + 1], d[at + 1] - d[at])]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at.astype(np.int32)), *sizes, pa.array(at == file.frames - 1), pa.array(np.full(len(at), file.per_frame), mask=~inner)], [*(x.split()[0] for x in FRAME_COLUMNS.split(", ")), "last", "known"])
+
+
+def _count_frames(batches, boundary: Boundary, whole: bool):
+    """whole: a fragment that is the file's final record doesn't count."""
+    for batch in batches:
+        counts = batch.column("known").to_pylist()
+        for i, r in enumerate(batch.to_pylist()):
+            if counts[i] is None:
                 data = decode_frame(read_bytes(r["path"], r["comp_start"], r["comp_size"]), r["decomp_size"])
-                ends = boundary.ends(data)
-                n = len(ends)
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(counts, np.int64))], [*batch.schema.names[:-1], "cnt_of_sep"])
+                counts[i] = count_frame(boundary, data, r["last"] and not whole)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(counts, pa.int64())], [*batch.schema.names[:-2], "cnt_of_sep"])
+
+
+def _checksums(batches):
+    for batch in batches:
+        found = [has_checksum(p, at) for p, at in zip(batch.column("path").to_pylist(), batch.column("comp_start").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("frame"), pa.array(found, pa.bool_())], ["path", "frame", "checksum"])
 
 
 def open_records(spark: SparkSession, path: str | list[str], boundary: Boundary | None = None, **options: Any) -> Handle:

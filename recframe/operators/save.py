@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +10,29 @@ from recframe.errors import RecordError, Refused, SpecError
 from recframe.functions import codec
 from recframe.functions.boundary import Boundary, Separated
 from recframe.operators import edit
-from recframe.operators.publish import local
+from recframe.operators.publish import exists
 from recframe.operators.read import Handle
 from recframe.operators.write import write_file
 from recframe.plans.indexing import with_record_index
 from recframe.session import register
-from recframe.sources.container import SEEKABLE_MAGIC
+from recframe.sources.container import decode_frame, table_of
 from recframe.sources.layout import SUFFIX, expand, inner_format
 
 
-def open_path(spark: SparkSession, path: str | list[str], boundary: Boundary | None = None, **options) -> Handle | DataFrame:
-    """A handle for record files; Spark's reader for the extension of others, which take no boundary and no options of handles."""
+def open_path(spark: SparkSession, path: str | list[str], boundary: Boundary | None = None, raw: bool = False, partial: bool = True, schema: str | None = None, **options) -> Handle | DataFrame:
+    """A handle for record files; Spark's reader for the extension of others, which take no boundary and no options of handles.
+
+    raw: records are text, whatever the extension says. partial=False gives all values (by schema where the format needs one)
+    instead of a handle.
+    """
     paths = expand(path)
     kinds = {p.endswith(SUFFIX) for p in paths}
     if len(kinds) > 1:
         raise RecordError(f"{path} names record files and others")
     if kinds == {True}:
-        return Handle(spark, paths, boundary, **options)
-    if boundary is not None or options:
+        handle = Handle(spark, paths, boundary, **options | ({"format": "raw"} if raw else {}))
+        return handle if partial else handle.values(schema=schema)
+    if boundary is not None or options or raw or not partial:
         raise SpecError(f"{path} isn't a record file: it takes no boundary and no options of one")
     extension = paths[0].removesuffix(".gz").removesuffix(".zst").rpartition(".")[2]
     reader = {"parquet": "parquet", "orc": "orc", "csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json"}.get(extension, "text")
@@ -55,7 +58,7 @@ def save(
     An existing file needs append or force, never both; append needs it to exist.
     """
     boundary = boundary or Separated(b"\n")
-    exists = os.path.exists(local(path))
+    there = exists(path)
     if append and force:
         raise SpecError("append adds to a file and force replaces it: one of them")
     if records_per_frame is not None and records_per_frame <= 0:
@@ -64,9 +67,9 @@ def save(
         raise SpecError("trusting the records of a frame needs append, and their number")
     if insert_separator and not (append and boundary.separator):
         raise SpecError("inserting a separator needs append, and a boundary that has one")
-    if append and not exists:
+    if append and not there:
         raise Refused(f"{path} doesn't exist: there is nothing to append to")
-    if exists and not (append or force):
+    if there and not (append or force):
         raise Refused(f"{path} exists: append to it, or force to replace it")
     format = format or inner_format(path)
     if format not in ("json", "csv"):
@@ -82,28 +85,37 @@ def save(
         write_file(rows, path, *(names if order_by else ()), boundary=boundary, force=force, records_per_frame=records_per_frame, **framing)
 
 
-def records_of_bytes(df: DataFrame, boundary: Boundary | None = None) -> DataFrame:
+def records_of_bytes(df: DataFrame, boundary: Boundary | None = None, start: int = 0, count: int | None = None) -> DataFrame:
     """path, record_index, record from path and content: record files that are already bytes in rows, such as those of binaryFile.
 
-    Every row is decoded where it is; a file here must fit a row, that is 2 GiB.
+    Every row is read where it is, through its seek table: only the frames that count records from start need are decoded, one
+    at a time. A file here must fit a row, that is 2 GiB.
     """
     register(df.sparkSession)
     boundary = boundary or Separated(b"\n")
 
     def decode(batches):
-        import zstandard
-
         for batch in batches:
-            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                if raw[-4:] != SEEKABLE_MAGIC.to_bytes(4, "little"):
-                    raise RecordError(f"{path} isn't a seekable zst")
-                data = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
-                ends = boundary.ends(data).tolist()
-                if boundary.fragment_is_record and (ends[-1] if ends else 0) < len(data):
-                    ends.append(len(data))
-                for a in range(0, len(ends), 10_000):
-                    part = ends[a : a + 10_000]
-                    starts = [ends[a - 1] if a else 0, *part[:-1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(np.arange(a, a + len(part))), pa.array([data[x:y] for x, y in zip(starts, part)], pa.binary())], ["path", "record_index", "record"])
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                data = raw.as_buffer()
+                table = table_of(pa.BufferReader(data), data.size, path).without_empty_tail()
+                starts, per_frame = table.starts(table.compressed), 0
+                for i in range(len(table)):
+                    first = i * per_frame if per_frame else 0
+                    if per_frame and (first + per_frame <= start and i < len(table) - 1):
+                        continue
+                    if count is not None and first >= start + count:
+                        break
+                    frame = decode_frame(data.slice(int(starts[i]), int(table.compressed[i])).to_pybytes(), int(table.decompressed[i]))
+                    ends = boundary.ends(frame)
+                    if i == 0:
+                        per_frame = len(ends)
+                    if boundary.fragment_is_record and i == len(table) - 1 and (int(ends[-1]) if len(ends) else 0) < len(frame):
+                        ends = np.append(ends, len(frame))
+                    lo, hi = max(start - first, 0), len(ends) if count is None else min(start + count - first, len(ends))
+                    if lo < hi:
+                        offsets = np.concatenate([[0], ends]).astype(np.int32)[lo : hi + 1]
+                        record = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(frame)])
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * (hi - lo), pa.string()), pa.array(np.arange(first + lo, first + hi)), record], ["path", "record_index", "record"])
 
     return df.select("path", "content").mapInArrow(decode, "path string, record_index long, record binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections import deque
 from concurrent.futures import ThreadPoolExecutor
@@ -13,14 +14,17 @@ from pyspark.sql import functions as F
 
 from recframe.errors import Refused, SpecError
 from recframe.functions.boundary import Boundary, Separated
-from recframe.operators.publish import local, replace
+from recframe.operators.publish import exists, is_local, local, replace
 from recframe.plans.framing import FrameCutter, Framing
-from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index, written
-from recframe.session import register
+from recframe.plans.indexing import derive_per_frame, with_frames, with_record_index
+from recframe.session import register, written
 from recframe.sources.container import FrameTable, encode_frame, seek_table
 from recframe.sources.records import run_of
 
 
+log = logging.getLogger("recframe")
+
+
 def write_folder(df: DataFrame, path: str, *order_by: str, boundary: Boundary | None = None, mode: str = "append", extension: str = "bin", **framing) -> None:
     """Every task writes a whole record file; read as a folder they are one run of indices in the given order.
 
@@ -66,7 +70,7 @@ def write_file(df: DataFrame, path: str, *order_by: str, boundary: Boundary | No
     An existing file is refused unless force. Gives the framing with the count that was used.
     """
     boundary, framing = boundary or Separated(b"\n"), Framing(**options)
-    if os.path.exists(local(path)) and not force:
+    if exists(path) and not force:
         raise Refused(f"{path} exists: force would replace it")
     if "record_index" in df.columns and not order_by:
         indexed = df.select("record_index", "record")
@@ -92,7 +96,7 @@ def write_file(df: DataFrame, path: str, *order_by: str, boundary: Boundary | No
             sizes.append((len(empty), 0))
         out.write(seek_table(FrameTable(*(np.array(x, np.uint32) for x in zip(*sizes)))))
 
-    replace(path, put, copy=False)
+    replace(path, put)
     return Framing(framing.frame_size, n, framing.limit_multiplier, True, framing.level, framing.checksum)
 
 
@@ -113,7 +117,7 @@ def _write_by_size(indexed: DataFrame, path: str, boundary: Boundary, framing: F
         write(cutter.finish())
         out.write(seek_table(FrameTable(*(np.array(x, np.uint32) for x in zip(*sizes)))))
 
-    replace(path, put, copy=False)
+    replace(path, put)
     return framing
 
 
@@ -121,7 +125,7 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
     """A plain local file as a record file (default: beside it, with .seek.zst after its name), in one pass and bounded memory."""
     boundary, framing = boundary or Separated(b"\n"), Framing(**options)
     target = target or f"{source}.seek.zst"
-    if os.path.abspath(local(source)) == os.path.abspath(local(target)):
+    if is_local(target) and os.path.abspath(local(source)) == os.path.abspath(local(target)):
         raise SpecError("the output would replace the input")
 
     def put(out) -> int | None:
@@ -151,7 +155,8 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
         out.write(seek_table(FrameTable(*(np.array(x, np.uint32) for x in zip(*sizes)))))
         return cutter.per_frame
 
-    n = replace(target, put, copy=False)
+    n = replace(target, put)
+    log.info("%s compressed, %s records a frame", source, n)
     if remove:
         os.unlink(local(source))
     return Framing(framing.frame_size, n or framing.records_per_frame, framing.limit_multiplier, framing.uniform, framing.level, framing.checksum)

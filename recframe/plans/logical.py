@@ -33,5 +33,5 @@ def rewritten_frames(total: int, more: int, per_frame: int) -> range:
 def uniformity(df: DataFrame, per_frame: int) -> DataFrame:
     """Frames, by a frame column, that don't hold per_frame records, but for a last one with fewer."""
     counts = df.groupBy("frame").agg(F.count("*").alias("cnt"))
-    last = df.agg(F.max("frame").alias("last"))
-    return counts.crossJoin(F.broadcast(last)).where(F.when(F.col("frame") < F.col("last"), F.col("cnt") != per_frame).otherwise(F.col("cnt") > per_frame)).drop("last")
+    last = df.agg(F.max("frame").alias("last")).scalar()
+    return counts.where(F.when(F.col("frame") < last, F.col("cnt") != per_frame).otherwise(F.col("cnt") > per_frame))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import threading
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import zstandard
@@ -22,6 +24,7 @@ MOST_FRAME = 1 << 30
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     """Where a path or URI lives."""
+    path = re.sub(r"^file:/+", "/", path)
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -31,6 +34,8 @@ class FrameTable:
 
     compressed: np.ndarray
     decompressed: np.ndarray
+    #: Bytes of the file that it was read from.
+    file_size: int = 0
 
     def __len__(self) -> int:
         return len(self.compressed)
@@ -42,7 +47,7 @@ class FrameTable:
         """Without the empty frames that some writers leave at the end; an empty file keeps one."""
         full = np.flatnonzero(self.decompressed)
         n = int(full[-1]) + 1 if len(full) else min(1, len(self))
-        return FrameTable(self.compressed[:n], self.decompressed[:n])
+        return FrameTable(self.compressed[:n], self.decompressed[:n], self.file_size)
 
     def part(self, a: int, b: int) -> FrameTable:
         return FrameTable(self.compressed[a:b], self.decompressed[a:b])
@@ -58,27 +63,31 @@ def read_seek_table(path: str) -> FrameTable:
     store, name = filesystem(path)
     try:
         with store.open_input_file(name) as f:
-            size = f.size()
-            if size < FOOTER + 8:
-                raise NotSeekable(f"{path} is too short to be a seekable zst")
-            f.seek(size - FOOTER)
-            n, flags, magic = struct.unpack("<IBI", f.read(FOOTER))
-            if magic != SEEKABLE_MAGIC:
-                raise NotSeekable(f"failed to open {path} as a seekable zst")
-            each = 12 if flags & CHECKSUM_FLAG else 8
-            start = size - FOOTER - n * each - 8
-            if start < 0:
-                raise NotSeekable(f"the seek table of {path} is longer than the file")
-            f.seek(start)
-            raw = f.read(8 + n * each)
+            return table_of(f, f.size(), path)
     except FileNotFoundError:
         raise RecordError(f"{path} doesn't exist") from None
+
+
+def table_of(f: BinaryIO, size: int, label: str) -> FrameTable:
+    """The table at the end of anything that can be read at a place."""
+    if size < FOOTER + 8:
+        raise NotSeekable(f"{label} is shorter than any seekable file")
+    f.seek(size - FOOTER)
+    n, flags, magic = struct.unpack("<IBI", f.read(FOOTER))
+    if magic != SEEKABLE_MAGIC:
+        raise NotSeekable(f"{label} has no seekable table at its end")
+    each = 12 if flags & CHECKSUM_FLAG else 8
+    start = size - FOOTER - n * each - 8
+    if start < 0:
+        raise NotSeekable(f"the seek table of {label} is longer than the file")
+    f.seek(start)
+    raw = f.read(8 + n * each)
     if struct.unpack_from("<II", raw) != (SKIPPABLE_MAGIC, n * each + FOOTER):
-        raise NotSeekable(f"the seek table of {path} has a wrong header")
+        raise NotSeekable(f"the seek table of {label} has a wrong header")
     sizes = np.frombuffer(raw, "<u4", offset=8).reshape(n, each // 4)
-    table = FrameTable(sizes[:, 0].copy(), sizes[:, 1].copy())
+    table = FrameTable(sizes[:, 0].copy(), sizes[:, 1].copy(), size)
     if int(table.compressed.astype(np.int64).sum()) != start:
-        raise NotSeekable(f"the frames of {path} don't fill the file up to its seek table")
+        raise NotSeekable(f"the frames of {label} don't fill the file up to its seek table")
     return table
 
 

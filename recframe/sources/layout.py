@@ -25,25 +25,59 @@ class Span:
     high: int
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What one opening of a file found, in a few numbers: enough to place records, and to see whether the file still is the same."""
+
+    size: int  # bytes of the file
+    frames: int
+    per_frame: int
+    decompressed: int
+    last_whole: int | None = None  # unknown until a total is asked for
+    fragment: bool | None = None
+
+
 class RecordFile:
-    """One file. Opening reads the seek table and decodes frame 0; the last frame is decoded only when a total is asked for."""
+    """One file. Opening reads the seek table and decodes frame 0; the last frame is decoded only when a total is asked for.
+
+    With the facts of an earlier opening nothing is read until the table is needed.
+    """
 
-    def __init__(self, path: str, boundary: Boundary | None = None, table: FrameTable | None = None):
-        self.path, self.boundary = path, boundary or Separated(b"\n")
-        self.table = (read_seek_table(path) if table is None else table).without_empty_tail()
+    def __init__(self, path: str, boundary: Boundary | None = None, table: FrameTable | None = None, facts: Facts | None = None):
+        self.path, self.boundary, self.known = path, boundary or Separated(b"\n"), facts
+        if facts is not None:
+            self.per_frame = facts.per_frame
+            return
+        if table is not None:
+            self.table = table.without_empty_tail()
         if not len(self.table):
             raise NoFrames(f"no frames in {path}")
         if not self.per_frame:
             ends = f"ends with {self.boundary.separator!r}" if self.boundary.separator else "ends"
             raise NoRecords(f"no record in frame 0 of {path} {ends}")
 
+    @cached_property
+    def table(self) -> FrameTable:
+        return read_seek_table(self.path).without_empty_tail()
+
+    @property
+    def table_is_here(self) -> bool:
+        return "table" in self.__dict__
+
+    @property
+    def facts(self) -> Facts:
+        if self.known is not None and "_tail" not in self.__dict__:
+            return self.known
+        size, total = (self.known.size, self.known.decompressed) if self.known else (self.table.file_size, int(self.table.decompressed.astype(np.int64).sum()))
+        return Facts(size, self.frames, self.per_frame, total, *(self._tail if "_tail" in self.__dict__ else (None, None)))
+
     def frame_bytes(self, i: int) -> bytes:
         start = int(self.table.compressed[:i].astype(np.int64).sum())
         return decode_frame(read_bytes(self.path, start, int(self.table.compressed[i])), int(self.table.decompressed[i]))
 
     @property
     def frames(self) -> int:
-        return len(self.table)
+        return self.known.frames if self.known else len(self.table)
 
     @cached_property
     def per_frame(self) -> int:
@@ -52,6 +86,8 @@ class RecordFile:
 
     @cached_property
     def _tail(self) -> tuple[int, bool]:
+        if self.known is not None and self.known.last_whole is not None:
+            return self.known.last_whole, bool(self.known.fragment)
         data = self.frame_bytes(self.frames - 1)
         ends = self.boundary.ends(data)
         return len(ends), (int(ends[-1]) if len(ends) else 0) < len(data)
@@ -70,9 +106,12 @@ class RecordFile:
     def total(self) -> int:
         """Records of the file, by division; a fragment under a separator is one."""
         if self.has_fragment and not self.boundary.fragment_is_record:
-            raise IncompleteFinal(f"incomplete final record {self.per_frame * (self.frames - 1) + self.last_whole} in {self.path}")
+            raise self._cut_off(self.per_frame * (self.frames - 1) + self.last_whole)
         return self.per_frame * (self.frames - 1) + self.last_whole + self.has_fragment
 
+    def _cut_off(self, record: int) -> IncompleteFinal:
+        return IncompleteFinal(f"{self.path} ends within record {record}")
+
     @property
     def aligned(self) -> bool:
         """Whether the last frame is full too, and ends whole."""
@@ -87,14 +126,14 @@ class RecordFile:
         if start < 0 or count is not None and count < 0:
             raise SpecError("a start and a count can't be negative")
         if start > n * frames or start == n * frames and not (self.last_whole == n and self.has_fragment):
-            raise PastEnd(f"record {start} is past the end of {self.path}")
+            raise PastEnd(f"{self.path} has no record {start}: its frames have room for {n * frames}")
         if start >= n * (frames - 1) and start - n * (frames - 1) > self.last_whole:
-            raise NoSeparator(f"No separator found in frame {frames - 1} of {self.path}: it holds {self.last_whole} records")
+            raise NoSeparator(f"record {start} would be beyond the {self.last_whole} whole records of frame {frames - 1}, the last of {self.path}")
         stop = None if count is None else start + count
         if stop is None or stop > n * (frames - 1):
             whole = n * (frames - 1) + self.last_whole
             if self.has_fragment and not self.boundary.fragment_is_record and (stop is None or stop > whole):
-                raise IncompleteFinal(f"incomplete final record {whole} in {self.path}")
+                raise self._cut_off(whole)
             stop = min(self.total if self.boundary.fragment_is_record else whole, stop if stop is not None else 1 << 62)
         stop = max(stop, start)
         first = min(start // n, frames - 1)
@@ -107,14 +146,35 @@ class RecordFiles:
     Files are opened together, so that errors come early; counts are summed only as far as a request needs them.
     """
 
-    def __init__(self, paths: list[str], boundary: Boundary | None = None):
+    def __init__(self, paths: list[str], boundary: Boundary | None = None, facts: list[Facts] | None = None):
         if not paths:
             raise SpecError("no file to open")
         self.boundary = boundary or Separated(b"\n")
-        with ThreadPoolExecutor(min(32, len(paths))) as pool:
-            self.files = list(pool.map(lambda p: RecordFile(p, self.boundary), paths))
+        if facts is not None:
+            now = _sizes(paths)
+            self.files = [RecordFile(p, self.boundary, facts=f if f.size == size else None) for p, f, size in zip(paths, facts, now, strict=True)]
+        else:
+            with ThreadPoolExecutor(min(32, len(paths))) as pool:
+                self.files = list(pool.map(lambda p: RecordFile(p, self.boundary), paths))
         self._offsets = [0]
 
+    @property
+    def facts(self) -> list[Facts]:
+        return [f.facts for f in self.files]
+
+    @property
+    def frames(self) -> int:
+        """Frames of all files."""
+        return sum(f.frames for f in self.files)
+
+    def frame_start(self, frame: int) -> int:
+        """The index of the first record of a frame, when the frames of all files are counted through; of the end for the frame after the last."""
+        for i, file in enumerate(self.files):
+            if frame < file.frames:
+                return self.offset(i) + frame * file.per_frame
+            frame -= file.frames
+        return self.total
+
     def offset(self, i: int) -> int:
         """Records before file i."""
         while len(self._offsets) <= i:
@@ -140,10 +200,21 @@ class RecordFiles:
             own = max(start - low, 0)
             out.append((i, low, file.span(own, None if stop == 1 << 62 else stop - low - own)))
         if not out and start > self.total:
-            raise PastEnd(f"record {start} is past the end: the last is {self.total - 1}")
+            raise PastEnd(f"there is no record {start}: the last is {self.total - 1}")
         return out
 
 
+def _sizes(paths: list[str]) -> list[int | None]:
+    """Bytes of the files as they are now."""
+    stores: dict[str, tuple] = {}
+    for p in paths:
+        store, name = filesystem(p)
+        stores.setdefault(p.partition("://")[0] if "://" in p else "", (store, [], []))[1].append(name)
+        stores[p.partition("://")[0] if "://" in p else ""][2].append(p)
+    found = {p: info.size for store, names, own in stores.values() for p, info in zip(own, store.get_file_info(names))}
+    return [found[p] for p in paths]
+
+
 #: The suffix that marks record files in folders and patterns.
 SUFFIX = ".seek.zst"
 

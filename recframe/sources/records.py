@@ -1,15 +1,19 @@
 """The `recframe` data source: record files as rows of path, file_index, frame, record_index, record.
 
 Options: path (a file, folder or pattern) or paths (a JSON list); the boundary (separator, separator_hex, finder,
-finder_arg); from and cnt (a range of record indices); verify; index_mode (divide or exact); partition_bytes; pushdown.
+finder_arg); from and cnt (a range of record indices); verify; index_mode (divide or exact); partition_bytes; pushdown;
+reverse (last record first). A handle adds facts (what its opening found, so that nothing is opened again) and counts (for exact).
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import pickle
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -20,11 +24,11 @@ from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from recframe.errors import IncompleteFrame, SpecError, Uneven
+from recframe.errors import IncompleteFrame, PastEnd, RecordError, SpecError, Uneven
 from recframe.functions.boundary import Boundary, from_options
 from recframe.plans.framing import FrameCutter, Framing
-from recframe.sources.container import FrameTable, decode_frame, encode_frame, filesystem, read_bytes, seek_table
-from recframe.sources.layout import SUFFIX, RecordFile, RecordFiles, expand
+from recframe.sources.container import FrameTable, decode_frame, encode_frame, filesystem, read_bytes, read_seek_table, seek_table
+from recframe.sources.layout import SUFFIX, Facts, RecordFile, RecordFiles, expand
 
 SCHEMA = "path string, file_index int, frame int, record_index long, record binary"
 #: Decompressed bytes that one task reads.
@@ -33,21 +37,31 @@ PARTITION_BYTES = 64 << 20
 
 @dataclass
 class FrameRange(InputPartition):
-    """Consecutive frames of one file, with all that a task needs to decode them: it reads nothing else of the file."""
+    """Consecutive frames of one file. Where the planner had the seek table, their sizes come along and a task reads nothing else of the file."""
 
     path: str
     file_index: int
     first: int  # frame
-    start: int  # byte
-    compressed: list[int]
-    decompressed: list[int]
+    end: int
     index: int  # of the first record of the first frame
     low: int
     high: int  # indices wanted
     per_frame: int
     last: bool  # whether the file's last frame is among them
-    verify: bool
+    verify: int  # 0: nothing is judged; 1: frames whose end the request reaches; 2: those it goes beyond, as a lookup that found nothing
     boundary: bytes
+    start: int = -1  # byte; -1: the table is still to be read
+    compressed: np.ndarray | None = None
+    decompressed: np.ndarray | None = None
+
+    def sized(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Where the frames start in the file, and their sizes."""
+        if self.compressed is not None:
+            return self.start, self.compressed, self.decompressed
+        table = read_seek_table(self.path)
+        if len(table) < self.end:
+            raise RecordError(f"{self.path} has changed since it was opened: it has {len(table)} frames rather than {self.end} or more")
+        return int(table.compressed[: self.first].astype(np.int64).sum()), table.compressed[self.first : self.end], table.decompressed[self.first : self.end]
 
 
 def _boundary(options: dict[str, str]) -> Boundary:
@@ -63,32 +77,50 @@ def _true(value: str | None) -> bool:
 def _judge(part: FrameRange, boundary: Boundary, i: int, ends: np.ndarray, size: int, past: int) -> None:
     """Refuse a frame that breaks the layout. past: how many records the request wants beyond the frame's whole ones.
 
-    Only what the request walks is judged: under `verify` a frame whose end it reaches (past is 0 or more), otherwise one
-    whose fragment stands in its way (past above 0).
+    Only what the request walks is judged: under `verify` a frame whose end it reaches (past is 0 or more; above 0 for a lookup),
+    otherwise one whose fragment stands in its way (past above 0).
     """
-    final = part.last and i == len(part.compressed) - 1
+    final = part.last and i == part.end - part.first - 1
     named = f"frame {part.first + i} of {part.path}"
-    if part.verify and past >= 0 and (len(ends) > part.per_frame if final else len(ends) != part.per_frame):
+    judged = part.verify and past >= part.verify - 1
+    if judged and (len(ends) > part.per_frame if final else len(ends) != part.per_frame):
         raise Uneven(f"{named} holds {len(ends)} records rather than {part.per_frame}: another writer or boundary made this file")
     if not final and (int(ends[-1]) if len(ends) else 0) != size:
-        if part.verify and past >= 0:
+        if judged:
             raise Uneven(f"{named} holds bytes after its last record: another writer or boundary made this file")
         if past > 0:
-            raise IncompleteFrame(f"incomplete record at nonfinal frame boundary: {named}")
+            raise IncompleteFrame(f"a record goes on past the end of {named}, which isn't the last")
+
+
+#: Compressed bytes that a task reads at once.
+READ_BYTES = 16 << 20
+
+
+def _raw_frames(part: FrameRange) -> Iterator[tuple[bytes, int]]:
+    """The frames as they are, with their decompressed sizes: a file is read some megabytes at a time."""
+    at, compressed, decompressed = part.sized()
+    ends = np.cumsum(compressed.astype(np.int64))
+    i = 0
+    while i < len(ends):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + READ_BYTES, "right")))
+        raw = read_bytes(part.path, at + before, int(ends[j - 1]) - before)
+        for k in range(i, j):
+            lo = (int(ends[k - 1]) if k else 0) - before
+            yield raw[lo : int(ends[k]) - before], int(decompressed[k])
+        i = j
 
 
 def read_frames(part: FrameRange) -> Iterator[pa.RecordBatch]:
-    """One read of the file, then a batch for each frame; the records are slices of the frame's bytes, not copies."""
+    """A batch for each frame; the records are slices of the frame's bytes, not copies."""
     boundary: Boundary = pickle.loads(part.boundary)
-    raw = read_bytes(part.path, part.start, sum(part.compressed))
-    at, index = 0, part.index
-    for i, (size, out) in enumerate(zip(part.compressed, part.decompressed)):
-        data = decode_frame(raw[at : at + size], out)
-        at += size
+    index, final = part.index, part.end - part.first - 1
+    for i, (raw, out) in enumerate(_raw_frames(part)):
+        data = decode_frame(raw, out)
         ends = boundary.ends(data)
         whole = int(ends[-1]) if len(ends) else 0
         _judge(part, boundary, i, ends, len(data), part.high - index - len(ends))
-        if whole < len(data) and boundary.fragment_is_record and part.last and i == len(part.compressed) - 1:
+        if whole < len(data) and boundary.fragment_is_record and part.last and i == final:
             ends = np.append(ends, len(data))
         n = len(ends)
         lo, hi = max(part.low - index, 0), min(part.high - index, n)
@@ -102,15 +134,46 @@ def read_frames(part: FrameRange) -> Iterator[pa.RecordBatch]:
         index += n
 
 
-def plan(files: RecordFiles, start: int, count: int | None, options: dict[str, str], clip: bool = False) -> list[FrameRange]:
-    """Frame ranges of about partition_bytes for a range of indices. clip: a range past the end is empty, not refused."""
-    limit, verify = int(options.get("partition_bytes", PARTITION_BYTES)), _true(options.get("verify"))
+def read_backwards(part: FrameRange) -> Iterator[pa.RecordBatch]:
+    """The same rows, last first; a partition's frames are held, so its size bounds the memory."""
+    for batch in reversed(list(read_frames(part))):
+        yield batch.take(pa.array(np.arange(len(batch) - 1, -1, -1)))
+
+
+def _cuts(file: RecordFile, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of the frames [a, b) that hold about `limit` bytes: by their sizes where the table is here, else by the file's mean."""
+    if file.table_is_here:
+        ends = np.cumsum(file.table.decompressed[a:b].astype(np.int64))
+        i = 0
+        while i < b - a:
+            j = max(i + 1, int(np.searchsorted(ends, (int(ends[i - 1]) if i else 0) + limit, "right")))
+            yield a + i, a + j
+            i = j
+    else:
+        step = max(1, limit * file.frames // max(1, file.facts.decompressed))
+        yield from ((i, min(i + step, b)) for i in range(a, b, step))
+
+
+def _range(file: RecordFile, number: int, a: int, b: int, index: int, low: int, high: int, verify: int, packed: bytes) -> FrameRange:
+    part = FrameRange(file.path, number, a, b, index, low, high, file.per_frame, b == file.frames, verify, packed)
+    if file.table_is_here:
+        part.start = int(file.table.compressed[:a].astype(np.int64).sum())
+        part.compressed, part.decompressed = file.table.compressed[a:b], file.table.decompressed[a:b]
+    return part
+
+
+def plan(files: RecordFiles, start: int, count: int | None, options: dict[str, str], clip: bool = False, counts: np.ndarray | None = None) -> list[FrameRange]:
+    """Frame ranges of about partition_bytes for a range of indices. clip: a range past the end is empty, not refused.
+
+    counts: the records of every frame of all files, for index_mode exact.
+    """
+    limit, verify = int(options.get("partition_bytes", PARTITION_BYTES)), _true(options.get("verify")) * (2 if _true(options.get("lookup")) else 1)
     packed, out = cloudpickle.dumps(files.boundary), []
-    if options.get("index_mode", "divide") not in ("divide", "exact"):
-        raise SpecError(f"index_mode is divide or exact, not {options['index_mode']!r}")
-    exact = options.get("index_mode") == "exact"
-    if exact:
-        return _plan_exact(files, start, count, limit, packed)
+    mode = options.get("index_mode", "divide")
+    if mode not in ("divide", "exact"):
+        raise SpecError(f"index_mode is divide or exact, not {mode!r}")
+    if mode == "exact":
+        return _plan_exact(files, start, count, limit, packed, clip, _count_here(files) if counts is None else counts)
     if clip:
         total = files.total
         start, count = min(start, total), None if count is None else max(0, min(count, total - start))
@@ -118,34 +181,50 @@ def plan(files: RecordFiles, start: int, count: int | None, options: dict[str, s
             return []
     for number, before, span in files.spans(start, count):
         file = files.files[number]
-        starts, sizes = file.table.starts(file.table.compressed), file.table.decompressed.astype(np.int64)
-        a = span.first
-        while a < span.end:
-            b = a + 1
-            room = limit - sizes[a]
-            while b < span.end and sizes[b] <= room:
-                room -= sizes[b]
-                b += 1
-            out.append(FrameRange(file.path, number, a, int(starts[a]), file.table.compressed[a:b].tolist(), sizes[a:b].tolist(), before + a * file.per_frame, before + span.low, before + span.high, file.per_frame, b == file.frames, verify, packed))
-            a = b
+        out += [_range(file, number, a, b, before + a * file.per_frame, before + span.low, before + span.high, verify, packed) for a, b in _cuts(file, span.first, span.end, limit)]
     return out
 
 
-def _plan_exact(files: RecordFiles, start: int, count: int | None, limit: int, packed: bytes) -> list[FrameRange]:
+def count_frame(boundary: Boundary, data: bytes, final: bool) -> int:
+    """Records of a frame, with the fragment that ends a file where that is one."""
+    ends = boundary.ends(data)
+    return len(ends) + (final and boundary.fragment_is_record and (int(ends[-1]) if len(ends) else 0) < len(data))
+
+
+def _count_here(files: RecordFiles) -> np.ndarray:
+    """The records of every frame, counted by threads of this process: for readers that no handle has counted for."""
+    every = [(f, i) for f in files.files for i in range(f.frames)]
+    with ThreadPoolExecutor() as pool:
+        return np.fromiter(pool.map(lambda x: count_frame(files.boundary, x[0].frame_bytes(x[1]), x[1] == x[0].frames - 1), every), np.int64, len(every))
+
+
+def _plan_exact(files: RecordFiles, start: int, count: int | None, limit: int, packed: bytes, clip: bool, counts: np.ndarray) -> list[FrameRange]:
     """Indices by position: every frame's records are counted first, so uneven files are numbered as they are read in full."""
-    out, index, stop = [], 0, 1 << 62 if count is None else start + count
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    total = int(ends[-1])
+    if start < 0 or count is not None and count < 0:
+        raise SpecError("a start and a count can't be negative")
+    if start > total and not clip:
+        raise PastEnd(f"there is no record {start}: {total} were counted")
+    stop, out, frame = total if count is None else min(total, start + count), [], 0
     for number, file in enumerate(files.files):
-        starts = file.table.starts(file.table.compressed)
-        for i in range(file.frames):
-            data = file.frame_bytes(i)
-            ends = files.boundary.ends(data)
-            n = len(ends) + (i == file.frames - 1 and files.boundary.fragment_is_record and (int(ends[-1]) if len(ends) else 0) < len(data))
-            if index < stop and index + n > start:
-                out.append(FrameRange(file.path, number, i, int(starts[i]), [int(file.table.compressed[i])], [len(data)], index, start, stop, n, i == file.frames - 1, False, packed))
-            index += n
+        own = ends[frame : frame + file.frames + 1]
+        frame += file.frames
+        if start < stop:
+            a, b = max(0, int(np.searchsorted(own, start, "right")) - 1), min(file.frames, int(np.searchsorted(own, stop, "left")))
+            out += [_range(file, number, i, j, int(own[i]), start, stop, 0, packed) for i, j in _cuts(file, a, b, limit)]
     return out
 
 
+def pack_counts(counts: np.ndarray) -> str:
+    """Numbers as a reader option."""
+    return base64.b64encode(zlib.compress(counts.astype("<i8").tobytes(), 1)).decode()
+
+
+def _unpack_counts(text: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(base64.b64decode(text)), "<i8")
+
+
 class RecordReader(DataSourceReader):
     """Plans frame ranges on the driver from the seek tables; tasks decode them."""
 
@@ -158,17 +237,20 @@ class RecordReader(DataSourceReader):
         named = json.loads(self.options["paths"]) if self.options.get("paths") else self.options.get("path")
         if not named:
             raise SpecError("a path is needed")
+        if self.options.get("facts"):
+            return RecordFiles(named, _boundary(self.options), [Facts(*x) for x in json.loads(self.options["facts"])])
         return RecordFiles(expand(named), _boundary(self.options))
 
     def partitions(self) -> list[FrameRange]:
         files = self._files()
-        if self.clip and self.start == 0 and self.count is None:
-            return plan(files, 0, None, self.options)
-        return plan(files, self.start, self.count, self.options, self.clip) or [FrameRange("", 0, 0, 0, [], [], 0, 0, 0, 0, False, False, cloudpickle.dumps(files.boundary))]
+        counts = _unpack_counts(self.options["counts"]) if self.options.get("counts") else None
+        clip = self.clip and not (self.start == 0 and self.count is None)
+        parts = plan(files, self.start, self.count, self.options, clip, counts)
+        return parts[::-1] if _true(self.options.get("reverse")) and parts else parts or [FrameRange("", 0, 0, 0, 0, 0, 0, 0, False, 0, cloudpickle.dumps(files.boundary))]
 
     def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
-        if partition.compressed:
-            yield from read_frames(partition)
+        if partition.first < partition.end:
+            yield from (read_backwards if _true(self.options.get("reverse")) else read_frames)(partition)
 
 
 class PushedReader(RecordReader):
@@ -302,8 +384,3 @@ class RecordDataSource(DataSource):
         from recframe.streaming.tail import TailReader
 
         return TailReader(dict(self.options))
-
-
-def spool(file: RecordFile) -> bytes:
-    """All bytes of a small file, decoded."""
-    return b"".join(file.frame_bytes(i) for i in range(file.frames))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from recframe.functions.boundary import Boundary
-from recframe.operators.publish import local
 from recframe.operators.write import write_file
+from recframe.sources.container import filesystem
 
 
 def to_folder(stream: DataFrame, path: str, *order_by: str, boundary: Boundary | None = None, extension: str = "txt", **framing) -> DataStreamWriter:
@@ -22,7 +20,8 @@ def to_folder(stream: DataFrame, path: str, *order_by: str, boundary: Boundary |
     def put(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        os.makedirs(local(path), exist_ok=True)
+        store, name = filesystem(path)
+        store.create_dir(name, recursive=True)
         write_file(batch, f"{path}/batch-{number:012d}.{extension}.seek.zst", *order_by, boundary=boundary, force=True, **framing)
 
     return stream.writeStream.foreachBatch(put)
