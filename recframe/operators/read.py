@@ -201,13 +201,19 @@ class Handle:
         """Records: by division, for which the last frame of each file is decoded, or as counted."""
         return int(self._counts().sum()) if self.exact else self.layout.total
 
+    def _frame_rows(self, fast: bool | None, frames: tuple[int, int] | None = None) -> DataFrame:
+        """A row a frame, without counts that aren't known yet: from the tables of this handle, or of many files by tasks, where the driver lists files alone."""
+        if len(self.paths) > OPENED_BY_DRIVER:
+            boundary = self.boundary
+            rows = self._listed().mapInArrow(lambda it: _tables(it, boundary, fast, frames), f"{FRAME_COLUMNS}, last boolean, known long")
+            return rows if fast is None else rows.repartition("path", F.floor(F.col("frame") / 64))
+        held = [b for f in self.layout.files for b in _rows_of(f, fast, frames)]
+        return self.spark.createDataFrame(pa.Table.from_batches(held)) if held else self.spark.createDataFrame([], f"{FRAME_COLUMNS}, last boolean, known long")
+
     def _frames(self, fast: bool, frames: tuple[int, int] | None = None, whole: bool = True) -> DataFrame:
-        """path, frame, sizes and counts: tables are read and frames counted by tasks; the driver lists files alone."""
+        """path, frame, sizes and counts; frames are counted by tasks."""
         boundary = self.boundary
-        rows = self._listed().mapInArrow(lambda it: _frame_rows(it, boundary, fast, frames), f"{FRAME_COLUMNS}, last boolean, known long")
-        if not fast:
-            rows = rows.repartition(4 * self.spark.sparkContext.defaultParallelism, "path", F.floor(F.col("frame") / 64))
-        return rows.mapInArrow(lambda it: _count_frames(it, boundary, whole), f"{FRAME_COLUMNS}, cnt_of_sep long")
+        return self._frame_rows(fast, frames).mapInArrow(lambda it: _count_frames(it, boundary, whole), f"{FRAME_COLUMNS}, cnt_of_sep long")
 
     def inspect(self, fast: bool = True) -> DataFrame:
         """path, frame, comp_start, comp_end, comp_size, decomp_start, decomp_end, decomp_size, sep, cnt_of_sep: one row a frame.
@@ -235,9 +241,7 @@ class Handle:
 
     def checksums(self) -> DataFrame:
         """path, frame, checksum: whether each frame carries a checksum of its content."""
-        boundary = self.boundary
-        rows = self._listed().mapInArrow(lambda it: _frame_rows(it, boundary, None, None), f"{FRAME_COLUMNS}, last boolean, known long")
-        return rows.mapInArrow(_checksums, "path string, frame int, checksum boolean")
+        return self._frame_rows(None).mapInArrow(_checksums, "path string, frame int, checksum boolean")
 
     def summary(self) -> DataFrame:
         """path, finder, finder_arg, format, frames, records_per_frame, records: one row a file, never data."""
@@ -273,18 +277,21 @@ def _open_files(batches, boundary: Boundary):
         yield pa.RecordBatch.from_arrays([batch.column("number"), *(pa.array(x) for x in zip(*rows))], ["number", "size", "frames", "per_frame", "decompressed", "last_whole", "fragment"])
 
 
-def _frame_rows(batches, boundary: Boundary, fast: bool | None, frames: tuple[int, int] | None):
+def _rows_of(file: RecordFile, fast: bool | None, frames: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     """A file's frames [a, b) (None: all), with what is known of their counts: fast takes inner ones as full; None asks for no count."""
+    c, d = file.table.starts(file.table.compressed), file.table.starts(file.table.decompressed)
+    first, end = (0, file.frames) if frames is None else (min(x, file.frames) for x in frames)
+    for lo in range(first, end, 65536):
+        at = np.arange(lo, min(lo + 65536, end))
+        inner = (at > 0) & (at < file.frames - 2) if fast else np.full(len(at), fast is None)
+        sizes = [pa.array(x) for x in (c[at], c[at + 1], c[at + 1] - c[at], d[at], d[at + 1], d[at + 1] - d[at])]
+        yield pa.RecordBatch.from_arrays([pa.array([file.path] * len(at)), pa.array(at.astype(np.int32)), *sizes, pa.array(at == file.frames - 1), pa.array(np.full(len(at), file.per_frame), mask=~inner)], [*(x.split()[0] for x in FRAME_COLUMNS.split(", ")), "last", "known"])
+
+
+def _tables(batches, boundary: Boundary, fast: bool | None, frames: tuple[int, int] | None):
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            file = RecordFile(path, boundary)
-            c, d = file.table.starts(file.table.compressed), file.table.starts(file.table.decompressed)
-            first, end = (0, file.frames) if frames is None else (min(x, file.frames) for x in frames)
-            for lo in range(first, end, 65536):
-                at = np.arange(lo, min(lo + 65536, end))
-                inner = (at > 0) & (at < file.frames - 2) if fast else np.full(len(at), fast is None)
-                sizes = [pa.array(x) for x in (c[at], c[at + 1], c[at + 1] - c[at], d[at], d[at + 1], d[at + 1] - d[at])]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at.astype(np.int32)), *sizes, pa.array(at == file.frames - 1), pa.array(np.full(len(at), file.per_frame), mask=~inner)], [*(x.split()[0] for x in FRAME_COLUMNS.split(", ")), "last", "known"])
+            yield from _rows_of(RecordFile(path, boundary), fast, frames)
 
 
 def _count_frames(batches, boundary: Boundary, whole: bool):
