@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import mmap
 import os
 from collections import deque
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -121,17 +123,56 @@ def _write_by_size(indexed: DataFrame, path: str, boundary: Boundary, framing: F
     return framing
 
 
-def compress(source: str, target: str | None = None, boundary: Boundary | None = None, remove: bool = False, chunk: int = 8 << 20, **options) -> Framing:
-    """A plain local file as a record file (default: beside it, with .seek.zst after its name), in one pass and bounded memory."""
+def _runs_of(view: memoryview, boundary: Boundary, chunk: int, pool: ThreadPoolExecutor) -> Iterator[tuple[memoryview, np.ndarray]]:
+    """Runs of whole records with their ends, in order, of about `chunk` bytes; what is left at last has no end.
+
+    A separator of one byte is found anywhere without knowing what comes before, so chunks are searched ahead by other threads;
+    other boundaries are walked from the last end on.
+    """
+    size, at = len(view), 0
+    if isinstance(boundary, Separated) and len(boundary.separator) == 1:
+        ahead: deque = deque()
+        for lo in range(0, size + 16 * chunk, chunk):
+            if lo < size:
+                ahead.append((lo, pool.submit(boundary.ends, view[lo : lo + chunk])))
+            if ahead and (len(ahead) > 16 or lo >= size):
+                first, found = ahead.popleft()
+                ends = found.result()
+                if len(ends):
+                    ends = ends + first
+                    yield view[at : int(ends[-1])], ends - at
+                    at = int(ends[-1])
+    else:
+        reach = chunk
+        while at < size:
+            ends = boundary.ends(view[at : at + reach])
+            if len(ends):
+                yield view[at : at + int(ends[-1])], ends
+                at += int(ends[-1])
+                reach = chunk
+            elif at + reach >= size:
+                break
+            else:
+                reach *= 2
+    if at < size:
+        yield view[at:], np.zeros(0, np.int64)
+
+
+def compress(source: str, target: str | None = None, boundary: Boundary | None = None, remove: bool = False, chunk: int = 4 << 20, **options) -> Framing:
+    """A plain local file as a record file (default: beside it, with .seek.zst after its name), in one pass and bounded memory.
+
+    The source is mapped, not read into memory; frames are encoded by threads and written in order.
+    """
     boundary, framing = boundary or Separated(b"\n"), Framing(**options)
     target = target or f"{source}.seek.zst"
     if is_local(target) and os.path.abspath(local(source)) == os.path.abspath(local(target)):
         raise SpecError("the output would replace the input")
 
     def put(out) -> int | None:
-        cutter, sizes, rest = FrameCutter(framing), [], b""
+        cutter, sizes = FrameCutter(framing), []
         with open(local(source), "rb") as f, ThreadPoolExecutor() as pool:
-
+            empty = not os.fstat(f.fileno()).st_size
+            view = memoryview(b"" if empty else mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
             waiting: deque = deque()  # frames that are being encoded, in order
 
             def write(frames, left: int = 64) -> None:
@@ -141,14 +182,8 @@ def compress(source: str, target: str | None = None, boundary: Boundary | None =
                     out.write(raw.result())
                     sizes.append((len(raw.result()), size))
 
-            while more := f.read(chunk):
-                rest += more
-                ends = boundary.ends(rest)
-                if len(ends):
-                    write(cutter.feed(rest, ends))
-                    rest = rest[int(ends[-1]) :]
-            if rest:
-                write(cutter.add(rest))
+            for run, ends in _runs_of(view, boundary, chunk, pool):
+                write(cutter.feed(run, ends) if len(ends) else cutter.add(run))
             write(cutter.finish(), 0)
             if not sizes:
                 write([(b"", 0)], 0)

@@ -56,7 +56,7 @@ class FrameCutter:
         self.count = self.size = 0
 
     def _cut(self, last: bytes = b"", count: int = 0) -> tuple[bytes, int]:
-        frame = b"".join([*self.held, last]) if self.held else bytes(last), self.count + count
+        frame = b"".join([*self.held, last]) if self.held else last, self.count + count  # a view of the given run where nothing is held
         self.held, self.count, self.size = [], 0, 0
         return frame
 
