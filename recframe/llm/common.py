@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from recframe.session import shared_dir, written
+
+__all__ = ["shared_dir"]
 #: ASCII white space of the contracts: [\x20\x09-\x0D]
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -20,25 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset (tests, local mode) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="recframe-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    This cuts the lineage in a way that survives lost executors, and gives Catalyst the true size of the table, so that
-    it broadcasts a side only when that side is known to fit spark.sql.autoBroadcastJoinThreshold.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The one of the library: a table in the shared folder cuts the lineage in a way that survives lost executors, and has a size that Catalyst knows.
+materialise = written
 
 
 #: Rows that go to Python at once; with Spark's usual 10,000 whole texts a worker and the JVM hold tens of megabytes more.

@@ -21,6 +21,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sums(numbers: Column, most: int = 26) -> Column:
+    """The sum of all numbers up to each place of an array of up to 2**most: in each round every place adds what lies 1, 2, 4, ... places before it."""
+
+    def round_(at: Column, k: int) -> Column:
+        if k == most:
+            return at
+        further = lambda x: F.transform(x, lambda v, i: v + F.coalesce(F.get(x, i - (1 << k)), F.lit(0)))
+        return F.when(F.size(at) <= 1 << k, at).otherwise(let(further(at), lambda x: round_(x, k + 1)))
+
+    return let(numbers, lambda x: round_(x, 0))
+
+
 def words_of(text: Column) -> Column:
     trimmed = F.btrim(text, F.lit(WHITE_SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from recframe.llm import language, licenses, page_text, secrets
 from recframe.llm.language import held_out, identify, keep_identified
 from recframe.llm.licenses import BASE, scan_licenses
-from recframe.llm.secrets import RULES, candidates, scan_secrets, simplified, trigram_query
+from recframe.llm.secrets import RULES, Rule, candidates, scan_secrets, trigram_query
 from tests.llm.helpers import frame, odd_rows, sentence
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -46,15 +46,71 @@ def test_secrets_against_brute_force(spark):
     assert scan_secrets(frame(spark, rows).limit(0)).collect() == []
 
 
+def satisfied(query, text):
+    """A Boolean trigram query on a text, read plainly."""
+    if query is True or isinstance(query, str):
+        return query is True or query in text.lower()
+    return (all if query[0] == "and" else any)(satisfied(q, text) for q in query[1])
+
+
 def test_the_index_loses_no_match(spark):
     """Every rule finds in its candidates what it finds by a full scan."""
     rows = secret_rows()
-    kinds = {(r["doc_id"], k) for r in candidates(frame(spark, rows)).collect() for k in r["kinds"]}
+    rules = (*RULES[:4], Rule("more", "x", 0, 0))
+    keyed = secrets._keyed(frame(spark, rows))
+    texts = {bytes(r["key"]): r["text"] for r in keyed.collect()}
+    kinds = {(texts[bytes(r["key"])], k) for r in candidates(keyed).collect() for k in r["kinds"]}
     for rule in RULES:
-        if trigram_query(rule):
-            assert all((i, rule.kind) in kinds for i, t, *_ in rows if re.search(rule.pattern, t or ""))
-    assert trigram_query(RULES[2]) == []
-    assert simplified([frozenset("ab"), frozenset("abc"), frozenset("ab")]) == [frozenset("ab")]
+        query = trigram_query(rule)
+        for _, t, *_ in rows:
+            if query is not True:
+                assert ((t or "", rule.kind) in kinds) == satisfied(query, t or "")
+            assert not re.search(rule.pattern, t or "") or satisfied(query, t or "")
+    assert [r.kind for r in rules if trigram_query(r) is True] == ["hex", "more"]
+    # rules without a mandatory trigram, or none but such
+    assert candidates(keyed, (RULES[2],)).collect() == []
+    assert trigram_query(RULES[8]) == ("or", frozenset({("and", frozenset(["sk_", "k_l", "_li", "liv", "ive", "ve_"])), ("and", frozenset(["rk_", "k_l", "_li", "liv", "ive", "ve_"]))}))
+
+
+def some_regex(rng, depth=0):
+    """A regex, and a function that makes strings which match it."""
+    kind = rng.randrange(3 if depth > 3 else 8)
+    if kind < 2:
+        word = "".join(rng.choices("abcDEF_-", k=rng.randrange(1, 6)))
+        return re.escape(word), lambda: word
+    if kind == 2:
+        chars = "".join(rng.sample("abcdefXYZ012", rng.randrange(1, 9)))
+        return f"[{chars}]", lambda: rng.choice(chars)
+    parts = [some_regex(rng, depth + 1) for _ in range(rng.randrange(2, 4))]
+    if kind < 6:
+        return "".join(p for p, _ in parts), lambda: "".join(make() for _, make in parts)
+    if kind == 6:
+        return f"(?:{'|'.join(p for p, _ in parts)})", lambda: rng.choice(parts)[1]()
+    p, make = parts[0]
+    low, high, sign = rng.choice([(0, 1, "?"), (0, 4, "*"), (1, 4, "+"), (2, 3, "{2,3}"), (5, 7, "{5,}"), (0, 4, "*?")])
+    return f"(?:{p}){sign}", lambda: "".join(make() for _ in range(rng.randint(low, high)))
+
+
+def test_queries_of_random_regexes_hold_in_all_their_matches():
+    rng, some = random.Random(5), 0
+    for _ in range(400):
+        pattern, make = some_regex(rng)
+        query = trigram_query(Rule("x", pattern, 0, 0))
+        some += query is not True
+        for _ in range(25):
+            match = make()
+            assert re.fullmatch(pattern, match) and satisfied(query, f"zz{match}zz"), (pattern, match, query)
+    assert some > 100
+    for flagged, text in ((r"(?i:Key=\d)abc", "KEY=1abc"), (r"\bword\b(?=x)", "word"), (r".+tail$", "tail"), (r"(a|b|)end", "end"), (r"[^a]bcd", "xbcd"), (r"\w{3}", "abc"), (r"[\u4e00-\u9fff]abc", "字abc")):
+        assert satisfied(trigram_query(Rule("x", flagged, 0, 0)), text)
+
+
+def test_many_secrets_in_one_text(spark):
+    """A text with a hundred thousand matches takes time in proportion."""
+    text = "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(100_000))
+    out = scan_secrets(frame(spark, [(1, f"token=abcdef {text}", "en", "s0")])).collect()[0]
+    assert (out["n_hex"], out["n_assign"]) == (100_000, 1)
+    assert out["spans"].split(",")[:3] == ["assign:0:12", "hex:13:77", "hex:78:142"] and out["spans"].endswith(f":{12 + 65 * 100_000}")
 
 
 def test_licenses(spark):
