@@ -1,7 +1,8 @@
-"""License scans: a positional index of rare licence words, matched by relative position, aligned, and verified by key phrases."""
+"""License scans: a file's licence words of highest IDF are looked up in a positional index of licence passages, matched by relative position, aligned, and verified by key phrases."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recframe.llm.common import byte_classes, pieces, small_batches, word_hashes
+from recframe.llm.license_texts import PASSAGES
 
 #: Words: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z; bytes above ASCII belong to words.
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -17,34 +19,8 @@ CLASSES = byte_classes(_SEPARATORS, fold_case=True)
 #: Fixed values of the base scan.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: For each label, passages of the public licence or its usual notice. The phrases in brackets are mandatory.
-TEMPLATES = {
-    "mit": [
-        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ["permission is hereby granted free of charge", "without restriction"]),
-        ("Released under the MIT License", ["the mit license"]),
-    ],
-    "apache": [
-        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", ["apache license version 2 0"]),
-        ("Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
-        ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["distributed under the license is distributed on an as is basis"]),
-    ],
-    "gpl": [
-        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license"]),
-        ("This work is licensed under the GNU General Public License, version 3", ["gnu general public license"]),
-    ],
-    "bsd": [("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "following conditions are met"])],
-    "mpl": [("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ["mozilla public license"])],
-    "isc": [("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["for any purpose with or without fee is hereby granted"])],
-    "cc-by": [("This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]), ("Licensed under CC BY 4.0", ["cc by 4 0"])],
-    "cc-by-sa": [("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["attribution sharealike 4 0"]), ("Licensed under CC BY-SA 4.0", ["cc by sa 4 0"])],
-    "cc-by-nc": [("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["attribution noncommercial 4 0"]), ("Licensed under CC BY-NC 4.0", ["cc by nc 4 0"])],
-    "unlicense": [("This is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"])],
-    "proprietary": [("All rights reserved. Unauthorized copying of this file, via any medium is strictly prohibited", ["unauthorized copying of this file", "strictly prohibited"])],
-}
-
-
-#: One word of shift is allowed for so many words of a template, two at least.
-SHIFT = 6
+#: A template's words may stand so far from their places, as a share of its words; four words at least.
+DRIFT = 0.25
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -52,13 +28,26 @@ def _hashes(text: str) -> np.ndarray:
     return word_hashes(raw, np.array([0, len(raw)]), CLASSES)[0]
 
 
-def _templates() -> list[tuple[str, np.ndarray, list[np.ndarray]]]:
-    return [(label, _hashes(text), [_hashes(p) for p in phrases]) for label, passages in TEMPLATES.items() for text, phrases in passages]
+@dataclass(frozen=True)
+class Template:
+    """A passage: its labels, words, mandatory phrases, and how many words what surrounds a word may have more or less than here."""
+
+    labels: tuple[str, ...]
+    words: np.ndarray
+    phrases: list[np.ndarray]
+
+    @property
+    def drift(self) -> int:
+        return max(4, int(len(self.words) * DRIFT))
+
+
+def templates() -> list[Template]:
+    return [Template(labels, _hashes(text), [_hashes(p) for p in phrases]) for labels, text, phrases in PASSAGES]
 
 
 def vocabulary() -> np.ndarray:
     """The sorted hashes of all words of the templates."""
-    return np.unique(np.concatenate([words for _, words, _ in _templates()]))
+    return np.unique(np.concatenate([t.words for t in templates()]))
 
 
 def _frequencies(batches, words: np.ndarray):
@@ -91,79 +80,113 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 class Index:
-    """Postings (template, position) of each template's rarest words, by word."""
-
-    def __init__(self, idf: np.ndarray, rarest: int, least: float):
-        words = vocabulary()
-        self.least, self.templates = least, _templates()
-        posted: dict[int, list[tuple[int, int]]] = {}
-        self.weight, self.asked = [], []
-        for t, (_, own, _) in enumerate(self.templates):
-            weight = idf[np.searchsorted(words, own)]
-            distinct = np.unique(own)
-            chosen = distinct[np.argsort(-idf[np.searchsorted(words, distinct)], kind="stable")][: min(rarest, -(-len(own) // 2))]
-            self.weight.append(weight)
-            places = np.flatnonzero(np.isin(own, chosen))
-            self.asked.append(-(-len(places) // 2))
-            for p in places.tolist():
-                posted.setdefault(int(own[p]), []).append((t, p))
-        self.words = np.array(sorted(posted), np.uint64)
-        self.postings = [posted[w] for w in self.words.tolist()]
-
-    def labels(self, h: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[set[str], float]:
-        """Labels of one text and its best score. h: its words; at, word: positions of indexed words, and which they are.
-
-        Each of the text's indexed words votes for (template, start of the template in the text). Starts within a few words (see
-        SHIFT) count together, as words that a text inserts or leaves out move what follows: where half of the template's
-        indexed places have votes, template and text are aligned over these starts and as many on either side. The template gives its label if the
-        agreeing words have at least `least` of its weight and its mandatory phrases stand nearby.
+    """Postings (template, places) of every licence word, and what each word weighs in each template: its IDF, so that a template's words sum to 1."""
+
+    #: A file's words are looked up in a template until they are this share of its weight.
+    LOOKED_UP = 0.5
+
+    def __init__(self, idf: np.ndarray, least: float):
+        self.words, self.least, self.templates = vocabulary(), least, templates()
+        self.weights: list[np.ndarray] = []  # by place in the template
+        self.share = np.zeros((len(self.words), len(self.templates)), np.float32)
+        self.postings: list[list[tuple[int, np.ndarray]]] = [[] for _ in self.words]
+        for t, template in enumerate(self.templates):
+            number = np.searchsorted(self.words, template.words)
+            weight = idf[number] + 1e-6  # where no word is rarer than another, all weigh alike
+            self.weights.append(weight / weight.sum())
+            np.add.at(self.share[:, t], number, self.weights[t])
+            for w in np.unique(number).tolist():
+                self.postings[w].append((t, np.flatnonzero(number == w)))
+        self.rank = np.empty(len(self.words), np.int64)  # from the highest IDF down
+        self.rank[np.argsort(-idf, kind="stable")] = np.arange(len(self.words))
+
+    def possible(self, owner: np.ndarray, word: np.ndarray, docs: int) -> np.ndarray:
+        """[document, template]: whether the document holds words of enough of the template's weight, wherever they stand."""
+        held = np.zeros((docs, len(self.words)), np.float32)
+        held[owner, word] = 1
+        return held @ self.share >= self.least - 1e-4
+
+    def labels(self, h: np.ndarray, at: np.ndarray, word: np.ndarray, possible: np.ndarray) -> tuple[set[str], float]:
+        """Labels of one text and its best score. h: its words; at, word: positions of licence words, and which they are.
+
+        The text's licence words are looked up from the highest IDF down, each in its postings for the templates that are
+        possible; a template gets no more once those looked up are half of its weight. Each position votes for (template, start
+        of the template in the text). A passage that holds `least` of the weight lacks at most the rest, so what it lacks
+        of the words looked up is no more: where the postings of starts within the template's drift weigh as much as that
+        leaves, template and text are aligned, and the mandatory phrases must stand nearby. So no passage whose agreeing words lie
+        within the drift is lost, and none is found whose words lie beyond twice the drift.
         """
-        votes: dict[int, list[tuple[int, int]]] = {}
-        for i, w in zip(at.tolist(), word.tolist()):
-            for t, position in self.postings[w]:
-                votes.setdefault(t, []).append((i - position, position))
+        order = np.argsort(self.rank[word], kind="stable")
+        cuts = np.flatnonzero(np.diff(word[order], prepend=-1))
+        wanted = {int(t): 0.0 for t in np.flatnonzero(possible)}
+        votes: dict[int, tuple[list, list]] = {t: ([], []) for t in wanted}
+        looked = dict(wanted)
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+            if not wanted:
+                break
+            positions = at[order[lo:hi]]
+            for t, places in self.postings[word[order[lo]]]:
+                if t in wanted:
+                    votes[t][0].append((positions[:, None] - places).ravel())
+                    votes[t][1].append(np.tile(places, len(positions)))
+                    looked[t] += float(self.weights[t][places].sum())
+                    if looked[t] >= self.LOOKED_UP:
+                        del wanted[t]
         found, best = set(), 0.0
-        for t, own in votes.items():
-            label, words, phrases = self.templates[t]
-            shift = max(2, len(words) // SHIFT)
-            for start in _starts(sorted(own), shift, self.asked[t]):
-                if label in found and best >= 1:
-                    break
-                score = self._aligned(t, h, start - shift, 3 * shift)
-                if score < self.least:
+        for t, (starts, places) in votes.items():
+            template = self.templates[t]
+            if not starts:
+                continue
+            need = looked[t] - (1 - self.least) - 1e-6
+            passed = -1 << 60  # the last start whose passage gave its labels
+            for start in _starts(np.concatenate(starts), np.concatenate(places), self.weights[t], template.drift, need):
+                if start <= passed + template.drift:
                     continue
-                near = h[max(0, start - len(words)) : start + shift + 2 * len(words)]
-                if all(_occurs(near, p) for p in phrases):
-                    found.add(label)
-                    best = max(best, min(score, 1.0))
+                # all starts within the drift of the first vote's, on either side
+                score = self.aligned(t, h, start - template.drift, 2 * template.drift)
+                if score >= self.least - 1e-9:
+                    near = h[max(0, start - len(template.words)) : start + template.drift + 2 * len(template.words)]
+                    if all(_occurs(near, p) for p in template.phrases):
+                        found.update(template.labels)
+                        best, passed = max(best, min(score, 1.0)), start
         return found, best
 
-    def _aligned(self, t: int, h: np.ndarray, start: int, shift: int) -> float:
-        """The largest share of the template's weight in words that agree in order, each at one of the starts from `start` to `start + shift`."""
-        words, weight = self.templates[t][1], self.weight[t]
-        weight = weight / weight.sum() if weight.sum() > 0 else np.full(len(words), 1 / len(words))
-        place = start + np.arange(len(words))[:, None] + np.arange(shift + 1)
+    def aligned(self, t: int, h: np.ndarray, start: int, drift: int) -> float:
+        """The largest share of the template's weight in words that agree in order, each at one of the starts from `start` to `start + drift`."""
+        words, weight = self.templates[t].words, self.weights[t]
+        place = start + np.arange(len(words))[:, None] + np.arange(drift + 1)
         inside = (place >= 0) & (place < len(h))
         gain = (inside & (h[np.where(inside, place, 0)] == words[:, None])) * weight[:, None]
-        total = np.zeros(shift + 2)  # by start: of the template's words so far, the most that agrees up to the text's place there
+        total = np.zeros(drift + 2)  # by start: of the template's words so far, the most that agrees up to the text's place there
         for row in gain:
             total[:-1] = np.maximum.accumulate(np.maximum(total[:-1] + row, total[1:]))
         return float(total.max())
 
 
-def _starts(votes: list[tuple[int, int]], shift: int, asked: int):
-    """Of sorted votes (start, place), the starts from which on, within `shift`, so many places have votes."""
+def _starts(starts: np.ndarray, places: np.ndarray, weights: np.ndarray, drift: int, need: float):
+    """Starts from which on, within `drift`, the template's places that have votes weigh `need` or more."""
+    # runs of votes with gaps above the drift can be judged apart; most weigh too little
+    order = np.lexsort((places, starts))
+    starts, places = starts[order], places[order]
+    run = np.cumsum(np.diff(starts, prepend=starts[0]) > drift)
+    heavy = np.bincount(run, weights[places]) >= need
+    keep = heavy[run]
+    starts, places = starts[keep].tolist(), places[keep].tolist()
     held: dict[int, int] = {}
-    end = 0
-    for i, (start, place) in enumerate(votes):
-        while end < len(votes) and votes[end][0] <= start + shift:
-            held[votes[end][1]] = held.get(votes[end][1], 0) + 1
+    total, end = 0.0, 0
+    for i, (start, place) in enumerate(zip(starts, places)):
+        while end < len(starts) and starts[end] <= start + drift:
+            p = places[end]
+            held[p] = held.get(p, 0) + 1
+            if held[p] == 1:
+                total += weights[p]
             end += 1
-        if len(held) >= asked and (not i or votes[i - 1][0] < start):
+        if total >= need - 1e-9 and (not i or starts[i - 1] < start):
             yield start
         held[place] -= 1
         if not held[place]:
             del held[place]
+            total -= weights[place]
 
 
 def _places(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -202,12 +225,15 @@ def _scan(batches, index: Index):
             score = (n_base > 0).astype(float)
             place = np.minimum(np.searchsorted(index.words, h), len(index.words) - 1)
             hits = np.flatnonzero(index.words[place] == h)
-            owner = np.searchsorted(rows, hits, "right") - 1
-            some, begin = np.unique(owner, return_index=True)
-            for d, a, b in zip(some, begin, [*begin[1:], len(owner)]):
-                own, best = index.labels(h[rows[d] : rows[d + 1]], hits[a:b] - rows[d], place[hits[a:b]])
-                labels[d] |= own
-                score[d] = max(score[d], best)
+            word, owner = place[hits], np.searchsorted(rows, hits, "right") - 1
+            for low_doc in range(0, docs, 512):
+                lo, hi = np.searchsorted(owner, [low_doc, low_doc + 512])
+                some = index.possible(owner[lo:hi] - low_doc, word[lo:hi], min(512, docs - low_doc))
+                for d in np.flatnonzero(some.any(1)) + low_doc:
+                    a, b = np.searchsorted(owner, [d, d + 1])
+                    own, best = index.labels(h[rows[d] : rows[d + 1]], hits[a:b] - rows[d], word[a:b], some[d - low_doc])
+                    labels[d] |= own
+                    score[d] = max(score[d], best)
             some = n_base > 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(first, docs), pa.array(np.diff(rows)), pa.array(n_base), pa.array(low, mask=~some), pa.array(high, mask=~some), pa.array(base_labels, pa.string()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array(score)],
@@ -215,14 +241,16 @@ def _scan(batches, index: Index):
             )
 
 
-def scan_licenses(docs: DataFrame, rarest: int = 8, least: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, least: float = 0.7) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs (doc_id, text; others are ignored).
 
     Base: places where the words of a phrase of BASE stand consecutively; first_word and last_word are the least and largest of
-    their positions, null without any. The method adds the labels of templates found by their rarest words (see Index.labels);
-    how rare a word is comes from all documents. score is 1 with a base place, else the best template's agreeing weight. A
-    null text is empty: no words, no labels, score 0. Rows are independent, so repeated rows get equal results.
+    their positions, null without any. The method adds the labels of the passages that a file's words of highest IDF lead to
+    (see Index.labels); how rare a word is comes from all documents. score is 1 with a base place, else the best passage's agreeing
+    weight; on ties all labels stand. A null or empty text has no words, no labels and score 0; of a very long one every word
+    is read, half a megabyte of short texts or one long one at a time; rows are independent, so repeated rows get equal results; an
+    empty table gives no rows.
     """
-    index = Index(inverse_frequencies(docs), rarest, least)
+    index = Index(inverse_frequencies(docs), least)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, index), schema)

@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from recframe.llm.decontaminate import drop_leaks, find_leaks
-from recframe.llm.licenses import TEMPLATES, scan_licenses
+from recframe.llm.license_texts import PASSAGES
+from recframe.llm.licenses import Index, _hashes, _occurs, scan_licenses, vocabulary
 from recframe.llm.page_text import Weights, main_text
 from tests.llm.helpers import frame, sentence, shingles, words
 from tests.llm.test_corpus import brute_leaks
@@ -133,18 +135,55 @@ the Free Software Foundation, either version 3 of the License, or
 def test_licenses_with_a_word_more_or_less(spark):
     rng = random.Random(12)
     texts = [("mit", MIT), ("mit", MIT.replace("\n", "\ndnl ")), ("mit", MIT.replace("to deal", "to freely deal")), ("gpl", GPL)]
-    for label, passages in TEMPLATES.items():
-        for passage, phrases in passages:
-            w = passage.split()
-            if len(w) < 10:
-                continue
-            for k in range(1, len(w)):
-                for edited in (w[:k] + ["inserted"] + w[k:], w[:k] + w[k + 1 :]):
-                    if all(" ".join(words(p)) in " ".join(words(" ".join(edited))) for p in phrases):
-                        texts.append((label, " ".join(edited)))
+    for labels, passage, phrases in PASSAGES:
+        w = passage.split()
+        if len(w) < 10:
+            continue
+        for k in range(1, len(w), 1 + len(w) // 40):
+            for edited in (w[:k] + ["inserted"] + w[k:], w[:k] + w[k + 1 :]):
+                if all(" ".join(words(p)) in " ".join(words(" ".join(edited))) for p in phrases):
+                    texts += [(label, " ".join(edited)) for label in labels]
     rows = [(i, f"{sentence(rng, 30)} {t} {sentence(rng, 30)}", "en", "s0") for i, (_, t) in enumerate(texts)]
     rows += [(10_000 + i, sentence(rng, 60), "en", "s0") for i in range(300)]
     rows += [(20_000, "software license the rights of copies " * 300, "en", "s0")]
     out = {r["doc_id"]: r for r in scan_licenses(frame(spark, rows)).collect()}
     assert len(texts) > 200 and [t for i, (label, t) in enumerate(texts) if label not in out[i]["labels"].split(",")] == []
     assert out[0]["score"] == pytest.approx(1) and all(out[i]["labels"] == "" for i in out if i >= 10_000)
+
+
+def test_licenses_against_all_alignments(spark):
+    """Passages with words inserted, left out and replaced, alone and several in a text, against an alignment at every start."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):
+        parts = []
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            _, passage, _ = rng.choice(PASSAGES)
+            w = passage.split()
+            for _ in range(int(rng.choice((0, 0.05, 0.15, 0.25, 0.35)) * len(w))):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = rng.choice(([], ["word"], ["license"], ["the"]))
+            parts += [sentence(rng, rng.randrange(15)), " ".join(w[rng.choice((0, 0, len(w) // 5)) :])]
+        rows.append((i, " ".join(parts), "en", "s0"))
+    rows += [(1000 + i, sentence(rng, 50) + " the license of the software is subject to the following conditions " * (i % 3), "en", "s0") for i in range(200)]
+    out = {r["doc_id"]: r for r in scan_licenses(frame(spark, rows)).collect()}
+    texts = [_hashes(t) if words(t) else np.zeros(0, np.uint64) for _, t, *_ in rows]
+    known = vocabulary()
+    df = np.array([sum(w in h for h in map(set, map(np.ndarray.tolist, texts))) for w in known.tolist()])
+    index = Index(np.log((1 + len(rows)) / (1 + df)), 0.7)
+    must_be, some = 0, 0
+    for (i, *_), h in zip(rows, texts):
+        least, most = set(), set()
+        for t, x in enumerate(index.templates):
+            for wide, labels in ((x.drift, least), (2 * x.drift, most)):
+                for s in range(-len(x.words), len(h)):
+                    if labels.issuperset(x.labels):
+                        break
+                    near = h[max(0, s - 2 * len(x.words)) : s + 4 * len(x.words)] if labels is most else h[max(0, s + x.drift - len(x.words)) : s + 2 * len(x.words)]
+                    if np.isin(h[max(0, s) : s + wide + len(x.words)], x.words).sum() * 4 >= len(x.words) and all(_occurs(near, p) for p in x.phrases) and index.aligned(t, h, s, wide) >= 0.7:
+                        labels.update(x.labels)
+        got = set(out[i]["labels"].split(",")) - {""} - set(out[i]["base_labels"].split(","))
+        assert least - set(out[i]["base_labels"].split(",")) <= got <= most, (i, least, got, most)
+        must_be, some = must_be + len(least), some + len(got)
+    assert must_be > 60 and some > 40
+    assert all(out[i]["labels"] == "" for i in out if i >= 1000)
