@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe.llm.common import WHITE_SPACE, materialise
 
 
+def line_key(line: Column) -> Column:
+    """128 bits that stand for a line: among all lines of a corpus no two share them."""
+    return F.unhex(F.md5(line.cast("binary")))
+
+
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """doc_id, text, n_lines, n_dropped for every row of docs (doc_id, source, text; others are ignored).
 
@@ -22,13 +27,13 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 5) -
     rows = docs.select("doc_id", "source", "text")
     lines = lambda text: F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE_SPACE)))
     held = rows.select("source", F.explode(F.array_distinct(F.filter(lines(F.col("text")), lambda x: x != ""))).alias("line"))
-    counts = held.groupBy("source", F.xxhash64("line").alias("key")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    counts = held.groupBy("source", line_key(F.col("line")).alias("key")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     hosts = rows.groupBy("source").agg(F.count("*").alias("total")).withColumnRenamed("source", "host")
     frequent = counts.join(hosts, counts.source.eqNullSafe(hosts.host)).where(F.col("pages") > ratio * F.col("total"))
     dropped = materialise(frequent.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys")))
     out = rows.join(dropped, rows.source.eqNullSafe(dropped.host), "left")
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda x: ~F.array_contains(F.coalesce("keys", F.array().cast("array<bigint>")), F.xxhash64(F.btrim(x, F.lit(WHITE_SPACE)))))
+    kept = F.filter(split, lambda x: ~F.array_contains(F.coalesce("keys", F.array().cast("array<binary>")), line_key(F.btrim(x, F.lit(WHITE_SPACE)))))
     out = out.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"))
 

@@ -75,29 +75,38 @@ def normal_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def judge_quality(docs: DataFrame, min_docs: int = 10, share: float = 0.1, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
+def digest(*parts: Column) -> Column:
+    """128 bits that stand for the parts' values; a null is no value, and no part runs into the next."""
+    framed = [F.coalesce(F.concat(F.octet_length(p.cast("string")).cast("string"), F.lit(":"), p.cast("string")), F.lit("-")) for p in parts]
+    return F.unhex(F.md5(F.concat(*framed).cast("binary")))
+
+
+def judge_quality(docs: DataFrame, most_docs: int = 100, share: float = 0.1, small: int = 2, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept for every row of docs.
 
-    docs: doc_id, source, text (others are ignored). The measures are those of the text alone (null: no words). A normalised
-    line is removed where more than `min_docs` documents and more than `share` of the documents of its host (source; null is
-    one) hold it; a document left with fewer than `least_words` words or less than `least_share` of them is rejected, beside
-    those that fail by themselves. A repeated row is a document of its own; it gets the same row as its copies.
+    docs: doc_id, source, text (others are ignored). The measures are those of the text alone (null or empty: no words). A normalised
+    line is removed where more than `most_docs` documents of its host (source; null is one) hold it, or more than `share` of them
+    and more than `small`: in a host of a few documents every line that two copies hold would be above the share. A document left
+    with fewer than `least_words` words or less than `least_share` of them is rejected, beside those that fail by themselves. A
+    repeated row is a document of its own; it gets the same row as its copies. A very long text is measured whole within
+    its row, its windows of words sorted only if some occur twice; an empty table gives no rows.
 
-    Lines move only as 64-bit hashes of host and line with a count; texts never move. The frequent lines are written down
+    Lines move only as 128-bit digests of host and line with a count; texts never move. The frequent lines are written down
     first, so they are broadcast only if they are known to fit; otherwise their join is one that Spark may split.
     """
-    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "source", "text").alias("row"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "source", text.alias("text"), digest(F.col("doc_id"), F.col("source"), text).alias("row"))
     hosts = rows.groupBy("source").agg(F.count("*").alias("host_docs")).withColumnRenamed("source", "host")
-    key = lambda line: F.xxhash64("source", line)
+    key = lambda line: digest(F.col("source"), F.col(line))
     found = rows.select("source", F.explode(F.array_distinct(normal_lines(F.col("text")))).alias("line")).select(key("line").alias("key"))
-    frequent = materialise(found.groupBy("key").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > min_docs))
+    frequent = materialise(found.groupBy("key").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > small))
     all_lines = rows.select("row", "source", F.explode(normal_lines(F.col("text"))).alias("line")).select("row", "source", key("line").alias("key"), F.size(F.split("line", " ")).alias("words"))
     hits = all_lines.join(frequent, "key").groupBy("row", "source", "line_docs").agg(F.sum("words").alias("words"))
-    hits = hits.join(hosts, hits.source.eqNullSafe(hosts.host)).where(F.col("line_docs") > share * F.col("host_docs"))
+    hits = hits.join(hosts, hits.source.eqNullSafe(hosts.host)).where((F.col("line_docs") > most_docs) | (F.col("line_docs") > share * F.col("host_docs")))
     removed = hits.groupBy("row").agg(F.sum("words").alias("removed"))
-    digest = rows.select("doc_id", "row", measures(F.col("text")).alias("m")).select("doc_id", "row", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words")
-    digest = digest.groupBy(*digest.columns).agg(F.count("*").alias("copies"))
-    out = digest.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce((F.col("removed") / F.col("copies")).cast("long"), F.lit(0).cast("long")))
+    measured = rows.select("doc_id", "row", measures(F.col("text")).alias("m")).select("doc_id", "row", "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.n_dup_lines", "m.w.n_repeat_words")
+    measured = measured.groupBy(*measured.columns).agg(F.count("*").alias("copies"))
+    out = measured.join(removed, "row", "left").withColumn("n_removed_words", F.coalesce((F.col("removed") / F.col("copies")).cast("long"), F.lit(0).cast("long")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     out = out.withColumns({"base_failed": failed, "kept": ~failed & (left >= least_words) & (left >= least_share * F.col("n_words"))})
@@ -116,7 +125,7 @@ nl AS (SELECT r, source, trim(unnest(string_split(regexp_replace(lower(text), '[
 f AS (SELECT source, line, count(DISTINCT r) AS k FROM nl WHERE line <> '' GROUP BY source, line),
 h AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 rm AS (SELECT nl.r, CAST(sum(len(string_split(nl.line, ' '))) AS BIGINT) AS n FROM nl JOIN f ON nl.line = f.line AND nl.source IS NOT DISTINCT FROM f.source
-       JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.k > 10 AND f.k > 0.1 * h.n GROUP BY nl.r),
+       JOIN h ON h.source IS NOT DISTINCT FROM f.source WHERE f.k > 100 OR f.k > 2 AND f.k > 0.1 * h.n GROUP BY nl.r),
 b AS (SELECT t.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(x.n, 0) AS n_repeat_words, coalesce(rm.n, 0) AS n_removed_words FROM t LEFT JOIN x ON t.r = x.r LEFT JOIN rm ON t.r = rm.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_removed_words,

@@ -155,7 +155,7 @@ def test_licenses_against_all_alignments(spark):
     """Passages with words inserted, left out and replaced, alone and several in a text, against an alignment at every start."""
     rng = random.Random(3)
     rows = []
-    for i in range(90):
+    for i in range(40):
         parts = []
         for _ in range(rng.choice((1, 1, 2, 3))):
             _, passage, _ = rng.choice(PASSAGES)
@@ -185,5 +185,5 @@ def test_licenses_against_all_alignments(spark):
         got = set(out[i]["labels"].split(",")) - {""} - set(out[i]["base_labels"].split(","))
         assert least - set(out[i]["base_labels"].split(",")) <= got <= most, (i, least, got, most)
         must_be, some = must_be + len(least), some + len(got)
-    assert must_be > 60 and some > 40
+    assert must_be > 25 and some > 15
     assert all(out[i]["labels"] == "" for i in out if i >= 1000)
