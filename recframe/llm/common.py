@@ -26,11 +26,22 @@ materialise = written
 BATCH_ROWS = 1000
 
 
+#: Bytes that go to Python at once, but for a longer row.
+BATCH_BYTES = 16 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Let the session's Arrow batches hold at most BATCH_ROWS rows from here on."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Let the session's Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES from here on; settings below that stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(spark.conf.get(name)).rstrip("b")) <= most:
+            spark.conf.set(name, most)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as a column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
 
 
 # ---------------------------------------------------------------- word hashing
@@ -108,11 +119,41 @@ def pieces(column: pa.Array, most: int = 1 << 19):
         row = end
 
 
+#: Bytes that are hashed at once; longer runs are cut between words.
+SEGMENT = 1 << 20
+
+
+def _segments(data: np.ndarray, classes: np.ndarray):
+    """Ends of runs of about SEGMENT bytes, none within a word."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(lo + SEGMENT, n)
+        while hi < n and classes[data[hi - 1]]:  # after the next separator
+            gap = np.flatnonzero(classes[data[hi : hi + SEGMENT]] == 0)
+            hi = hi + int(gap[0]) + 1 if len(gap) else min(hi + SEGMENT, n)
+        yield lo, hi
+        lo = hi
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray, classes: np.ndarray = WORDS) -> tuple[np.ndarray, ...]:
     """Hash of every word, its first and end byte, and the offsets of the rows in the words. By default texts are first put through lower_latin.
 
-    A word is a maximal run of bytes whose class is not 0; it never crosses rows.
+    A word is a maximal run of bytes whose class is not 0; it never crosses rows. A long text is hashed a megabyte at a time, so
+    beside its words' numbers (24 bytes a word) what is held doesn't grow with it.
     """
+    if len(data) <= SEGMENT:
+        h, start, end = _hashed(data, at, classes)
+    else:
+        parts = [[], [], []]
+        for lo, hi in _segments(data, classes):
+            own = at[np.searchsorted(at, lo) : np.searchsorted(at, hi, "right")] - lo
+            for held, x, add in zip(parts, _hashed(data[lo:hi], own, classes), (0, lo, lo)):
+                held.append(x + add if add else x)
+        h, start, end = (np.concatenate(x) for x in parts)
+    return h, start, end, np.searchsorted(start, at)
+
+
+def _hashed(data: np.ndarray, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     value = classes[lower_latin(data) if classes is WORDS else data]
     inside = value != 0
@@ -126,8 +167,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, classes: np.ndarray = WORDS) -
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start])
-    return h, start, end, np.searchsorted(start, at)
+    return mix((total[end] - total[start]) * down[start]), start, end
 
 
 def word_hash(word: str, classes: np.ndarray = WORDS) -> int:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations, islice
+import uuid
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame
 from recframe.llm.common import pieces, shingles, small_batches, word_hashes
 
 N = 5
-#: Items in one pass over the documents; a larger benchmark takes several, so what a task holds is bounded.
-BLOCK = 4096
+#: Items, and bytes of their texts, in one pass over the documents; a larger benchmark takes several, so what the driver and a task hold is
+#: bounded: the multi-index takes about 2 KB an item, the probes 40 bytes a word.
+BLOCK, BLOCK_BYTES = 16384, 8 << 20
 BLOCKS, BLOCK_BITS = 4, 16
 
 
@@ -159,12 +161,13 @@ class Items:
 _known: dict = {}
 
 
-def _items(rows: tuple, radius: int, spread: int, least: float) -> Items:
-    """Built once in each worker."""
-    key = rows, radius, spread, least
+def _items(block, radius: int, spread: int, least: float) -> Items:
+    """Built once in each worker, from a broadcast block of the benchmark."""
+    name, rows = block.value
+    key = name, radius, spread, least
     if key not in _known:
         _known.clear()
-        _known[key] = Items(list(rows), radius, spread, least)
+        _known[key] = Items(rows, radius, spread, least)
     return _known[key]
 
 
@@ -250,7 +253,7 @@ def _found(data: np.ndarray, at: np.ndarray, items: Items, least: float) -> list
     return sorted((r, i, x, p) for (r, i), (x, p) in best.items())
 
 
-def _report(batches, block: tuple, radius: int, spread: int, least: float):
+def _report(batches, block, radius: int, spread: int, least: float):
     items = _items(block, radius, spread, least)
     for batch in batches:
         for first, data, at in pieces(batch.column("text")):
@@ -259,7 +262,7 @@ def _report(batches, block: tuple, radius: int, spread: int, least: float):
             yield pa.RecordBatch.from_arrays([doc, pa.array([items.ids[i] for _, i, _, _ in found], pa.int64()), pa.array([x for _, _, x, _ in found], pa.float64()), pa.array([p for *_, p in found], pa.int64())], ["doc_id", "item_id", "similarity", "first_word"])
 
 
-def _clean(batches, block: tuple, radius: int, spread: int, least: float):
+def _clean(batches, block, radius: int, spread: int, least: float):
     items = _items(block, radius, spread, least)
     for batch in batches:
         bad = [first + r for first, data, at in pieces(batch.column("text")) for r, *_ in _found(data, at, items, least)]
@@ -269,11 +272,19 @@ def _clean(batches, block: tuple, radius: int, spread: int, least: float):
 
 
 def _blocks(benchmark: DataFrame):
-    """The items, a bounded number at a time, in the order of their ids."""
+    """The items in the order of their ids, broadcast a bounded number and a bounded size at a time (an item above it stands alone)."""
     small_batches(benchmark.sparkSession)
-    rows = ((r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator())
-    while block := tuple(islice(rows, BLOCK)):
-        yield block
+    send = lambda rows: benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+    block, size = [], 0
+    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        n = len(r["text"] or "")
+        if block and (len(block) >= BLOCK or size + n > BLOCK_BYTES):
+            yield send(block)
+            block, size = [], 0
+        block.append((r["item_id"], r["text"]))
+        size += n
+    if block:
+        yield send(block)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11, spread: int = 0) -> DataFrame:
@@ -281,8 +292,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
 
     An item is held if a window with as many words as it has, or with what is left of a text that ends before, is at least `least` similar: weighted Jaccard of 5-word shingles
     (all words of a shorter item; words: see WORDS, neither case nor punctuation counts), each weighing as often as it occurs. The best window is reported, the first on ties.
-    Null or empty texts hold nothing and null or empty items aren't held; other columns are ignored; a repeated row is
-    reported again, a repeated item too.
+    Null or empty texts hold nothing and null or empty items aren't held; a very long text is looked through in whole, 65,536 words at
+    a time; other columns are ignored; a repeated row is reported again, a repeated item too; an empty table on either side
+    gives no rows. A benchmark of any size is taken in blocks (see BLOCK), one pass over the documents each.
 
     Windows of every item size (sizes that differ by at most a sixteenth, or `spread`, share the smallest) slide over all words; their
     64-bit SimHash meets the items' in the multi-index, which gives all within `radius` bits; these are verified exactly. Windows
@@ -299,7 +311,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11, spread: int = 0) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item of benchmark; see find_leaks."""
+    """The rows of docs, with all their columns, that hold no item of benchmark; see find_leaks.
+
+    Rows with a null or empty text stay, repeated rows stay or go alike, and an empty benchmark leaves docs as they are.
+    """
     schema = docs.schema
     for block in _blocks(benchmark):
         docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, radius, spread, least), schema)

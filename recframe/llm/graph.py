@@ -18,16 +18,17 @@ def _least(links: DataFrame) -> DataFrame:
     return both.join(least, both.u == least.w).select("u", "v", "m")
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, label: for every node of links (u, v; any orderable type) the least node of its component.
 
     Self-links keep their node. Rounds: each node's larger neighbours go to its least neighbour (large star), then its smaller
-    ones do (small star), until every node hangs on its component's least one; O(log n) rounds in practice.
+    ones do (small star), until every node hangs on its component's least one: every round brings some link nearer to it, so
+    this ends; O(log n) rounds in practice. Null ends are no links; no links give no rows.
     """
     links = materialise(links.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
     nodes = links
     links = links.where("u != v")
-    for _ in range(most_rounds):
+    while True:
         large = _least(links).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))  # in large every u > v
         small = large.join(down.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
@@ -37,7 +38,5 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         again = state.where("n > 1").limit(1).count() or links.select(F.col("v").alias("u")).join(state, "u", "left_semi").limit(1).count()
         if not again:
             break
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = nodes.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return roots.join(links.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recframe.llm.common import WORD_START, materialise, mix, pieces, shingles, small_batches, word_hashes
+from recframe.llm.common import WORD_START, free_name, materialise, mix, pieces, shingles, small_batches, word_hashes
 from recframe.llm.graph import components
 
 
@@ -220,7 +220,8 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     counts; a text of fewer than n words is one shingle) is at least `similarity` (in steps of 0.1). copy_id is the least doc_id with the same
     shingle set, class_id the least doc_id that links lead to, n_links counts the other documents that link, copies included.
     Texts that are null or hold no word link to nothing: their copy_id and class_id are their own doc_id and n_links is 0.
-    Repeated rows are copies; a null doc_id never is a least one unless there is no other.
+    Repeated rows are copies; a null doc_id never is a least one unless there is no other; a very long text counts with all its
+    shingles, and fills a block of its own when it is verified; an empty table gives no rows.
 
     Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
     target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
@@ -235,36 +236,40 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     verified = verified.join(least, "label").select("sid", "links", "class_first")
     # the few members with candidates are put beside all members before these meet the rows
     known = members.select("sid", "copies", "first_doc").join(verified, "sid", "left")
-    out = rows.select("doc_id", "sid", "size").join(known, "sid", "left")
-    return out.select(
+    out = rows.where("sid is not null").select("doc_id", "sid", "size").join(known, "sid", "left")
+    out = out.select(
         "doc_id",
-        F.coalesce("first_doc", "doc_id").alias("copy_id"),
-        F.coalesce("class_first", "first_doc", "doc_id").alias("class_id"),
+        F.col("first_doc").alias("copy_id"),
+        F.coalesce("class_first", "first_doc").alias("class_id"),
         F.col("size").alias("n_shingles"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
     )
+    # texts without a word have no key to be joined by, and would all meet in one task
+    alone = rows.where("sid is null").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.col("size").alias("n_shingles"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
 
-def _digests(batches, n: int):
+def _digests(batches, n: int, name: str):
     for batch in batches:
         sid = []
         for _, data, at in pieces(batch.column("text")):
             u, sat = _sets(data, at, n)
             sid += [xxhash.xxh3_128_digest(u[a:b].tobytes()) if b > a else None for a, b in zip(sat[:-1], sat[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, "_near_sid"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, name])
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
     """One row, with all its columns, of each class of jaccard_join: the one with the least doc_id, and of its repeated rows one.
 
-    Texts that are null or hold no word are classes of their own and stay.
+    Texts that are null or hold no word are classes of their own and stay; so an empty table gives no rows.
     """
     _, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block, whole_blocks)
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "sid")
     best = verified.groupBy("label").agg(F.min_by("sid", order).alias("best"))
     gone = verified.join(best, "label").where("sid != best").select("sid")
     stay = members.join(gone, "sid", "left_anti").select("sid", "first_doc").hint("merge")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_near_sid", T.BinaryType())])
-    marked = docs.mapInArrow(lambda it: _digests(it, n), schema)
-    kept = marked.where("_near_sid is not null").join(stay, (F.col("_near_sid") == stay.sid) & marked.doc_id.eqNullSafe(stay.first_doc), "left_semi")
-    return kept.dropDuplicates(["_near_sid"]).drop("_near_sid").unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_START), F.lit(False))))
+    name = free_name(docs, "_near_sid")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    marked = docs.mapInArrow(lambda it: _digests(it, n, name), schema)
+    kept = marked.where(F.col(name).isNotNull()).join(stay, (marked[name] == stay.sid) & marked.doc_id.eqNullSafe(stay.first_doc), "left_semi")
+    return kept.dropDuplicates([name]).drop(name).unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_START), F.lit(False))))

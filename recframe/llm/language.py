@@ -61,24 +61,27 @@ def _counts(batches):
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(values), "bucket": values.astype(np.int64), "n": n.astype(np.int64)})
 
 
-def fit(docs: DataFrame, each: int = 2000) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, each: int = 2000, most_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability [language, bucket] of each hashed letter trigram.
 
     Only text and non-null lang of rows that aren't held out count. At most about `each` rows of a language do, chosen by the
-    hash of their doc_id: that bounds the fit whatever the corpus holds; the model has 2**16 numbers a language.
+    hash of their doc_id, and the `most_languages` values of lang with most rows (equals: those that sort first) are learned: that
+    bounds the fit whatever the corpus holds; the model has 2**16 numbers a language, 64 MB at most by default.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    share = {r["lang"]: min(1.0, each / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: min(1.0, each / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not share:
         return [], np.zeros((0, 1 << BITS), np.float32)
     limit = F.create_map(*chain(*((F.lit(k), F.lit(int(v * 2**31))) for k, v in share.items())))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 31)) < limit[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(share)
     table = np.full((len(langs), 1 << BITS), 0.05)
-    for r in counts:
-        table[langs.index(r["lang"]), r["bucket"]] += r["n"]
+    number = {x: i for i, x in enumerate(langs)}
+    names = counts.column("lang").combine_chunks().dictionary_encode()
+    row = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(counts) else np.zeros(0, np.int64)
+    table[row, counts.column("bucket").to_numpy()] += counts.column("n").to_numpy()
     return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -166,15 +169,15 @@ def _judged(batch: pa.RecordBatch, langs: list[str], table: np.ndarray, penalty:
     return tuple(np.concatenate(x) if out else np.zeros(0, object) for x in (zip(*out) if out else [(), (), ()]))
 
 
-def _predict(batches, langs: list[str], table: np.ndarray, penalty: float):
+def _predict(batches, model, penalty: float):
     for batch in batches:
-        pred, score, share = _judged(batch, langs, table, penalty)
+        pred, score, share = _judged(batch, *model.value, penalty)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.string())], ["doc_id", "lang_pred", "score", "lang_shares"])
 
 
-def _identified(batches, langs: list[str], table: np.ndarray, penalty: float, least: float):
+def _identified(batches, model, penalty: float, least: float):
     for batch in batches:
-        pred, score, _ = _judged(batch, langs, table, penalty)
+        pred, score, _ = _judged(batch, *model.value, penalty)
         yield batch.filter(pa.array((pred != "und") & (score.astype(float) >= least), pa.bool_()))
 
 
@@ -183,14 +186,19 @@ def identify(docs: DataFrame, each: int = 2000, penalty: float = 2.0) -> DataFra
 
     The model is fitted on rows of docs (see fit) and predicts from text alone. A text that is null or without a letter is
     `und` with score 0, as is every text if no row has a language. score is the leading language's share in the chosen set
-    times its odds against the next single language. Ties go to the language that sorts first; repeated rows get equal rows.
+    times its odds against the next single language. Ties go to the language that sorts first; repeated rows get equal rows; a very
+    long text counts with all its words (about 30 bytes are held for each of its bytes); an empty table gives no rows.
     """
-    langs, table = fit(docs, each)
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, langs, table, penalty), "doc_id long, lang_pred string, score double, lang_shares string")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, each))  # its size is bounded by the fit
+    found = docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, model, penalty), "doc_id long, lang_pred string, score double, lang_shares string")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.2, each: int = 2000, penalty: float = 2.0) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known: not `und`, and with a score of at least `least`."""
-    langs, table = fit(docs, each)
-    return docs.mapInArrow(lambda it: _identified(it, langs, table, penalty, least), docs.schema)
+    """The rows of docs, with all their columns, whose language is known: not `und`, and with a score of at least `least`.
+
+    So rows with a null or empty text, or one without a letter, go; repeated rows stay or go alike; an empty table gives no rows,
+    and where no row has a language none stays.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, each))
+    return docs.mapInArrow(lambda it: _identified(it, model, penalty, least), docs.schema)

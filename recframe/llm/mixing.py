@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recframe.llm.common import materialise
+from recframe.llm.common import free_name, materialise
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST_EPOCHS = 1.5, 2
@@ -21,9 +21,9 @@ def place(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size (words in the text; null: 0) and place, under names that cannot clash."""
-    return docs.withColumns({"_mix_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_mix_place": place(seed)})
+def sized(docs: DataFrame, seed: int, prefix: str = "_mix") -> DataFrame:
+    """docs with <prefix>_size (words in the text; null: 0) and <prefix>_place; the prefix begins no name of docs."""
+    return docs.withColumns({f"{prefix}_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), f"{prefix}_place": place(seed)})
 
 
 def targets(sizes: list[int], weights: list[int], budget: float = BUDGET, most: float = MOST_EPOCHS) -> list[float]:
@@ -113,18 +113,19 @@ def plan_mix(sizes: DataFrame, shards: int, seed: int, block_words: int) -> Data
     return _table(sizes, plan, "source string, source_size long, target double, full int, last long, extra long, blocks long, quota long, step long, ends array<long>")
 
 
-def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's plan and the shard of each of their copies in the mix, all under names that cannot clash."""
-    plan = plan.select(*(F.col(c).alias(f"_plan_{c}") for c in plan.columns))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source")))
-    is_extra = F.col("_mix_place") == F.col("_plan_extra")
-    epochs = F.col("_plan_full") + ((F.col("_mix_place") < F.col("_plan_last")) | is_extra).cast("int")
-    block = F.shiftright(F.col("_mix_place") * F.col("_plan_blocks"), 32)
-    number = lambda e: F.when(is_extra & (e == F.col("_plan_full")), F.col("_plan_quota") - 1).otherwise(e * F.col("_plan_blocks") + block)
-    numbers = F.transform(F.sequence(F.lit(0), F.col("_mix_epochs") - 1), lambda e: F.pmod(number(e) * F.col("_plan_step"), F.greatest("_plan_quota", F.lit(1))))
-    shard = F.transform(numbers, lambda o: F.size(F.filter("_plan_ends", lambda x: x <= o)))
-    out = out.withColumn("_mix_epochs", F.when(F.col("_mix_size") > 0, epochs).otherwise(0))
-    return out.withColumn("_mix_shards", F.when(F.col("_mix_epochs") > 0, shard).otherwise(F.array().cast("array<int>")))
+def _planned(rows: DataFrame, plan: DataFrame, p: str = "_mix") -> DataFrame:
+    """rows with their source's plan and the shard of each of their copies in the mix, all under names that begin with p."""
+    plan = plan.select(*(F.col(c).alias(f"{p}_plan_{c}") for c in plan.columns))
+    own = lambda name: F.col(f"{p}_{name}")
+    out = rows.join(plan, F.col("source").eqNullSafe(own("plan_source")))
+    is_extra = own("place") == own("plan_extra")
+    epochs = own("plan_full") + ((own("place") < own("plan_last")) | is_extra).cast("int")
+    block = F.shiftright(own("place") * own("plan_blocks"), 32)
+    number = lambda e: F.when(is_extra & (e == own("plan_full")), own("plan_quota") - 1).otherwise(e * own("plan_blocks") + block)
+    numbers = F.transform(F.sequence(F.lit(0), own("epochs") - 1), lambda e: F.pmod(number(e) * own("plan_step"), F.greatest(own("plan_quota"), F.lit(1))))
+    shard = F.transform(numbers, lambda o: F.size(F.filter(own("plan_ends"), lambda x: x <= o)))
+    out = out.withColumn(f"{p}_epochs", F.when(own("size") > 0, epochs).otherwise(0))
+    return out.withColumn(f"{p}_shards", F.when(own("epochs") > 0, shard).otherwise(F.array().cast("array<int>")))
 
 
 def mix_digest(docs: DataFrame, shards: int = 64, seed: int = 11, block_words: int = 50_000) -> DataFrame:
@@ -132,23 +133,27 @@ def mix_digest(docs: DataFrame, shards: int = 64, seed: int = 11, block_words: i
 
     size: words of the text (null: 0). Sources (null is one, the last) weigh 5, 2, 1 in turn and share 1.5 times all sizes, at
     most 2 times their own. taken: size times the document's copies in the mix, 0 to 2. shards: comma-joined shard of each copy.
-    Rows of one doc_id stand at one place of the permutation, so repeated rows are taken alike; an empty table gives no rows.
+    Rows of one doc_id stand at one place of the permutation, so repeated rows are taken alike; a null doc_id has a place too; a very
+    long text counts all its words, and may make its source miss its target by as many; an empty table gives no rows.
     """
     sizes = materialise(sized(docs.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_mix_size", "_mix_place"))
     out = _planned(sizes, plan_mix(sizes, shards, seed, block_words))
-    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_plan_source_size").alias("source_size"), F.col("_plan_target").alias("target"), (F.col("_mix_epochs") * F.col("_mix_size")).cast("long").alias("taken"), F.array_join(F.col("_mix_shards").cast("array<string>"), ",").alias("shards"))
+    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_plan_source_size").alias("source_size"), F.col("_mix_plan_target").alias("target"), (F.col("_mix_epochs") * F.col("_mix_size")).cast("long").alias("taken"), F.array_join(F.col("_mix_shards").cast("array<string>"), ",").alias("shards"))
 
 
 def mix(docs: DataFrame, shards: int = 64, seed: int = 11, block_words: int = 50_000) -> DataFrame:
     """The mix itself: docs' columns for each copy taken, with its shard, dealt by shard and shuffled within it.
 
-    Each row is placed by its source's plan alone, so texts move once, to their shard. Documents without words aren't taken.
+    Each row is placed by its source's plan alone, so texts move once, to their shard. Documents without words (null or empty
+    texts) aren't taken; repeated rows are taken alike; an empty table gives no rows. The shard is the column `_mix_shard`, with
+    more underscores where docs has such a name.
     """
-    rows = sized(docs, seed)
-    plan = plan_mix(materialise(rows.select("source", "_mix_size", "_mix_place")), shards, seed, block_words)
-    copies = _planned(rows, plan).select(*docs.columns, F.posexplode("_mix_shards").alias("_mix_epoch", "_mix_shard"))
-    copies = copies.withColumn("_mix_order", F.xxhash64(F.lit(seed), "_mix_shard", "_mix_epoch", "doc_id"))
-    return copies.repartitionByRange("_mix_shard", "_mix_order").sortWithinPartitions("_mix_shard", "_mix_order").drop("_mix_order", "_mix_epoch")
+    p = free_name(docs, "_mix")
+    rows = sized(docs, seed, p)
+    plan = plan_mix(materialise(rows.select("source", F.col(f"{p}_size").alias("_mix_size"), F.col(f"{p}_place").alias("_mix_place"))), shards, seed, block_words)
+    copies = _planned(rows, plan, p).select(*docs.columns, F.posexplode(f"{p}_shards").alias(f"{p}_epoch", f"{p}_shard"))
+    copies = copies.withColumn(f"{p}_order", F.xxhash64(F.lit(seed), f"{p}_shard", f"{p}_epoch", "doc_id"))
+    return copies.repartitionByRange(f"{p}_shard", f"{p}_order").sortWithinPartitions(f"{p}_shard", f"{p}_order").drop(f"{p}_order", f"{p}_epoch")
 
 
 #: size, source_size and taken by the same permutation; the split over shards draws from a generator that SQL lacks.
