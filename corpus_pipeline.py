@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as token files, and what is read back from them of each document."""
-    return token_files(docs, vocabulary())
+    """The mix as token files, in the order that mixing gave it, and what is read back from them of each document."""
+    return token_files(docs, vocabulary(), ordered=False)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mixing), ("token-ID / binary output", token_output)]
