@@ -96,8 +96,13 @@ def _elements(page: str) -> tuple[list[tuple[str, str, str]], dict[int, tuple[in
     return found, ends
 
 
-def _named_aside(rest: str) -> bool:
-    return any(_ASIDE_NAME.fullmatch(name) for x in _NAMED.findall(rest) for name in next(filter(None, x), "").split())
+#: Elements of running text: one of these is a side element only if all its names say so.
+_TEXT = frozenset("p blockquote li dt dd td th h1 h2 h3 h4 h5 h6 pre".split())
+
+
+def _named_aside(name: str, rest: str) -> bool:
+    found = [bool(_ASIDE_NAME.fullmatch(own)) for x in _NAMED.findall(rest) for own in next(filter(None, x), "").split()]
+    return bool(found) and (all if name in _TEXT else any)(found)
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -138,7 +143,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             continue
         side = name in _ASIDE or name == "header" and not inside
         if not side and rest and name not in ("html", "body", "article", "main") and name not in _VOID:
-            side = _named_aside(rest)
+            side = _named_aside(name, rest)
         if side and not holds_article(i - 1):
             key = "aside"
             out.append(("aside", name, ""))
@@ -171,7 +176,7 @@ def _tally(batches):
 
 
 class Weights:
-    """What a word after a tag (above 0, at most 1) and a tag (below 0) score."""
+    """What a word after a tag (above 0, at most 1) and a tag (below 0) score. Tags count by the first 40 characters of their names: no element's name is longer."""
 
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]):
         self.counts = counts
@@ -256,7 +261,8 @@ def extract(pages: DataFrame, most: int = 2000) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html; others are ignored).
 
     text: the page's article without menus, page headers, footers, sidebars, notices, adverts, forms, comments and markup, from the
-    whole html; empty where html is null, empty or holds no words. n_chars: its code points. Side elements (see tokens) are left out wherever
+    whole html; empty where html is null, empty or holds no words. A very long page is parsed whole, in Python objects of some 300 bytes
+    a tag or run of text; an empty table gives no rows. n_chars: the text's code points. Side elements (see tokens) are left out wherever
     they stand; of the rest the best contiguous region by the fitted weights is taken, the first on ties. Pages are independent,
     so repeated rows get equal rows. Weights come from labelled pages (see fit).
     """

@@ -235,4 +235,41 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert all(set(r.asDict()) == set(langs[0].asDict()) for r in mixed) and max(Counter(r["doc_id"] for r in mixed).values()) <= 2
     assert Counter(r["doc_id"] for r in tokens) == Counter(r["doc_id"] for r in mixed)
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tokens)
+    assert [r["doc_id"] for r in sorted(tokens, key=lambda r: r["start"])] == [r["doc_id"] for r in mixed]
     assert F is not None
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Null ids, texts, languages and sources, empty texts, repeated rows and names that operators use: every stage has a defined result."""
+    import corpus_pipeline
+
+    rows, items = leak_rows(5)
+    rows += [rows[3]] * 3 + [(None, rows[5][1], None, None)] * 2 + [(None, None, None, None)] * 2
+    frame(spark, rows).withColumn("_mix_size", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(out := f"{tmp_path}/{len(seen)}")
+        docs = spark.read.parquet(out)
+        assert docs.columns == columns or name == corpus_pipeline.STAGES[-1][0]
+        seen.append(docs.collect())
+    langs, near, clean, mixed, tokens = seen
+    assert Counter((r["doc_id"], r["text"]) for r in langs) == Counter((i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    # copies are one, whatever their doc_ids; a null one isn't preferred
+    texts = {tuple(words(r["text"])) for r in langs}
+    assert len({tuple(words(r["text"])) for r in near}) == len(near) <= len(texts)
+    assert not any(r["doc_id"] is None for r in near if any(x["doc_id"] is not None and words(x["text"]) == words(r["text"]) for x in langs))
+    held = {t for i, t, *_ in rows if brute_leaks([(i, t, "", "")], [x for x in items if words(x[1])])}
+    assert {r["text"] for r in clean} == {r["text"] for r in near} - held
+    assert {r["text"] for r in mixed} <= {r["text"] for r in clean} and len(tokens) == len(mixed) > 0
+    assert sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(repr, tokens))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, odd_rows()).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

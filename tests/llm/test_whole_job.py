@@ -1,15 +1,21 @@
 """Cases that an operator once did only in part."""
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from recframe.llm import common
 from recframe.llm.decontaminate import drop_leaks, find_leaks
 from recframe.llm.license_texts import PASSAGES
 from recframe.llm.licenses import Index, _hashes, _occurs, scan_licenses, vocabulary
-from recframe.llm.page_text import Weights, main_text
+from recframe.llm.jaccard_join import drop_near_copies
+from recframe.llm.language import keep_identified, mixtures
+from recframe.llm.mixing import mix
+from recframe.llm.page_text import Weights, best_region, main_text, tokens
 from tests.llm.helpers import frame, sentence, shingles, words
 from tests.llm.test_corpus import brute_leaks
 
@@ -92,6 +98,11 @@ BODY = "<h1>Title of the page</h1>" + "".join(f"<p>{'these are words of the arti
         f'<body><div><div class="ad">Buy this</div><p class="notice">Look</div>{BODY}</body>',
         f'<body><article>{BODY}</article><div id="comments">{"a reader writes on " * 100}</div><div class="site-footer">end</div></body>',
         f'<body><article>{BODY}</article><section id="comments"><article>{"a reader writes on " * 9}</article></section></body>',
+        f'<body><div class="page has-sidebar nav-open">{BODY}</div></body>',
+        f'<body><article><p class="share">Share this{BODY}</article></body>',
+        BODY.replace("<p>", '<p class="related work">', 1).join(("<body><article>", "</article></body>")),
+        f'<body><article><section id="comments-on-method">{BODY}</section></article></body>',
+        f'<body><article>{BODY}<p class="ad">Buy this</p><p class="related share">See also</article></body>',
     ],
 )
 def test_side_elements_dont_take_the_article(page):
@@ -187,3 +198,106 @@ def test_licenses_against_all_alignments(spark):
         must_be, some = must_be + len(least), some + len(got)
     assert must_be > 25 and some > 15
     assert all(out[i]["labels"] == "" for i in out if i >= 1000)
+
+
+def test_regions_of_random_pages_against_all_runs():
+    """The text of random markup is that of the best of all contiguous runs of its tokens, and of the first such."""
+    rng = random.Random(17)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(2, 25)):
+            tag = rng.choice(["p", "div", "li", "h2", "b", "nav", "section", "ul", "td", "footer", "article"])
+            parts.append(rng.choice([f"<{tag}>", f"</{tag}>", f"<{tag} class='{rng.choice(['x', 'ad', 'menu item', 'body'])}'>", sentence(rng, rng.randrange(1, 12)), "&amp; more", "<br>", "<!-- no -->"]))
+        page, weights = " ".join(parts), Weights({("tag", "li"): (3, 40), ("text", "li"): (5, 200), ("text", "p"): (500, 3)})
+        found = tokens(page)
+        score = lambda x: weights.tag(x[1]) if x[0] == "tag" else -0.5 if x[0] == "aside" else len(x[2].split()) * weights.word(x[1])
+        runs = [(sum(map(score, found[a:b])), -b, -a) for a in range(len(found)) for b in range(a + 1, len(found) + 1)]
+        a, b = best_region([score(x) for x in found])
+        best = max([x[0] for x in runs], default=0)
+        assert sum(map(score, found[a:b])) == pytest.approx(max(best, 0)), page
+        shown = " ".join(x[2] for x in found[a:b] if x[0] == "text")
+        assert main_text(page, weights).split() == shown.replace("&amp;", "&").split()
+
+
+def test_mixtures_against_a_plain_one():
+    """EM, the order of languages and the penalised choice of their set, word by word and document by document."""
+    rng = np.random.default_rng(8)
+    penalty, rounds, seen = 2.0, 8, Counter()
+    for k in (2, 3, 4):
+        counts = rng.integers(1, 60, 40)
+        words = np.log(rng.dirichlet(np.ones(k) * 0.3, counts.sum()).T + 1e-6).astype(np.float32)
+        for d in range(40):  # many documents have a leading language, some two
+            a = counts[:d].sum()
+            words[d % k, a : a + counts[d] // (1 + d % 3 // 2)] += 2
+        order, chosen, sure = mixtures(words, counts, penalty, rounds)
+        for d in range(40):
+            a = int(counts[:d].sum())
+            own = [[float(words[j, a + i]) for i in range(counts[d])] for j in range(k)]
+            best = [max(own[j][i] for j in range(k)) for i in range(counts[d])]
+            p = [[math.exp(max(own[j][i] - best[i], -60)) for i in range(counts[d])] for j in range(k)]
+
+            def em(langs, share, rounds):
+                for _ in range(rounds):
+                    total = [sum(s * p[j][i] for j, s in zip(langs, share)) for i in range(counts[d])]
+                    share = [max(sum(s * p[j][i] / total[i] for i in range(counts[d])) / counts[d], 1e-9) for j, s in zip(langs, share)]
+                return share, sum(math.log(max(sum(s * p[j][i] for j, s in zip(langs, share)), 1e-30)) for i in range(counts[d]))
+
+            alone = [sum(x) for x in own]
+            share, _ = em(range(k), [1 / k] * k, rounds)
+            top = max(range(k), key=lambda j: alone[j])
+            ranked = [top, *(j for j in sorted(range(k), key=lambda j: -share[j]) if j != top)]
+            fitted, like = [1.0], alone[top] - sum(best)
+            for size in range(2, k + 1):
+                if share[ranked[size - 1]] * counts[d] < 1:
+                    break
+                begin = [share[j] for j in ranked[:size]]
+                new, value = em(ranked[:size], [x / sum(begin) for x in begin], rounds // 2)
+                if value - like <= penalty * math.log(counts[d] + 1):
+                    break
+                fitted, like = new, value
+            seen[len(fitted)] += 1
+            assert [int(j) for j in order[: len(fitted), d]] == ranked[: len(fitted)]
+            assert np.allclose(chosen[: len(fitted), d], fitted, atol=2e-3) and chosen[len(fitted) :, d].sum() == 0
+            second = sorted(alone)[-2]
+            assert sure[d] == pytest.approx(1 / (1 + math.exp(-min(alone[top] - second, 50))), abs=1e-4)
+    assert seen[1] > 10 and seen[2] > 10
+
+
+def test_long_texts_are_hashed_in_segments(monkeypatch):
+    rng = random.Random(2)
+    texts = [sentence(rng, rng.choice((0, 1, 3000))) for _ in range(12)] + ["é" * 900, "x" * 5000 + " y", "", "a b " * 2000]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = common.word_hashes(raw, at)
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(common, "SEGMENT", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, common.word_hashes(raw, at)))
+
+
+def test_columns_that_bear_an_operators_names(spark):
+    """Names that operators use for themselves may be those of other columns."""
+    rows = [(i, sentence(random.Random(i), 30), "en", f"s{i % 2}") for i in range(20)]
+    df = frame(spark, rows).withColumns({c: F.lit(c) for c in ("_near_sid", "_mix_size", "_Mix_shard", "__mix", "sid_", "bands", "first_doc", "text_")})
+    assert sorted(drop_near_copies(df).collect()) == sorted(df.collect())
+    mixed = mix(df, shards=3)
+    assert mixed.columns == [*df.columns, "___mix_shard"] and {r["__mix"] for r in mixed.collect()} == {"__mix"}
+    assert drop_leaks(df, spark.createDataFrame([(1, rows[3][1], "x")], "item_id long, text string, doc_id string")).count() == 19
+    assert keep_identified(df).count() == 20
+
+
+def test_a_folder_that_executors_share_is_needed_on_a_cluster(spark):
+    class Conf:
+        def __init__(self, **own):
+            self.own = own
+
+        def get(self, name, usual=None):
+            return self.own.get(name.replace(".", "_"), usual)
+
+    class Session:
+        def __init__(self, **own):
+            self.conf = Conf(**own)
+
+    assert common.shared_dir(Session(spark_checkpoint_dir="hdfs://n/x/", spark_master="yarn")).startswith("hdfs://n/x/")
+    assert common.shared_dir(Session(spark_master="local[4]")).startswith("file:///")
+    with pytest.raises(ValueError):
+        common.shared_dir(Session(spark_master="spark://host:7077"))
