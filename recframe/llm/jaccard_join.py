@@ -30,6 +30,14 @@ def choose_bands(similarity: float, target: float = 0.9999, rows: int = 7) -> in
     return bands
 
 
+def choose_banding(similarity: float, target: float = 0.9999, most_bands: int = 40) -> tuple[int, int]:
+    """Bands and rows a band: the most rows (so the fewest pairs below the threshold) with which so many bands reach the target recall at it."""
+    rows = 1
+    while recall(similarity, most_bands, rows + 1) >= target:
+        rows += 1
+    return choose_bands(similarity, target, rows), rows
+
+
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(77)
     return (r.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)), r.integers(0, 2**32, n, dtype=np.uint32)
@@ -179,11 +187,11 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
     return dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).select("sid", "comp", "copies", "shingles", "side", "i", "j", "key", "band", "bands")
 
 
-def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, band_rows: int, block: int, whole_blocks: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, most_bands: int, block: int, whole_blocks: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, sid, size), members (sid, copies, first_doc) and verified (sid, label, links, first_doc) of those with a candidate."""
     tenths = round(similarity * 10)
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
-    bands = choose_bands(similarity, target_recall, band_rows)
+    bands, band_rows = choose_banding(similarity, target_recall, most_bands)
     small_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: _signatures(it, n, bands, band_rows), "doc_id long, sid binary, size long, bands array<long>"))
     members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
@@ -213,7 +221,7 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, b
     return rows, members, verified.select(F.col("node").alias("sid"), "label", "links", "first_doc")
 
 
-def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
+def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, most_bands: int = 40, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
     """doc_id, copy_id, class_id, n_shingles, n_links for every row of docs (doc_id, text; other columns are ignored).
 
     Two texts link if the Jaccard similarity of their sets of n-word shingles (words: see WORDS; neither case nor punctuation
@@ -223,15 +231,15 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     Repeated rows are copies; a null doc_id never is a least one unless there is no other; a very long text counts with all its
     shingles, and fills a block of its own when it is verified; an empty table gives no rows.
 
-    Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (band count from the
-    target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
+    Method: copies fold into one member by the digest of their shingle set. Bands of MinHash values (as many rows a
+    band as `most_bands` bands allow for the target recall at the threshold) are shuffled; each member links to the least one in each of its buckets; components of
     these links hold all candidates. A component's shingle sets meet in one task and all pairs are verified by matrix
     products; a component above `block` members, or BLOCK_SHINGLES, is dealt into hash blocks and each pair of blocks is one task;
     one of more than `whole_blocks` blocks (None: as many as bands) goes by the buckets that its members share instead, these
     dealt into blocks in the same way, so that groups that hang together loosely don't cost their square. No task gets an
     unbounded group and only counts and spanning links leave it, never pairs.
     """
-    rows, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block, whole_blocks)
+    rows, members, verified = _classes(docs, similarity, n, target_recall, most_bands, block, whole_blocks)
     least = verified.groupBy("label").agg(F.min("first_doc").alias("class_first"))
     verified = verified.join(least, "label").select("sid", "links", "class_first")
     # the few members with candidates are put beside all members before these meet the rows
@@ -258,12 +266,12 @@ def _digests(batches, n: int, name: str):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sid, pa.binary())], [*batch.schema.names, name])
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, band_rows: int = 7, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_recall: float = 0.9999, most_bands: int = 40, block: int = 400, whole_blocks: int | None = None) -> DataFrame:
     """One row, with all its columns, of each class of jaccard_join: the one with the least doc_id, and of its repeated rows one.
 
     Texts that are null or hold no word are classes of their own and stay; so an empty table gives no rows.
     """
-    _, members, verified = _classes(docs, similarity, n, target_recall, band_rows, block, whole_blocks)
+    _, members, verified = _classes(docs, similarity, n, target_recall, most_bands, block, whole_blocks)
     order = F.struct(F.col("first_doc").isNull(), "first_doc", "sid")
     best = verified.groupBy("label").agg(F.min_by("sid", order).alias("best"))
     gone = verified.join(best, "label").where("sid != best").select("sid")

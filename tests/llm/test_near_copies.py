@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recframe.llm.common import word_hash, word_hashes
 from recframe.llm.graph import components
-from recframe.llm.jaccard_join import choose_bands, drop_near_copies, jaccard_join, recall
+from recframe.llm.jaccard_join import choose_banding, choose_bands, drop_near_copies, jaccard_join, recall
 from tests.llm.helpers import frame, odd_rows, sentence, shingles, words
 
 
@@ -16,6 +16,15 @@ def test_bands_reach_the_target():
     assert recall(0.8, n, 7) >= 0.9999 > recall(0.8, n - 1, 7)
 
 
+def test_bands_and_rows_are_chosen_for_the_target():
+    assert choose_banding(0.8) == (40, 7)
+    for similarity in (0.5, 0.7, 0.8, 0.9):
+        for target, most in ((0.9, 20), (0.999, 40), (0.9999, 200)):
+            bands, rows = choose_banding(similarity, target, most)
+            assert recall(similarity, bands, rows) >= target and (bands <= most or rows == 1)
+            assert recall(similarity, most, rows + 1) < target
+
+
 def test_word_hashes_follow_words():
     texts = ["Élan VITAL, élan vital", "a-b c", "", "ünï 12x"]
     raw = "".join(texts).encode()
