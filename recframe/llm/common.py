@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +40,21 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
+def release() -> None:
+    """Give back to the system what this process's allocators hold and don't use."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; memory is released when the last has passed, as an idle worker needs none of it."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores before it as long as a column of df begins with it."""
     while any(c.lower().startswith(name.lower()) for c in df.columns):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from recframe.llm.common import pieces, shingles, small_batches, word_hashes
+from recframe.llm.common import pieces, shingles, small_batches, tidy, word_hashes
 
 N = 5
 #: Items, and bytes of their texts, in one pass over the documents; a larger benchmark takes several, so what the driver and a task hold is
@@ -301,7 +301,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     at the threshold are often beyond the radius, so an exact route follows: every window that can reach `least` holds one of a few
     of the item's shingles (see Probes), and each row with one of those has all its windows there compared. Together they miss none.
     """
-    found = [docs.select("doc_id", "text").mapInArrow(lambda it, block=block: _report(it, block, radius, spread, least), "doc_id long, item_id long, similarity double, first_word long") for block in _blocks(benchmark)]
+    found = [docs.select("doc_id", "text").mapInArrow(lambda it, block=block: tidy(_report(it, block, radius, spread, least)), "doc_id long, item_id long, similarity double, first_word long") for block in _blocks(benchmark)]
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long")
     out = found[0]
@@ -317,5 +317,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius
     """
     schema = docs.schema
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(lambda it, block=block: _clean(it, block, radius, spread, least), schema)
+        docs = docs.mapInArrow(lambda it, block=block: tidy(_clean(it, block, radius, spread, least)), schema)
     return docs

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recframe.llm.common import WORD_START, free_name, materialise, mix, pieces, shingles, small_batches, word_hashes
+from recframe.llm.common import WORD_START, free_name, materialise, mix, pieces, shingles, small_batches, tidy, word_hashes
 from recframe.llm.graph import components
 
 
@@ -193,7 +193,7 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, m
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
     bands, band_rows = choose_banding(similarity, target_recall, most_bands)
     small_batches(docs.sparkSession)
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: _signatures(it, n, bands, band_rows), "doc_id long, sid binary, size long, bands array<long>"))
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_signatures(it, n, bands, band_rows)), "doc_id long, sid binary, size long, bands array<long>"))
     members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
     keys = members.select("sid", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u != v")
@@ -204,7 +204,7 @@ def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, m
     chosen = materialise(comp.drop("size").join(sizes, "comp"))
     text = docs.select(F.col("doc_id").alias("first_doc"), "text")
     sets = text.join(chosen.hint("merge"), text.first_doc.eqNullSafe(chosen.first_doc)).select("text", "sid", "comp", "blocks", "copies")
-    sets = sets.mapInArrow(lambda it: _shingle_sets(it, n), "sid binary, comp binary, blocks long, copies long, shingles binary")
+    sets = sets.mapInArrow(lambda it: tidy(_shingle_sets(it, n)), "sid binary, comp binary, blocks long, copies long, shingles binary")
     most = bands if whole_blocks is None else whole_blocks
     dealt = _pairs_of_blocks(sets.where(F.col("blocks") <= most).withColumns({"key": F.lit(0).cast("long"), "band": F.lit(-1), "bands": F.lit(None).cast("array<long>")}))
     if not chosen.where(F.col("blocks") > most).isEmpty():
@@ -278,6 +278,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, n: int = 5, targe
     stay = members.join(gone, "sid", "left_anti").select("sid", "first_doc").hint("merge")
     name = free_name(docs, "_near_sid")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    marked = docs.mapInArrow(lambda it: _digests(it, n, name), schema)
+    marked = docs.mapInArrow(lambda it: tidy(_digests(it, n, name)), schema)
     kept = marked.where(F.col(name).isNotNull()).join(stay, (marked[name] == stay.sid) & marked.doc_id.eqNullSafe(stay.first_doc), "left_semi")
     return kept.dropDuplicates([name]).drop(name).unionByName(docs.where(~F.coalesce(F.col("text").rlike(WORD_START), F.lit(False))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import pieces, small_batches
+from recframe.llm.common import pieces, small_batches, tidy
 
 #: Bits of the table of hashed letter trigrams.
 BITS = 16
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, each: int = 2000, most_languages: int = 256) -> tuple[l
         return [], np.zeros((0, 1 << BITS), np.float32)
     limit = F.create_map(*chain(*((F.lit(k), F.lit(int(v * 2**31))) for k, v in share.items())))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 31)) < limit[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.mapInArrow(lambda it: tidy(_counts(it)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(share)
     table = np.full((len(langs), 1 << BITS), 0.05)
     number = {x: i for i, x in enumerate(langs)}
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, each: int = 2000, penalty: float = 2.0) -> DataFra
     long text counts with all its words (about 30 bytes are held for each of its bytes); an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, each))  # its size is bounded by the fit
-    found = docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, model, penalty), "doc_id long, lang_pred string, score double, lang_shares string")
+    found = docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_predict(it, model, penalty)), "doc_id long, lang_pred string, score double, lang_shares string")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
@@ -201,4 +201,4 @@ def keep_identified(docs: DataFrame, least: float = 0.2, each: int = 2000, penal
     and where no row has a language none stays.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, each))
-    return docs.mapInArrow(lambda it: _identified(it, model, penalty, least), docs.schema)
+    return docs.mapInArrow(lambda it: tidy(_identified(it, model, penalty, least)), docs.schema)

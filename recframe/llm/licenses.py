@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import byte_classes, pieces, small_batches, word_hashes
+from recframe.llm.common import byte_classes, pieces, small_batches, tidy, word_hashes
 from recframe.llm.license_texts import PASSAGES
 
 #: Words: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z; bytes above ASCII belong to words.
@@ -72,7 +72,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """
     words = vocabulary()
     small_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(lambda it: _frequencies(it, words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(lambda it: tidy(_frequencies(it, words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(words) + 1)
     for r in counts:
         n[r["word"]] = r["n"]
@@ -253,4 +253,4 @@ def scan_licenses(docs: DataFrame, least: float = 0.7) -> DataFrame:
     """
     index = Index(inverse_frequencies(docs), least)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, index), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_scan(it, index)), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recframe.llm.common import small_batches
+from recframe.llm.common import small_batches, tidy
 
 #: Elements whose content is never text.
 _OPAQUE = "script|style|noscript|template|textarea|iframe|svg|math|select|button|title|object|canvas"
@@ -201,7 +201,7 @@ def fit(pages: DataFrame, most: int = 2000) -> Weights:
     total = pages.count()
     share = int(min(1.0, most / max(total, 1)) * 2**31)
     sample = pages.where(F.pmod(F.xxhash64("page_id", F.lit("fit")), F.lit(1 << 31)) < share).select("html")
-    rows = sample.mapInArrow(_tally, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    rows = sample.mapInArrow(lambda it: tidy(_tally(it)), "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     return Weights({(r["kind"], r["key"]): (r["inside"], r["outside"]) for r in rows})
 
 
@@ -267,4 +267,4 @@ def extract(pages: DataFrame, most: int = 2000) -> DataFrame:
     so repeated rows get equal rows. Weights come from labelled pages (see fit).
     """
     weights = fit(pages, most)
-    return pages.select("page_id", "url", "html").mapInArrow(lambda it: _extract(it, weights), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lambda it: tidy(_extract(it, weights)), "page_id long, url string, text string, n_chars long")

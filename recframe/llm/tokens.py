@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recframe.llm.common import flat, shared_dir, small_batches
+from recframe.llm.common import flat, release, shared_dir, small_batches, tidy
 
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together (a longer text stands alone), and words that are looked up together.
-TOGETHER, WORDS_TOGETHER = 8 << 20, 2 << 20
+TOGETHER, WORDS_TOGETHER = 3 << 20, 1 << 20
 
 #: Stands between words that are encoded together; a word that holds it is encoded alone.
 MARK = "~"
@@ -43,7 +43,7 @@ class _Words:
     """A loaded tokenizer and the words that this worker has met: their ids lie side by side, those of word i from start[i] to start[i + 1]."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.by_word = _by_word(self.tok)
@@ -52,12 +52,10 @@ class _Words:
         self.mark = self.tok.encode(MARK, add_special_tokens=False).ids[0]
         self.stops = [self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"]
         # the same model, for words that need no normalisation: only white space parts them, so all of a call's words go in one string
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tok.model)  # shared, not copied
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
-        self.last[[i for x, i in vocabulary.items() if x.endswith(self.tok.model.end_of_word_suffix)]] = True
+        suffix, size = self.tok.model.end_of_word_suffix, self.tok.get_vocab_size(with_added_tokens=True)
+        self.last = np.fromiter(((self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)  # ids that end a piece
         self._forget()
 
     def _forget(self) -> None:
@@ -65,20 +63,24 @@ class _Words:
 
     def places(self, distinct: pa.Array) -> np.ndarray:
         """Where these words are among the remembered ones; new ones are encoded, thousands in one call, and remembered."""
-        at = pc.index_in(distinct, value_set=self.words)
-        if not at.null_count:
-            return at.to_numpy()
-        new = distinct.filter(pc.is_null(at))
-        if len(self.words) > 1 and len(self.words) + len(new) > REMEMBERED:
+        found = pc.index_in(distinct, value_set=self.words)
+        if not found.null_count:
+            return found.to_numpy()
+        missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+        new, before = distinct.filter(pa.array(missing)), len(self.words)
+        if before > 1 and before + len(new) > REMEMBERED:
             self._forget()
             return self.places(distinct)
-        plain = pc.match_substring_regex(new, PLAIN)
-        new = pa.concat_arrays([new.filter(plain), new.filter(pc.invert(plain))])
-        counts, ids = zip(*self._plain(new.slice(0, plain.true_count)), *self._others(new.slice(plain.true_count).to_pylist()))
+        plain = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False)
+        new = pa.concat_arrays([new.filter(pa.array(plain)), new.filter(pa.array(~plain))])
+        n = int(plain.sum())
+        counts, ids = zip(*self._plain(new.slice(0, n)), *self._others(new.slice(n).to_pylist()))
         self.words = pa.concat_arrays([self.words, new])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(counts))])
         self.ids = np.concatenate([self.ids, *ids])
-        return pc.index_in(distinct, value_set=self.words).to_numpy()
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        at[missing] = before + np.where(plain, np.cumsum(plain) - 1, n + np.cumsum(~plain) - 1)
+        return at
 
     def _plain(self, words: pa.Array):
         """Each is one piece, or two with the stop after it, so the ids that end pieces part the words."""
@@ -131,6 +133,7 @@ def tokenizer(path: str) -> _Words:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _loaded:
         _loaded[path] = _Words(path)
+        release()  # what parsing the file took
     return _loaded[path]
 
 
@@ -264,7 +267,7 @@ def write_tokens(docs: DataFrame, uri: str, path: str, end_id: int = END_ID, ord
         rows = rows.repartitionByRange(first, F.asc_nulls_first(F.substring("text", 1, 16))).sortWithinPartitions(first, F.asc_nulls_first("text"))
     width = id_width(path, end_id)
     small_batches(docs.sparkSession)
-    parts = sorted(rows.mapInArrow(lambda it: _write_parts(it, uri, path, end_id, width), "part int, n_docs long, n_tokens long").collect())
+    parts = sorted(rows.mapInArrow(lambda it: tidy(_write_parts(it, uri, path, end_id, width)), "part int, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([p.n_tokens for p in parts])]) if parts else [0]
     return [(p.part, p.n_docs, int(b)) for p, b in zip(parts, bases)]
 
@@ -302,7 +305,7 @@ def read_tokens(spark: SparkSession, uri: str, parts: list[tuple[int, int, int]]
     if not full:
         return spark.createDataFrame([], schema)
     listed = spark.createDataFrame(full, "part int, base long").repartition(len(full), "part")
-    return listed.mapInArrow(lambda it: _read_parts(it, uri, width), schema)
+    return listed.mapInArrow(lambda it: tidy(_read_parts(it, uri, width)), schema)
 
 
 def token_files(docs: DataFrame, path: str, uri: str | None = None, end_id: int = END_ID, ordered: bool = True) -> DataFrame:
