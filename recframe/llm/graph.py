@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from recframe.llm.common import materialise
 
 
+#: A node's links are dealt over so many keys, so that a hub's don't meet in one task.
+DEALT = 64
+
+
 def _least(links: DataFrame) -> DataFrame:
     """u, v, m: every link in both directions beside the least of u and its neighbours.
 
-    The minimum is combined on the map side, and the join back is one that Spark may split, so a hub doesn't land in one task.
+    Links go by their node and a hash of the other end. The minimum is combined on the map side, then over a node's keys, and comes back
+    once for each key that the node has (at most DEALT).
     """
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.join(least, both.u == least.w).select("u", "v", "m")
+    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("deal", F.pmod(F.xxhash64("v"), F.lit(DEALT)))
+    parts = both.groupBy("u", "deal").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("deal").alias("deals"))
+    back = least.select(F.col("u").alias("w"), F.least("u", "m").alias("m"), F.explode("deals").alias("d"))
+    return both.join(back, (both.u == back.w) & (both.deal == back.d)).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recframe.llm.common import WORD_START, free_name, materialise, mix, pieces, shingles, small_batches, tidy, word_hashes
-from recframe.llm.graph import components
+from recframe.llm.graph import DEALT, components
 
 
 #: Shingles of about so many members make a block, if these are fewer than its usual number: that bounds a task's memory.
@@ -188,13 +188,13 @@ def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, similarity: float, n: int, target_recall: float, most_bands: int, block: int, whole_blocks: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, sid, size), members (sid, copies, first_doc) and verified (sid, label, links, first_doc) of those with a candidate."""
+    """rows (doc_id, sid, size, deal), members (sid, copies, first_doc, deals) and verified (sid, label, links, first_doc) of those with a candidate."""
     tenths = round(similarity * 10)
     # the joins of bands and of texts are sort-merge joins at every size: their sides grow with the data, and Spark may split hot keys
     bands, band_rows = choose_banding(similarity, target_recall, most_bands)
     small_batches(docs.sparkSession)
-    rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_signatures(it, n, bands, band_rows)), "doc_id long, sid binary, size long, bands array<long>"))
-    members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands")))
+    rows = materialise(docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_signatures(it, n, bands, band_rows)), "doc_id long, sid binary, size long, bands array<long>").withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(DEALT))))
+    members = materialise(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"), F.collect_set("deal").alias("deals")))
     keys = members.select("sid", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("sid").alias("u"), F.max("sid").alias("v")).where("u != v")
     links = keys.join(hubs.select("key", "u").hint("merge"), "key").where("sid != u").select("u", F.col("sid").alias("v"))
@@ -243,8 +243,10 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, n: int = 5, target_re
     least = verified.groupBy("label").agg(F.min("first_doc").alias("class_first"))
     verified = verified.join(least, "label").select("sid", "links", "class_first")
     # the few members with candidates are put beside all members before these meet the rows
-    known = members.select("sid", "copies", "first_doc").join(verified, "sid", "left")
-    out = rows.where("sid is not null").select("doc_id", "sid", "size").join(known, "sid", "left")
+    known = members.select("sid", "copies", "first_doc", "deals").join(verified, "sid", "left")
+    # once for each key that a member's copies are dealt over, so a large group of them doesn't meet in one task
+    known = known.withColumn("deal", F.explode("deals")).drop("deals")
+    out = rows.where("sid is not null").select("doc_id", "sid", "size", "deal").join(known, ["sid", "deal"], "left")
     out = out.select(
         "doc_id",
         F.col("first_doc").alias("copy_id"),
