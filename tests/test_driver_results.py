@@ -48,6 +48,7 @@ def test_records_and_frames_do_not_pass_through_the_driver(spark, tmp_path, opti
 #: Queries whose files used to reach the driver frame by frame, the folder of tables that shows it, and a bound on what they send now.
 QUERIES = {
     "wrong_boundary_disagrees": ("sf0.01", 300_000),
+    "documents_sep_multi": ("sf0.01", 300_000),
 }
 
 
