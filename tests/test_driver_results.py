@@ -49,6 +49,7 @@ def test_records_and_frames_do_not_pass_through_the_driver(spark, tmp_path, opti
 QUERIES = {
     "wrong_boundary_disagrees": ("sf0.01", 300_000),
     "documents_sep_multi": ("sf0.01", 300_000),
+    "custom_boundary": ("sf0.01", 300_000),
 }
 
 
