@@ -4,12 +4,15 @@ import io
 import os
 import random
 
+import numpy as np
 import pytest
 
 from recframe import catalogue
 from recframe.operators.publish import add_file, replace
 from recframe.operators.read import open_records
 from recframe.operators.write import write_file
+from recframe.plans.framing import FrameCutter, Framing
+from recframe.plans.indexing import size_cuts
 
 
 def results(spark):
@@ -34,7 +37,7 @@ def frame(spark, records):
     return spark.createDataFrame(list(enumerate(records)), "record_index long, record binary").repartition(5)
 
 
-@pytest.mark.parametrize("options", [{"records_per_frame": 64}, {"frame_size": 40000}])
+@pytest.mark.parametrize("options", [{"records_per_frame": 64}, {"frame_size": 40000}, {"frame_size": 40000, "uniform": False}])
 def test_records_and_frames_do_not_pass_through_the_driver(spark, tmp_path, options):
     records = [x.replace(b"\n", b" ") + b"\n" for x in random_records(4000, 2000)]
     df = frame(spark, records)
@@ -50,6 +53,7 @@ QUERIES = {
     "wrong_boundary_disagrees": ("sf0.01", 300_000),
     "documents_sep_multi": ("sf0.01", 300_000),
     "custom_boundary": ("sf0.01", 300_000),
+    "size_mode_frames": ("sf0.1", 600_000),
 }
 
 
@@ -63,6 +67,29 @@ def test_query_sends_little(spark, name, monkeypatch):
     assert sent(spark, lambda: catalogue.QUERIES[name][0](spark, folder).write.format("noop").mode("overwrite").save()) < most
 
 
+@pytest.mark.parametrize("frame_size, block", [(1, 7), (50, 1), (50, 16), (300, 16), (4000, 16), (10**6, 16), (300, 1 << 20)])
+def test_cuts_by_size_are_those_of_one_ordered_pass(spark, frame_size, block):
+    pick = random.Random(frame_size * block)
+    sizes = [pick.choice((0, 1, 1, 9, 30, 49, 50, 51, 400)) for _ in range(600)]
+    cutter, counts = FrameCutter(Framing(frame_size=frame_size, uniform=False, limit_multiplier=1000)), []
+    for n in sizes:
+        counts += [c for _, c in cutter.add(b"x" * n)]
+    cuts = size_cuts(frame(spark, [b"x" * n for n in sizes]), frame_size, block=block)
+    assert cuts.tolist() == (np.cumsum(counts) - 1).tolist()
+
+
+def test_size_mode_on_odd_tables(spark, tmp_path):
+    path = str(tmp_path / "a.seek.zst")
+    write_file(frame(spark, [b"a\n"]).where("false"), path, uniform=False)
+    assert os.path.exists(path)
+    gaps = spark.createDataFrame([(10 * i - 50, b"%03d\n" % i) for i in range(100)], "record_index long, record binary").repartition(3)
+    write_file(gaps, path, force=True, frame_size=10, uniform=False)
+    assert open_records(spark, path, index_mode="exact").cat(0, None) == b"".join(b"%03d\n" % i for i in range(100))
+    assert [r["cnt_of_sep"] for r in open_records(spark, path).inspect(False).orderBy("frame").collect()] == [3] * 33 + [1]
+    with pytest.raises(ValueError, match="above the limit"):
+        write_file(frame(spark, [b"a\n", b"x" * 100 + b"\n"]), path, force=True, frame_size=10, uniform=False)
+
+
 def test_a_file_is_added_whole_to_any_output(tmp_path):
     part, target, memory = tmp_path / "part", tmp_path / "target", io.BytesIO()
     part.write_bytes(bytes(range(256)) * 1000)
