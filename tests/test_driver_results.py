@@ -54,6 +54,7 @@ QUERIES = {
     "documents_sep_multi": ("sf0.01", 300_000),
     "custom_boundary": ("sf0.01", 300_000),
     "size_mode_frames": ("sf0.1", 600_000),
+    "append_frame_counts": ("sf0.1", 600_000),
 }
 
 
