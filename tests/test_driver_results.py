@@ -55,6 +55,7 @@ QUERIES = {
     "custom_boundary": ("sf0.01", 300_000),
     "size_mode_frames": ("sf0.1", 600_000),
     "append_frame_counts": ("sf0.1", 600_000),
+    "multi_file_scan": ("sf0.1", 600_000),
 }
 
 
