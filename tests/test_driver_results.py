@@ -56,6 +56,7 @@ QUERIES = {
     "size_mode_frames": ("sf0.1", 600_000),
     "append_frame_counts": ("sf0.1", 600_000),
     "multi_file_scan": ("sf0.1", 600_000),
+    "json_encode_lines": ("sf0.1", 600_000),
 }
 
 
