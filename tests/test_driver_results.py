@@ -57,6 +57,7 @@ QUERIES = {
     "append_frame_counts": ("sf0.1", 600_000),
     "multi_file_scan": ("sf0.1", 600_000),
     "json_encode_lines": ("sf0.1", 600_000),
+    "frame_checksums": ("sf0.1", 600_000),
 }
 
 
