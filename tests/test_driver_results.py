@@ -58,6 +58,7 @@ QUERIES = {
     "multi_file_scan": ("sf0.1", 600_000),
     "json_encode_lines": ("sf0.1", 600_000),
     "frame_checksums": ("sf0.1", 600_000),
+    "locked_writer": ("sf0.1", 600_000),
 }
 
 
