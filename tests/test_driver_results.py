@@ -59,6 +59,7 @@ QUERIES = {
     "json_encode_lines": ("sf0.1", 600_000),
     "frame_checksums": ("sf0.1", 600_000),
     "locked_writer": ("sf0.1", 600_000),
+    "truncate_logical": ("sf0.1", 600_000),
 }
 
 
