@@ -1,18 +1,24 @@
-"""What the tasks of a write send to the driver: it may not grow with the records."""
+"""What the tasks of a write send to the driver, and what a task of a backward read holds: neither may grow with the records."""
 
 import io
 import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recframe import catalogue
+from recframe.functions.boundary import Separated
 from recframe.operators.publish import add_file, replace
 from recframe.operators.read import open_records
 from recframe.operators.write import write_file
 from recframe.plans.framing import FrameCutter, Framing
 from recframe.plans.indexing import size_cuts
+from recframe.sources.layout import RecordFiles
+from recframe.sources.records import plan, read_backwards, read_frames
+
+from .model import put_frames
 
 
 def results(spark):
@@ -108,3 +114,28 @@ def test_a_file_is_added_whole_to_any_output(tmp_path):
     replace(str(target), put)
     put(memory)
     assert target.read_bytes() == memory.getvalue() == b"head" + part.read_bytes() * 2 + b"tail"
+
+
+def parts_of(path, limit=1 << 30):
+    return plan(RecordFiles([path], Separated(b"\n")), 0, None, {"partition_bytes": str(limit)})
+
+
+def test_a_backward_read_holds_a_frame(tmp_path):
+    path = put_frames(tmp_path / "a.seek.zst", [b"".join(b"%06d\n" % (1000 * i + k) for k in range(1000)) for i in range(200)])
+    (part,) = parts_of(path)
+    base, most, seen = pa.total_allocated_bytes(), 0, 200_000
+    for batch in read_backwards(part):
+        most = max(most, pa.total_allocated_bytes() - base)
+        assert batch.column("record")[0].as_py() == b"%06d\n" % (seen - 1) and batch.column("record_index")[0].as_py() == seen - 1
+        seen -= len(batch)
+    assert seen == 0 and most < 2_000_000
+
+
+def test_a_backward_read_is_the_forward_one_reversed(tmp_path, monkeypatch):
+    path = put_frames(tmp_path / "a.seek.zst", [b"a\nb\nc\n", b"d\n", b"e\nf\ng\n", b"h\ni\nrest"])
+    for reach in (1, 1 << 20):
+        monkeypatch.setattr("recframe.sources.records.READ_BYTES", reach)
+        for limit in (1, 8, 1 << 20):
+            for part in parts_of(path, limit):
+                forward = [r for b in read_frames(part) for r in b.to_pylist()]
+                assert forward and [r for b in read_backwards(part) for r in b.to_pylist()] == forward[::-1]
