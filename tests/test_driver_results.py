@@ -9,10 +9,10 @@ import pyarrow as pa
 import pytest
 
 from recframe import catalogue
-from recframe.functions.boundary import Separated
+from recframe.functions.boundary import Custom, Fixed, LengthPrefixed, Separated
 from recframe.operators.publish import add_file, replace
 from recframe.operators.read import open_records
-from recframe.operators.write import write_file
+from recframe.operators.write import compress, cut_runs, write_file
 from recframe.plans.framing import FrameCutter, Framing
 from recframe.plans.indexing import size_cuts
 from recframe.sources.layout import RecordFiles
@@ -116,6 +116,47 @@ def test_a_file_is_added_whole_to_any_output(tmp_path):
     assert target.read_bytes() == memory.getvalue() == b"head" + part.read_bytes() * 2 + b"tail"
 
 
+def paragraph(data):
+    blank, end = data.find(b"\n\n"), data.find(b"\x00")
+    if blank >= 0 and (end < 0 or blank < end):
+        return blank + 2
+    return end + 1 if end >= 0 else None
+
+
+def test_runs_are_cut_where_they_are(spark, tmp_path):
+    pick = random.Random(5)
+    runs = [b"".join(pick.choice((b"a", b"b" * 300, b"\n", b"\n\n", b"\x00")) for _ in range(pick.randrange(40))) + b"\x00" for _ in range(300)]
+    df = spark.createDataFrame([(i, run) for i, run in enumerate(runs)] + [(300, None), (301, b"")], "id long, record binary").repartition(5)
+    cut = cut_runs(df, Custom(paragraph), "id")
+    write_file(cut, str(tmp_path / "a.seek.zst"), "id", "at", boundary=Custom(paragraph), records_per_frame=7)
+    (tmp_path / "b").write_bytes(b"".join(runs))
+    compress(str(tmp_path / "b"), boundary=Custom(paragraph), records_per_frame=7)
+    assert (tmp_path / "a.seek.zst").read_bytes() == (tmp_path / "b.seek.zst").read_bytes()
+
+
+def test_cut_runs_on_odd_tables(spark):
+    rows = spark.createDataFrame([("k", b"aabbcc")], "id string, record binary")
+    assert [(r["id"], r["at"], bytes(r["record"])) for r in cut_runs(rows, Fixed(2), "id").collect()] == [("k", 0, b"aa"), ("k", 1, b"bb"), ("k", 2, b"cc")]
+    assert cut_runs(rows.where("false"), Fixed(2), "id").collect() == []
+    assert cut_runs(rows.selectExpr("cast(null as int) as id", "record"), Fixed(6), "id").collect()[0][:2] == (None, 0)
+    for boundary in (Fixed(4), LengthPrefixed(), Separated(b"\n")):
+        with pytest.raises(Exception, match="ends within"):
+            cut_runs(rows, boundary).collect()
+
+
+def test_custom_boundary_walks_no_file_on_the_driver(spark, monkeypatch):
+    def walked(*_, **__):
+        raise AssertionError("the driver walked all bytes")
+
+    monkeypatch.setattr(catalogue, "_made", {})
+    monkeypatch.setattr(catalogue, "compress", walked)
+    monkeypatch.setattr(catalogue.Handle, "write_to", walked)
+    rows = catalogue.custom_boundary(spark, "/root/testdata/sf0.001")
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    parts = [[*(x.encode() + b"\n\n" for x in split[:-1]), split[-1].encode() + b"\x00"] for split in ((r["text"] or "").split("\n\n") for r in documents)]
+    assert [r["bytes"] for r in rows.orderBy("record_index").collect()] == [len(x) for own in parts for x in own]
+
+
 def parts_of(path, limit=1 << 30):
     return plan(RecordFiles([path], Separated(b"\n")), 0, None, {"partition_bytes": str(limit)})
 
